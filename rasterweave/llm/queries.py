@@ -1,11 +1,20 @@
 """Queries of the training-data operators, and SQL where it can express them."""
 
+from .dac import op4_token_files
 from .decontaminate import OP8_SQL, op8_benchmark_decontamination
+from .language import op1_language_id
+from .packing import op10_best_fit_packing
 from .urls import OP6_SQL, op6_url_filters
 
 QUERIES = {
-    "op6_url_filters": op6_url_filters,
-    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op4_token_files,
+        op6_url_filters,
+        op8_benchmark_decontamination,
+        op10_best_fit_packing,
+    )
 }
 
 ORACLES = {
