@@ -1,18 +1,52 @@
-"""Corpus pipeline: five stages over documents, each one of the operators."""
+"""Corpus pipeline: five stages over documents, each one of the operators.
 
-from rasterweave.llm.decontaminate import drop_contaminated
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and
+read again as the next one's docs; all but the last return documents' columns.
+"""
+
+from rasterweave.llm import decontaminate, jaccard, language, packing, quality
+from rasterweave.llm.common import materialise
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents without a language, or with less than 0.4 of their words in one, go."""
+    return language.keep_identified(docs)
+
+
+def quality_classifier(spark, docs, sf_dir):
+    """Documents that score below 0.3 go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def ngram_jaccard_join(spark, docs, sf_dir):
+    """Of each group joined by links of Jaccard 0.8 on five-word shingles the smallest doc_id stays."""
+    return jaccard.keep_one(docs)
 
 
 def benchmark_decontamination(spark, docs, sf_dir):
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents that hold 0.8 of a benchmark item's five-word shingles go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def best_fit_packing(spark, docs, sf_dir):
+    """Pieces of at most 1024 tokens with their sequences and offsets."""
+    return packing.pack(docs)
+
 
+STAGES = [
+    ("language ID", language_id),
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES = [("benchmark decontamination", benchmark_decontamination)]
+#: The learned stages cannot be SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,23 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Characters of text that a Python task works on at a time.
+SLICE = 2_000_000
+
+
+def slices(texts) -> Iterator[list]:
+    """Whole texts, as many as make about SLICE characters at a time."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size >= SLICE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this library from where the driver did."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

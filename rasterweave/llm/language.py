@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import prepare
+from .common import prepare, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 HASHES = 1 << 15
 #: Cells (words times texts) of one padded batch.
-CELLS = 400_000
-KNOWN_WORDS = 1_000_000
+CELLS = 250_000
+KNOWN_WORDS = 600_000
 
 
 def ngram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,17 +109,22 @@ class LanguageModel:
             self._words.update(zip(some, range(first, need)))
             first = need
 
-    def posteriors(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Mean label posteriors of each text given as its words (none: zeros)."""
-        if len(self._words) > KNOWN_WORDS:
-            self._words.clear()
+    def identify(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """Numbers of known words for each text given as its words."""
         new = set()
         for words in texts:
             new.update(words)
         self.learn(sorted(new.difference(self._words)))
         get = self._words.__getitem__
-        ids = [np.fromiter(map(get, w), np.int64, len(w)) for w in texts]
-        out = np.zeros((len(texts), len(self.labels)))
+        return [np.fromiter(map(get, w), np.int32, len(w)) for w in texts]
+
+    def forget(self) -> None:
+        if len(self._words) > KNOWN_WORDS:
+            self._words.clear()
+
+    def posteriors(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Mean label posteriors of each text of ``identify`` (no words: zeros)."""
+        out = np.zeros((len(ids), len(self.labels)))
         order = sorted((i for i, w in enumerate(ids) if len(w)), key=lambda i: len(ids[i]))
         while order:
             longest = len(ids[order[-1]])
@@ -182,15 +187,18 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = worker_model(key, sent)
         for series in texts:
-            words = [[] if t is None else WORD.findall(t.lower()) for t in series]
-            words = [w if any(map(str.isalpha, w)) else [] for w in words]
             if not own.labels:
-                yield pd.DataFrame({"lang_pred": ["und"] * len(words), "score": 0.0})
+                yield pd.DataFrame({"lang_pred": ["und"] * len(series), "score": 0.0})
                 continue
-            post = own.posteriors(words)
+            own.forget()
+            ids = []
+            for some in slices(series):  # words as strings are short-lived
+                words = [[] if t is None else WORD.findall(t.lower()) for t in some]
+                ids += own.identify([w if any(map(str.isalpha, w)) else [] for w in words])
+            post = own.posteriors(ids)
             best = post.argmax(1)
             yield pd.DataFrame({
-                "lang_pred": [own.labels[k] if w else "und" for k, w in zip(best, words)],
+                "lang_pred": [own.labels[k] if len(i) else "und" for k, i in zip(best, ids)],
                 "score": np.minimum(post.max(1), 1.0),
             })
 
