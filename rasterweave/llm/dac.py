@@ -164,7 +164,8 @@ def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
             for name, content in zip(batch["file"], batch["content"]):
                 f = DacFile(content)
                 sizes = np.diff(f.starts)
-                crc = [zlib.crc32(f.tokens(int(a), int(b)).astype("<u4").tobytes()) for a, b in zip(f.starts[:-1], f.starts[1:])]
+                whole = memoryview(f.tokens(0, f.n).astype("<u4").tobytes())
+                crc = [zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip(f.starts[:-1].tolist(), f.starts[1:].tolist())]
                 yield pd.DataFrame({"file": name, "doc_id": pd.array(f.doc_ids, dtype="Int64").copy() if not f.null.any() else pd.array([None if n else int(i) for i, n in zip(f.doc_ids, f.null)], dtype="Int64"), "local": f.starts[:-1], "n_tokens": sizes, "ids_crc32": crc})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.dac").load(folder)

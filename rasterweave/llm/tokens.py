@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from operator import itemgetter
 
 import numpy as np
 
@@ -12,6 +13,8 @@ import numpy as np
 _SPACE = r" \t\n\r\f\v\x85\xa0  -     　"
 _CUT = re.compile(rf"(?<=\S)(?=[{_SPACE}])")
 _RUN = re.compile(r"\s ")
+_MARKED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_BROKEN = re.compile(r"(\S+)\n(\S.*)", re.S)
 
 
 def default_path() -> str:
@@ -30,20 +33,24 @@ def _byte_letters() -> list[str]:
 class _Known(dict):
     """piece -> its ids as little-endian u32 bytes, encoded when first asked for."""
 
-    def __init__(self, tokenizer, prefix: str, most: int):
+    def __init__(self, tokenizer, prefix: str, most: int, marks: _Known | None = None, bare: _Known | None = None):
         super().__init__()
         self.tokenizer, self.prefix, self.most = tokenizer, prefix, most
         self.model, self.letters = tokenizer.model, _byte_letters()
-        self.ends = {c: np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",.;:!?"}
+        self.first = self.letters[32] if prefix else ""
+        self.marks = marks  # the same for runs of marks
+        self.bare = self if bare is None else bare  # for pieces without the space before
 
     def __missing__(self, piece):
         if len(self) >= self.most:
             self.clear()
-        if piece.isalpha() and max(piece) < "\u0250":  # one run of letters: no split to do
-            letters = "".join(map(self.letters.__getitem__, (self.prefix + piece).encode()))
+        if piece.isalpha() and (piece.isascii() or max(piece) < "\u0250"):  # one run of letters: no split to do
+            letters = self.first + (piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode())))
             out = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        elif len(piece) > 1 and piece[-1] in ",.;:!?" and piece[:-1].isalpha() and max(piece) < "\u0250":
-            out = self[piece[:-1]] + self.ends[piece[-1]]
+        elif self.marks is not None and (m := _MARKED.fullmatch(piece)) and m[1].isalpha() and max(m[1]) < "\u0250":
+            out = self[m[1]] + self.marks[m[2]]  # letters, then one run of marks
+        elif self.marks is not None and (m := _BROKEN.fullmatch(piece)):
+            out = self[m[1]] + self.marks["\n"] + self.bare[m[2]]  # a lone line break
         else:
             out = np.array(self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids, "<u4").tobytes()
         self[piece] = out
@@ -66,8 +73,9 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.spaced = _Known(self.tokenizer, " ", most)
-        self.bare = _Known(self.tokenizer, "", most // 4)
+        marks = _Known(self.tokenizer, "", most // 4)
+        self.bare = _Known(self.tokenizer, "", most // 4, marks)
+        self.spaced = _Known(self.tokenizer, " ", most, marks, self.bare)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian u32 bytes; none for null or empty text."""
@@ -78,7 +86,9 @@ class TextEncoder:
         if _RUN.search(text):
             return b"".join(map(self.bare.__getitem__, _CUT.split(text)))
         head, *rest = text.split(" ")
-        return self.bare[head] + b"".join(map(self.spaced.__getitem__, rest))
+        if len(rest) < 2:
+            return self.bare[head] + b"".join([self.spaced[piece] for piece in rest])
+        return self.bare[head] + b"".join(itemgetter(*rest)(self.spaced))
 
 
 _encoders: dict = {}
