@@ -1,8 +1,7 @@
 """All queries of the raster and frame-stream operators, and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from rasterweave.plans import raster_queries, stream_queries
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = raster_queries.QUERIES | stream_queries.QUERIES
+ORACLES = raster_queries.ORACLES | stream_queries.ORACLES
+flagship = raster_queries.flagship
