@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterweave.operators import clahe as clahe_op
-from rasterweave.operators import frames, point, stencil
+from rasterweave.operators import frames, point, stencil, tiling
 from rasterweave.plans import model
+from rasterweave.sources import images
 from rasterweave.sources.rasters import G8, M64, RGB8, gray8, mosaic64, rgb8
 
 QUERIES, ORACLES = {}, {}
@@ -27,8 +28,9 @@ def query(sql: str | None = None):
 def near(src: str, r: int, columns: str, name: str, last: int) -> str:
     """CTE of each pixel's (2r + 1)^2 neighbours with edges repeated."""
     own = ", ".join(f"q.{c} AS n{c}" for c in columns.split())
-    return f"""{name} AS (SELECT a.*, dy, dx, {own} FROM {src} a CROSS JOIN (SELECT unnest(range(-{r}, {r + 1})) AS dy) CROSS JOIN (SELECT unnest(range(-{r}, {r + 1})) AS dx)
- JOIN {src} q ON q.frame_id = a.frame_id AND q.y = greatest(0, least({last}, a.y + dy)) AND q.x = greatest(0, least({last}, a.x + dx)))"""
+    return f"""{name}t AS MATERIALIZED (SELECT a.*, dy, dx, greatest(0, least({last}, a.y + dy)) AS qy, greatest(0, least({last}, a.x + dx)) AS qx
+ FROM {src} a CROSS JOIN (SELECT unnest(range(-{r}, {r + 1})) AS dy) CROSS JOIN (SELECT unnest(range(-{r}, {r + 1})) AS dx)),
+{name} AS (SELECT t.*, {own} FROM {name}t t JOIN {src} q ON q.frame_id = t.frame_id AND q.y = t.qy AND q.x = t.qx)"""
 
 
 def weighted(src: str, weights: list[int], name: str, last: int, c: str = "v") -> str:
@@ -370,3 +372,17 @@ def flagship(spark, sf_dir):
     px = stencil.sobel(g8(spark, sf_dir)).withColumn("state", stencil.threshold(stencil.magnitude(), LOW, HIGH))
     px = stencil.hysteresis_once(px)
     return point.colorize(px, p.background, p.ink, F.col("state") == 2)
+
+
+@query(f"WITH {M64}, {near('m64', 1, 'v', 'nb', 63)} SELECT frame_id, y, x, (list_sort(list(nv)))[5] AS v FROM nb GROUP BY frame_id, y, x")
+def tiled_median(spark, sf_dir):
+    """A stencil on 16 x 16 tiles with a halo equals the one on whole frames."""
+    px = tiling.tiled(mosaic64(spark, sf_dir), 16, 1, 64, 64)
+    return pick(tiling.untiled(stencil.median(stencil.by_frame(px)), 16), "v")
+
+
+@query()
+def png_sink(spark, sf_dir):
+    """Rendered frames as PNG files' bytes, with their length."""
+    art = frames.render(frames.frames_of(rgb8(spark, sf_dir)), model.Settings())
+    return images.with_png(art).select("frame_id", "width", "height", F.length("png").alias("bytes"), F.sha2("png", 256).alias("digest"))

@@ -9,6 +9,7 @@ from rasterweave.functions import schedule as sch
 from rasterweave.functions import text
 from rasterweave.plans import model
 from rasterweave.sources.rasters import CLOCK, DIMS, DURATION, FPS, frame_clock, media_dims, table
+from rasterweave.sources.session import scratch, ship
 from rasterweave.streaming import chunks
 
 QUERIES, ORACLES = {}, {}
@@ -316,3 +317,24 @@ def encode_plan(spark, sf_dir):
 @query(f"WITH {DIMS} SELECT media_id, concat_ws(':', width, height, detail, preset_no) AS cache_key FROM dims")
 def settings_key(spark, sf_dir):
     return media_dims(spark, sf_dir).select("media_id", F.concat_ws(":", *[F.col(c).cast("string") for c in ("width", "height", "detail", "preset_no")]).alias("cache_key"))
+
+
+STREAMED = f"""n AS (SELECT count(*) AS total, min(event_id) AS base, CAST(ceil(count(*) / {SEGMENTS}) AS BIGINT) AS f FROM events), r0 AS (SELECT event_id - base AS i, total, f, least({SEGMENTS - 1}, (event_id - base) // f) AS seg FROM events, n),
+r1 AS (SELECT *, i - seg * f AS local, CASE WHEN seg = {SEGMENTS - 1} THEN total - seg * f ELSE f END AS own FROM r0),
+r2 AS (SELECT CAST(seg AS BIGINT) AS seg, CAST(local // {CHUNK} AS BIGINT) AS chunk, least((local // {CHUNK}) * {CHUNK} + {CHUNK}, own) - (local // {CHUNK}) * {CHUNK} AS expected FROM r1 WHERE i % 97 <> 5)"""
+
+
+@query(f"WITH {STREAMED} SELECT seg, chunk, count(*) AS frames FROM r2 GROUP BY seg, chunk HAVING count(*) = max(expected)")
+def stream_chunk_complete(spark, sf_dir):
+    """Structured Streaming: every chunk fires once when its last frame arrives;
+    frames are events by id, read as a stream until all input is used."""
+    ship(spark)
+    batch = table(spark, sf_dir, "events")
+    first = batch.agg(F.count("*").alias("total"), F.min("event_id").alias("base")).first()
+    source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    frames = source.select((F.col("event_id") - first.base).alias("i"))
+    routed = sch.route(frames, F.lit(first.total), F.lit(SEGMENTS), F.lit(CHUNK)).where("i % 97 <> 5").select("seg", "chunk", "within", "expected")
+    out = scratch(spark, "stream-chunks")
+    sink = chunks.completed_stream(routed).writeStream.option("checkpointLocation", out + "/state").trigger(availableNow=True)
+    sink.format("parquet").option("path", out + "/rows").start().awaitTermination()
+    return spark.read.schema(chunks.OUT).parquet(out + "/rows")

@@ -1,6 +1,8 @@
 """Session helpers."""
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -12,3 +14,13 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir;
+    a temporary one where a session, as in tests, has none)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
