@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rasterweave.sources.session import ship
+
 OUT = "seg long, chunk long, frames long"
 STATE = "frames long, fired boolean"
 
@@ -35,4 +37,5 @@ def fire_once(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 def completed_stream(routed: DataFrame) -> DataFrame:
     """Streaming form of ``completed`` for frames that arrive once each."""
+    ship(routed.sparkSession)
     return routed.groupBy("seg", "chunk").applyInPandasWithState(fire_once, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
