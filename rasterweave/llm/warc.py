@@ -203,6 +203,8 @@ def convert(arcs: DataFrame, folder: str, least: int = 1000, file_bytes: int = 1
     copied = marks.groupBy("digest").agg(first.alias("of"), F.count("*").alias("n")).where("n > 1").select("digest", "of")
     copied = materialise(copied, "copied-payloads")
     records = sized_join(arc_records(arcs), copied, "digest", "left")
+    again = (F.col("payload_bytes") >= least) & F.col("of").isNotNull() & F.coalesce(F.col("page_id") < F.col("of.page_id"), F.lit(True))
+    records = records.select(F.col("page_id").cast("string").alias("page"), "url", "ip", "date", "mime", "digest", "headers", "payload", "truncated", again.alias("again"), F.col("of.page_id").cast("string").alias("of_page"), F.col("of.url").alias("of_url"), F.col("of.date").alias("of_date"))
 
     def write(batches):
         from pyarrow import fs as pafs
@@ -228,21 +230,18 @@ def convert(arcs: DataFrame, folder: str, least: int = 1000, file_bytes: int = 1
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                page = None if pd.isna(r.page_id) else int(r.page_id)
-                fields = [("WARC-Record-ID", f"<{record_id(page, r.url, r.date)}>"), ("WARC-Date", iso_date(r.date)), ("WARC-Target-URI", r.url), ("WARC-IP-Address", r.ip), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(r.digest)).decode())]
+                fields = [("WARC-Record-ID", f"<{record_id(r.page, r.url, r.date)}>"), ("WARC-Date", iso_date(r.date)), ("WARC-Target-URI", r.url), ("WARC-IP-Address", r.ip), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(r.digest)).decode())]
                 if r.truncated:
                     fields.append(("WARC-Truncated", "unspecified"))
-                again = r.payload_bytes >= least and r.of is not None and (page is None or page < r.of["page_id"])
                 if not r.headers:
                     kind, block = "resource", r.payload
                     fields.append(("Content-Type", r.mime))
                 else:
                     kind, block = "response", r.headers + r.payload
                     fields.append(("Content-Type", "application/http;msgtype=response"))
-                if again:
+                if r.again:
                     kind, block = "revisit", r.headers
-                    of = r.of
-                    fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<{record_id(of['page_id'], of['url'], of['date'])}>"), ("WARC-Refers-To-Target-URI", of["url"]), ("WARC-Refers-To-Date", iso_date(of["date"]))]
+                    fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<{record_id(r.of_page, r.of_url, r.of_date)}>"), ("WARC-Refers-To-Target-URI", r.of_url), ("WARC-Refers-To-Date", iso_date(r.of_date))]
                 parts.append(warc_record(kind, fields, block))
                 size, count = size + len(parts[-1]), count + 1
                 if size >= file_bytes:
