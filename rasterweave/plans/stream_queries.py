@@ -97,8 +97,7 @@ routed AS (SELECT i, value, CAST(seg AS BIGINT) AS seg, CAST(local AS BIGINT) AS
 
 def _routed(spark, sf_dir):
     clock = frame_clock(spark, sf_dir)
-    total = clock.agg(F.count("*").alias("total"))  # one row
-    return sch.route(clock.crossJoin(F.broadcast(total)), F.col("total"), F.lit(SEGMENTS), F.lit(CHUNK)).drop("total")
+    return sch.route(clock, F.lit(clock.count()), F.lit(SEGMENTS), F.lit(CHUNK))
 
 
 @query(f"WITH {ROUTED} SELECT i, seg, local, chunk, within, expected FROM routed")
@@ -132,9 +131,8 @@ def interval_route_join(spark, sf_dir):
 @query(f"WITH {FRAMES}, n AS (SELECT count(*) AS total FROM fr) SELECT i, CAST(greatest(0, least(100, 88 + floor(least(100, 5 + (i + 1) / total * 83) * 0.04::DOUBLE + 0.5))) AS INT) AS percent FROM fr, n")
 def progress_curve(spark, sf_dir):
     clock = frame_clock(spark, sf_dir)
-    total = clock.agg(F.count("*").alias("total"))
-    done = F.least(F.lit(100.0), 5 + (F.col("i") + 1) / F.col("total") * 83)
-    return clock.crossJoin(F.broadcast(total)).select("i", sch.progress(88, 0.04, done).alias("percent"))
+    done = F.least(F.lit(100.0), 5 + (F.col("i") + 1) / F.lit(clock.count()) * 83)
+    return clock.select("i", sch.progress(88, 0.04, done).alias("percent"))
 
 
 @query(f"WITH {ROUTED} SELECT seg, chunk, local, max(i) OVER (PARTITION BY seg, chunk ORDER BY value, i ROWS UNBOUNDED PRECEDING) AS latest FROM routed")
@@ -338,3 +336,52 @@ def stream_chunk_complete(spark, sf_dir):
     sink = chunks.completed_stream(routed).writeStream.option("checkpointLocation", out + "/state").trigger(availableNow=True)
     sink.format("parquet").option("path", out + "/rows").start().awaitTermination()
     return spark.read.schema(chunks.OUT).parquet(out + "/rows")
+
+
+@query(f"WITH {ROUTED}, t AS (SELECT seg, chunk, i, least({DURATION - 0.001}::DOUBLE, (i // 3) / {FPS}::DOUBLE) AS t FROM routed), p AS (SELECT *, lag(t) OVER (PARTITION BY seg, chunk ORDER BY i) AS before FROM t) "
+       "SELECT i, t, before IS NOT NULL AND abs(t - before) < 0.001 AS skipped FROM p")
+def seek_plan(spark, sf_dir):
+    """Seeks that a chunk's reader can leave out: it already is within a millisecond."""
+    t = _routed(spark, sf_dir).withColumn("t", sch.frame_time(F.expr("i div 3"), F.lit(DURATION), F.lit(FPS)))
+    before = F.lag("t").over(Window.partitionBy("seg", "chunk").orderBy("i"))
+    return t.select("i", "t", F.coalesce(F.abs(F.col("t") - before) < 0.001, F.lit(False)).alias("skipped"))
+
+
+@query("SELECT user_id, CAST(floor((max(epoch_ms(ts)) - min(epoch_ms(ts))) / 1000 + 0.5) AS BIGINT) AS elapsed_s FROM events GROUP BY user_id")
+def elapsed_seconds(spark, sf_dir):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.floor((F.max(ms) - F.min(ms)) / 1000 + 0.5).cast("long").alias("elapsed_s"))
+
+
+SITE = "regexp_extract(url, '://([^/?#]*)', 1)"
+
+
+@query(f"SELECT {SITE} AS site, min(url) AS first_url, count(*) AS listed FROM pages GROUP BY 1")
+def first_file(spark, sf_dir):
+    """Of each list of files only the first is taken."""
+    site = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return table(spark, sf_dir, "pages").groupBy(site.alias("site")).agg(F.min("url").alias("first_url"), F.count("*").alias("listed"))
+
+
+@query(f"WITH {DIMS}, f AS (SELECT media_id, media_id % 2 = 0 AS normalize, media_id % 3 = 0 AS boost, media_id % 5 = 0 AS clean, media_id % 7 <> 0 AS loaded FROM dims) "
+       "SELECT media_id, CASE WHEN NOT (normalize OR boost OR clean) THEN 'pixel' WHEN loaded THEN 'frame' ELSE 'not ready' END AS tier FROM f")
+def tier_plan(spark, sf_dir):
+    """Renders that need frame statistics or components go to the frame tier."""
+    k = F.col("media_id")
+    needs = (k % 2 == 0) | (k % 3 == 0) | (k % 5 == 0)
+    tier = F.when(~needs, "pixel").when(k % 7 != 0, "frame").otherwise("not ready")
+    return media_dims(spark, sf_dir).select("media_id", tier.alias("tier"))
+
+
+@query(f"WITH {ARRIVED}, done AS (SELECT DISTINCT seg, chunk FROM arrived WHERE within = expected - 1) SELECT i, seg, chunk FROM routed r WHERE EXISTS (SELECT 1 FROM done d WHERE d.seg = r.seg AND d.chunk = r.chunk)")
+def drained_members(spark, sf_dir):
+    """Frames of chunks in the set whose last frame has arrived (semi join)."""
+    done = _arrived(spark, sf_dir).where("within = expected - 1").select("seg", "chunk").distinct()
+    return _routed(spark, sf_dir).join(done, ["seg", "chunk"], "left_semi").select("i", "seg", "chunk")
+
+
+@query(f"WITH {ARRIVED}, w AS (SELECT seg, chunk, i FROM routed EXCEPT ALL SELECT seg, chunk, i FROM arrived) SELECT seg, chunk, i FROM w")
+def expected_minus_done(spark, sf_dir):
+    """Bag difference: frames that never arrived."""
+    columns = ("seg", "chunk", "i")
+    return _routed(spark, sf_dir).select(*columns).exceptAll(_arrived(spark, sf_dir).select(*columns))
