@@ -34,6 +34,8 @@ CHUNK = 3_000_000
 #: At most so many frequent shingles are told apart (16 bytes each).
 FREQUENT = 400_000
 LONGEST_L = 8
+#: Shingles of more documents than this are joined in blocks of BLOCK documents.
+FEW, BLOCK = 32, 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _MIX = np.random.default_rng(23).integers(1, 2**63, 64 * 256, dtype=np.uint64)
 SPACE = re.compile(r"[ \t-\r]+")
@@ -261,21 +263,88 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     comps = connected_components(links)
 
     # what is left lies between components: only shingles that more than one has
-    placed = posts.select("token", "doc_id", "meta").join(comps, F.col("doc_id") == F.col("node"), "left")
-    placed = placed.select("token", "doc_id", "meta", F.coalesce("component", "doc_id").alias("comp"))
-    placed = placed.select("*", F.min("comp").over(token).alias("low"), F.max("comp").over(token).alias("high")).where("low <> high")
-    placed = materialise(placed.select("token", "doc_id", "meta", "comp"), "open-prefixes")
-    a = placed.select("token", F.col("doc_id").alias("u"), F.col("meta").alias("um"), F.col("comp").alias("uc"))
-    b = placed.select("token", F.col("doc_id").alias("v"), F.col("meta").alias("vm"), F.col("comp").alias("vc"))
-    fits = f"uc < vc and 100 * least(um div 16, vm div 16) >= {percent} * greatest(um div 16, vm div 16)"
-    more = candidates(a.join(b, "token").where(fits).select("u", "v", "um", "vm"), percent)
+    placed = posts.select("token", "doc_id", "meta", "hub").join(comps, F.col("doc_id") == F.col("node"), "left")
+    placed = placed.select("token", "doc_id", "meta", "hub", F.coalesce("component", "doc_id").alias("comp"))
+    over = [F.min("comp").over(token).alias("low"), F.max("comp").over(token).alias("high"), F.count("*").over(token).alias("docs")]
+    placed = materialise(placed.select("*", *over).where("low <> high").drop("low", "high"), "open-prefixes")
+    # a pair that shares a shingle of many documents is settled in their blocks, so
+    # only pairs without one are counted here, and all that they share is here
+    few = placed.where(f"docs <= {FEW}")
+    a = few.select("token", F.col("doc_id").alias("u"), F.col("meta").alias("um"), F.col("comp").alias("uc"))
+    b = few.select("token", F.col("doc_id").alias("v"), F.col("meta").alias("vm"), F.col("comp").alias("vc"))
+    more = candidates(a.join(b, "token").where("uc < vc").select("u", "v", "um", "vm"), percent)
     more = materialise(verified(materialise(more, "pairs"), single, k, percent), "links")
+    blocks = block_links(placed.where(f"docs > {FEW}").select("hub", "doc_id", "comp").distinct(), single, k, percent)
+    more = more.unionByName(materialise(blocks, "block-links"))
     edges = links.unionByName(more).unionByName(copies.select(F.col("of").alias("u"), F.col("doc_id").alias("v")))
     comps = connected_components(edges)
     out = signatures.join(comps, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def block_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) that join all that is linked within each hub's members.
+
+    All documents of a shingle have its hub, so any two that share one meet there.
+    Members are dealt to blocks by hash; each pair of blocks is one group of
+    bounded size, its overlaps are counted at once, and it gives a forest of
+    its links, never the pairs.
+    """
+    members = materialise(members, "block-members")
+    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    sizes = materialise(sizes.select("hub", "blocks"), "block-counts")
+    ids = materialise(members.select("doc_id").distinct(), "block-docs")
+
+    def sets(batches):
+        for batch in batches:
+            for own, texts in slices(batch["doc_id"], batch["text"]):
+                yield pd.DataFrame({"doc_id": own, "s": [s.tobytes() for s, _ in shingle_sets(texts, k)]})
+
+    data = sized_join(docs, ids, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary")
+    placed = sized_join(members, sizes, "hub", "inner").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    placed = data.join(placed, "doc_id").withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
+    placed = placed.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "comp", "s")
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = rows["doc_id"].to_numpy()
+        own = [np.frombuffer(b, np.uint64) for b in rows["s"]]
+        n = np.array([len(s) for s in own], np.int64)
+        _, place, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        doc = np.repeat(np.arange(len(own)), n)
+        shared = np.flatnonzero(counts > 1)  # no other shingle adds to an overlap
+        column = np.full(len(counts), -1)
+        column[shared] = np.arange(len(shared))
+        place = column[place]
+        both = np.zeros((len(own), len(own)), np.float32)
+        for at in range(0, len(shared), 4096):
+            here = (place >= at) & (place < at + 4096)
+            m = np.zeros((len(own), min(4096, len(shared) - at)), np.float32)
+            m[doc[here], place[here] - at] = 1
+            both += m @ m.T
+        both = both.astype(np.int64)
+        linked = np.triu(100 * both >= percent * (n[:, None] + n[None] - both), 1)
+        u, v = np.nonzero(linked)
+        return pd.DataFrame(forest(ids, u, v), columns=["u", "v"]).astype("int64")
+
+    return placed.groupBy("hub", "i", "j").applyInPandas(meet, "u long, v long")
+
+
+def forest(names: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """As few edges as join what the edges (u, v), places in ``names``, join."""
+    label = np.arange(len(names))
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = np.flatnonzero(label != np.arange(len(names)))
+    return list(zip(names[far].tolist(), names[label[far]].tolist()))
+
+
 def candidates(shared: DataFrame, percent: int) -> DataFrame:
     """Pairs of sizes that can link and whose prefixes share the smaller l."""
     n, l = "{0} div 16", "{0} % 16"
