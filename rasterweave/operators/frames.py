@@ -54,6 +54,25 @@ def bilateral(a, diameter, sigma):
     return (2 * value + weight) // (2 * weight)
 
 
+def bilateral_rgb(planes, diameter, sigma):
+    """(h, w, 3) planes weighted by the sum of their differences."""
+    place, differ = bilateral_tables(diameter, sigma, 3)
+    differ, r = np.array(differ, np.int64), diameter // 2
+    planes = planes.astype(np.int64)
+    value, weight = np.zeros_like(planes), np.zeros(planes.shape[:2], np.int64)
+    offsets = [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
+    for s, (dy, dx) in zip(place, offsets):
+        n = np.stack([moved(planes[..., k], dy, dx) for k in range(3)], 2)
+        w = s * differ[np.abs(n - planes).sum(2)] // ONE
+        value += n * w[..., None]
+        weight += w
+    return (2 * value + weight[..., None]) // (2 * weight[..., None])
+
+
+def luma(planes):
+    return (299 * planes[..., 0] + 587 * planes[..., 1] + 114 * planes[..., 2] + 500) // 1000
+
+
 def sobel(a):
     a = a.astype(np.int64)
     d = moved(a, 0, 1) - moved(a, 0, -1)
@@ -178,14 +197,14 @@ def line_art(rgb: np.ndarray, s: Settings) -> np.ndarray:
     """(h, w, 3) uint8 in, line art out, stages in their canonical order."""
     planes = rgb.astype(np.int64)
     d, p = s.derived(), s.preset
-    raw = (299 * planes[..., 0] + 587 * planes[..., 1] + 114 * planes[..., 2] + 500) // 1000
-    gray = raw
+    raw, smooth = luma(planes), planes
     if s.custom:
         passes = max(1, min(5, s.bilateral_passes)) if s.bilateral else 0
     else:
         passes = 3 if p.passes >= 2 else 1
     for k in range(passes):
-        gray = bilateral(gray, p.diameter, d["sigma"] if k == 0 else d["refine"])
+        smooth = bilateral_rgb(smooth, p.diameter, d["sigma"] if k == 0 else d["refine"])
+    gray = luma(smooth)
     if s.custom and s.gaussian:
         for _ in range(s.gaussian_passes):
             gray = gaussian(gray, 2, 1.1)

@@ -72,11 +72,11 @@ def median(px: DataFrame, passes: int = 1, c: str = "v") -> DataFrame:
     return px
 
 
-def bilateral_tables(diameter: int, sigma: float) -> tuple[list[int], list[int]]:
-    """Fixed-point weights of the (2r + 1)^2 places and of the 256 differences."""
+def bilateral_tables(diameter: int, sigma: float, planes: int = 1) -> tuple[list[int], list[int]]:
+    """Fixed-point weights of the (2r + 1)^2 places and of the differences, summed over planes."""
     r = diameter // 2
     place = [round(ONE * math.exp(-0.5 * (dx * dx + dy * dy) / sigma**2)) for dy in range(-r, r + 1) for dx in range(-r, r + 1)]
-    return place, [round(ONE * math.exp(-0.5 * (d / sigma) ** 2)) for d in range(256)]
+    return place, [round(ONE * math.exp(-0.5 * (d / sigma) ** 2)) for d in range(255 * planes + 1)]
 
 
 def bilateral(px: DataFrame, diameter: int, sigma: float, c: str = "v") -> DataFrame:
@@ -90,6 +90,21 @@ def bilateral(px: DataFrame, diameter: int, sigma: float, c: str = "v") -> DataF
     return px.withColumn(c, F.expr("cast((2 * _v + _t) div (2 * _t) as int)")).drop("_n", "_w", "_v", "_t")
 
 
+def bilateral_rgb(px: DataFrame, diameter: int, sigma: float, planes: tuple = ("r", "g", "b")) -> DataFrame:
+    """As ``bilateral``, for three planes with the sum of their differences."""
+    place, range_ = bilateral_tables(diameter, sigma, len(planes))
+    for c in planes:
+        px = _square(px, c, diameter // 2, f"_{c}n")
+    apart = " + ".join(f"abs(element_at(_{c}n, i) - {c})" for c in planes)
+    weights = f"transform(sequence(1, {len(place)}), i -> cast(element_at(array({', '.join(map(str, place))}), i) as long) * element_at(array({', '.join(map(str, range_))}), {apart} + 1) div {ONE})"
+    px = px.withColumn("_w", F.expr(weights)).withColumn("_t", F.expr("aggregate(_w, 0L, (a, b) -> a + b)"))
+    for c in planes:
+        px = px.withColumn(f"_{c}v", F.expr(f"aggregate(zip_with(_{c}n, _w, (n, w) -> n * w), 0L, (a, b) -> a + b)"))
+    for c in planes:
+        px = px.withColumn(c, F.expr(f"cast((2 * _{c}v + _t) div (2 * _t) as int)"))
+    return px.drop("_w", "_t", *[f"_{c}{x}" for c in planes for x in "nv"])
+
+
 def smooth(px: DataFrame, diameter: int, sigma: float, refine: float, passes: int) -> DataFrame:
     """First pass with sigma, later ones with refine."""
     for k in range(passes):

@@ -196,6 +196,20 @@ def bilateral_multipass(spark, sf_dir):
     return pick(stencil.smooth(g8(spark, sf_dir), 5, 45, 23, 2), "v")
 
 
+def _bilateral_rgb_sql(diameter, sigma):
+    r = diameter // 2
+    place, differ = stencil.bilateral_tables(diameter, sigma, 3)
+    planes = ", ".join(f"CAST((2 * sum(n{c} * w) + sum(w)) // (2 * sum(w)) AS INT) AS {c}" for c in "rgb")
+    return near("rgb8", r, "r g b", "bc", 7) + f""",
+bw AS (SELECT frame_id, y, x, nr, ng, nb, CAST(({place})[(dy + {r}) * {2 * r + 1} + dx + {r + 1}] AS BIGINT) * ({differ})[abs(nr - r) + abs(ng - g) + abs(nb - b) + 1] // {stencil.ONE} AS w FROM bc),
+bl AS (SELECT frame_id, y, x, {planes} FROM bw GROUP BY frame_id, y, x)"""
+
+
+@query(f"WITH {RGB8}, {_bilateral_rgb_sql(5, 45)} SELECT * FROM bl")
+def bilateral_rgb(spark, sf_dir):
+    return pick(stencil.bilateral_rgb(c8(spark, sf_dir), 5, 45), "r", "g", "b")
+
+
 NMS = f"{SOBEL}, {nms_sql('sb', 'abs(gx) + abs(gy)', 'nm', 7)}"
 
 

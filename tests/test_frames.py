@@ -55,6 +55,16 @@ def test_tiers_agree(spark, name):
         assert (fr(a) == got).all()
 
 
+def test_colour_bilateral_agrees(spark):
+    a = np.random.default_rng(8).integers(0, 256, (7, 9, 3))
+    rows = [(0, y, x, *map(int, a[y, x])) for y in range(7) for x in range(9)]
+    px = stencil.bilateral_rgb(spark.createDataFrame(rows, "frame_id long, y int, x int, r int, g int, b int"), 5, 60)
+    got = np.zeros_like(a)
+    for r in px.collect():
+        got[r.y, r.x] = (r.r, r.g, r.b)
+    assert (frames.bilateral_rgb(a, 5, 60) == got).all()
+
+
 def test_edges_agree(spark):
     like = list(SHAPES.values())
     px = stencil.sobel(pixels(spark, like)).withColumn("mag", stencil.magnitude("l2")).withColumn("dir", stencil.direction())
