@@ -49,7 +49,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     Words are lower-cased runs of letters and digits; items or documents of
     fewer than k words have one shingle, all their words. Null, empty and wordless texts
     match nothing. Repeated ids are distinct rows merged by id: a pair appears
-    once with its largest overlap. Empty tables give an empty result. Only
+    once with its largest overlap; a null doc_id contains nothing. Empty tables give an empty result. Only
     the id and text columns are read.
     """
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")

@@ -52,29 +52,29 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     rules = materialise(rules, "url-rules")
     lengths = [r[0] for r in rules.select("path_len").distinct().collect()]  # at most the longest path
 
-    urls = pages.select(F.col(url).alias("_url")).where("_url is not null").distinct()
-    parts = urls.select("_url", F.split(host_of(F.col("_url")), r"\.").alias("labels"), path_of(F.col("_url")).alias("_path"))
+    urls = pages.select(F.col(url).alias("__url")).where("__url is not null").distinct()
+    parts = urls.select("__url", F.split(host_of(F.col("__url")), r"\.").alias("labels"), path_of(F.col("__url")).alias("__path"))
     suffixes = F.expr("transform(sequence(1, size(labels)), i -> array_join(slice(labels, i, size(labels) - i + 1), '.'))")
     cuts = F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.expr("array()").cast("array<int>")
     expressions = (
-        parts.select("_url", "_path", F.explode(suffixes).alias("suffix"))
+        parts.select("__url", "__path", F.explode(suffixes).alias("suffix"))
         .where("suffix <> ''")
         .withColumn("cut", F.explode(cuts))
-        .where("length(_path) >= cut")
-        .select("_url", F.sha2(F.concat_ws("\n", "suffix", F.expr("substring(_path, 1, cut)")), 256).alias("digest"))
+        .where("length(__path) >= cut")
+        .select("__url", F.sha2(F.concat_ws("\n", "suffix", F.expr("substring(__path, 1, cut)")), 256).alias("digest"))
         .withColumn("short", F.substring("digest", 1, prefix_hex))
     )
     hits = sized_join(expressions, rules, "short", "inner").where("digest = rule_digest")
-    best = hits.groupBy("_url").agg(
-        F.max(F.struct((F.col("host_len") + F.col("path_len")).alias("a"), F.col("host_len").alias("b"), F.when(F.col("verdict") == "block", 1).otherwise(0).alias("c"), "rule", "verdict")).alias("_best")
+    best = hits.groupBy("__url").agg(
+        F.max(F.struct((F.col("host_len") + F.col("path_len")).alias("a"), F.col("host_len").alias("b"), F.when(F.col("verdict") == "block", 1).otherwise(0).alias("c"), "rule", "verdict")).alias("__best")
     )
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    return pages.select(*kept).join(best, F.col(url) == F.col("_url"), "left").select(
+    return pages.select(*kept).join(best, F.col(url) == F.col("__url"), "left").select(
         *kept,
         host_of(F.col(url)).alias("host"),
         path_of(F.col(url)).alias("path"),
-        F.col("_best.rule").alias("rule"),
-        F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
+        F.col("__best.rule").alias("rule"),
+        F.coalesce("__best.verdict", F.lit(default)).alias("verdict"),
     )
 
 
