@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of at most this many rows of a few numbers each is broadcast; above it
@@ -16,7 +18,7 @@ BROADCAST_ROWS = 2_000_000
 
 
 #: Characters of text that a Python task works on at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 def slices(texts) -> Iterator[list]:
@@ -32,6 +34,31 @@ def slices(texts) -> Iterator[list]:
         yield some
 
 
+_kept: dict = {}
+
+
+def kept(key, build):
+    """What this Python worker keeps between tasks: one operator's model at a time.
+
+    Workers serve one stage after another; what the last operator kept goes
+    before another's is made.
+    """
+    if _kept.get("key") != key:
+        release()
+        _kept.update(key=key, value=build())
+    return _kept["value"]
+
+
+def release() -> None:
+    """Drop what was kept and hand free memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this library from where the driver did."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -80,6 +107,19 @@ def sized_join(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFram
     return left.join(right, on, how)
 
 
+def smallest_hashes(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
+    """Of each group the ``most`` rows with the smallest hashes of ``key``.
+
+    Group sizes set a hash bound that about 2 * most + 64 rows of a group pass, so what
+    is ranked in one place stays that small however large a group is.
+    """
+    sizes = materialise(rows.groupBy(group).agg(F.count("*").alias("_n")), "group-sizes")
+    bound = F.least(F.lit(1.0), (2.0 * most + 64) / F.col("_n")) * (1 << 30)
+    near = sized_join(rows, sizes, group, "inner").where(F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 30)) < bound)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.pmod(F.xxhash64(F.lit(17), key), F.lit(1 << 30)), key))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_n", "_rank")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) links -> (node, component), component the smallest node reachable.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import prepare
+from .common import kept, prepare
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -344,15 +344,6 @@ def training_pages(pages: int, seed: int) -> Iterator[tuple[str, list[int]]]:
         yield head + "<body>" + "".join(body) + pick(["</body></html>", ""]), marks
 
 
-_models: dict = {}
-
-
-def worker_model(key: str, sent) -> BlockModel:
-    if _models.get("key") != key:
-        _models.update(key=key, model=BlockModel(*sent.value))
-    return _models["model"]
-
-
 def extract(pages: DataFrame, html: str = "html", model: BlockModel | None = None) -> DataFrame:
     """Add text, the main text, and n_chars, its code points, to every row.
 
@@ -367,12 +358,12 @@ def extract(pages: DataFrame, html: str = "html", model: BlockModel | None = Non
     sent = spark.sparkContext.broadcast((model.weights, model.transitions))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = worker_model(key, sent)
+        own = kept(key, lambda: BlockModel(*sent.value))
         for series in batches:
             yield pd.Series(own.main_texts(series.tolist()), dtype=object)
 
-    kept = [c for c in pages.columns if c not in ("text", "n_chars")]
-    out = pages.select(*kept, F.pandas_udf(run, "string")(F.col(html)).alias("text"))
+    others = [c for c in pages.columns if c not in ("text", "n_chars")]
+    out = pages.select(*others, F.pandas_udf(run, "string")(F.col(html)).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -26,11 +26,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, prepare, sized_join
+from .common import connected_components, materialise, prepare, release, sized_join
 
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: Shingles gathered in a task before their counts are handed on.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 #: At most so many frequent shingles are told apart (16 bytes each).
 FREQUENT = 400_000
 LONGEST_L = 8
@@ -106,6 +106,7 @@ def _scan(k: int):
     """kind 0: (doc_id, words' hash, shingles); kind 1: (shingle, documents)."""
 
     def run(batches):
+        release()
         gathered, size = [], 0
 
         def hand_on():
@@ -134,6 +135,7 @@ def _scan(k: int):
 
 def _prefixes(k: int, percent: int, sent):
     def run(batches):
+        release()
         keys, counts = sent.value
         for batch in batches:
             for ids, texts in slices(batch["doc_id"], batch["text"]):

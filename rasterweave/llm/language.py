@@ -17,17 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import prepare, slices
+from .common import kept, prepare, slices, smallest_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
 HASHES = 1 << 15
 #: Cells (words times texts) of one padded batch.
 CELLS = 250_000
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 400_000
 
 
 def ngram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,22 +155,11 @@ def fit_from(docs: DataFrame, per_language: int = 250, doc_id: str = "doc_id", t
     """Learn from at most ``per_language`` documents of each non-null language,
     those with the smallest hashes among documents with crc32(doc_id) mod 4 <> 2."""
     rows = docs.where((F.crc32(F.col(doc_id).cast("string")) % 4 != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id))
-    ids = rows.select(doc_id, lang).withColumn("_rank", rank).where(F.col("_rank") <= per_language).select(doc_id).distinct()
+    ids = smallest_hashes(rows.select(F.col(doc_id).alias(doc_id), F.col(lang).alias(lang)), lang, doc_id, per_language).select(doc_id).distinct()
     sample = rows.join(F.broadcast(ids), doc_id, "left_semi").select(text, lang).orderBy(F.xxhash64(text), text, lang).collect()
     return LanguageModel.fit([r[0] for r in sample], [r[1] for r in sample])
 
 
-_models: dict = {}
-
-
-def worker_model(key: str, sent) -> LanguageModel:
-    """This worker process's model, kept between tasks with its word scores."""
-    if _models.get("key") != key:
-        _models.update(key=key, model=LanguageModel(*sent.value))
-    return _models["model"]
-
-
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add lang_pred and score to every row.
 
@@ -185,7 +174,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
     sent = spark.sparkContext.broadcast((model.labels, model.lexicon, model.weights, model.transitions))
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = worker_model(key, sent)
+        own = kept(key, lambda: LanguageModel(*sent.value))  # with its words' scores
         for series in texts:
             if not own.labels:
                 yield pd.DataFrame({"lang_pred": ["und"] * len(series), "score": 0.0})
@@ -203,8 +192,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
             })
 
     judge = F.pandas_udf(run, "lang_pred string, score double")
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.withColumn("_judged", judge(F.col(text))).select(*kept, "_judged.lang_pred", "_judged.score")
+    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    out = docs.select(*others, judge(F.col(text)).alias("lang_pred"))
+    return out.select(*others, "lang_pred.lang_pred", "lang_pred.score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:

@@ -9,14 +9,15 @@ hidden vectors is scored, and only document labels are learned from.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices
+from .common import kept, prepare, release, slices, smallest_hashes
 
 PASSAGE_WORDS = 64
 CLASSES = 16
@@ -180,11 +181,11 @@ def fit_from(docs: DataFrame, labels: DataFrame, per_label: int = 1500, doc_id:
     prepare(spark)
     marks = labels.where((F.crc32(F.col(doc_id).cast("string")) % 5 != 0) & F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.max(label).alias("_y"))
     totals = {r["_y"]: r["count"] for r in marks.groupBy("_y").count().collect()}
-    rank = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64(doc_id), doc_id))
-    marks = marks.withColumn("_rank", rank).where(F.col("_rank") <= per_label).select(F.col(doc_id).alias("_id"), "_y")
+    marks = smallest_hashes(marks.select(F.col(doc_id).alias("_id"), "_y"), "_y", "_id", per_label)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(marks), "_id")
 
     def encode(batches):
+        release()
         for batch in batches:
             at = 0
             for some in slices(batch["_text"]):
@@ -212,18 +213,19 @@ def score(docs: DataFrame, model: AttentionModel | None, text: str = "text") ->
     """
     spark = docs.sparkSession
     prepare(spark)
+    key = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast(model.weights if model else None)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = AttentionModel(sent.value) if sent.value is not None else None
+        own = kept(key, lambda: AttentionModel(sent.value) if sent.value is not None else None)
         for series in texts:
             if own is None:
                 yield pd.Series(np.full(len(series), 0.5))
             else:
                 yield pd.Series(np.concatenate([own.scores(*encode_passages(some)) for some in slices(series)] or [np.zeros(0)]))
 
-    kept = [c for c in docs.columns if c != "score"]
-    return docs.select(*kept, F.pandas_udf(run, "double")(F.col(text)).alias("score"))
+    others = [c for c in docs.columns if c != "score"]
+    return docs.select(*others, F.pandas_udf(run, "double")(F.col(text)).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:

@@ -9,6 +9,8 @@ from operator import itemgetter
 
 import numpy as np
 
+from .common import kept
+
 #: White space that the byte-level split pattern knows (Unicode White_Space).
 _SPACE = r" \t\n\r\f\v\x85\xa0  -     　"
 _CUT = re.compile(rf"(?<=\S)(?=[{_SPACE}])")
@@ -91,11 +93,6 @@ class TextEncoder:
         return self.bare[head] + b"".join(itemgetter(*rest)(self.spaced))
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str | None = None) -> TextEncoder:
     """This process's encoder; Python workers keep what they know between tasks."""
-    if path not in _encoders:
-        _encoders[path] = TextEncoder(path)
-    return _encoders[path]
+    return kept(("tokens", path), lambda: TextEncoder(path))
