@@ -69,7 +69,7 @@ class TextEncoder:
     string go to the library whole.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1_000_000):
+    def __init__(self, path: str | None = None, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
