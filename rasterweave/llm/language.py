@@ -26,8 +26,8 @@ from .common import kept, prepare, slices, smallest_hashes
 WORD = re.compile(r"[^\W\d_]+")
 HASHES = 1 << 15
 #: Cells (words times texts) of one padded batch.
-CELLS = 250_000
-KNOWN_WORDS = 400_000
+CELLS = 150_000
+KNOWN_WORDS = 250_000
 
 
 def ngram_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,8 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """``docs`` without those of no language or whose language holds less than ``least``."""
-    return predict(docs, fit_from(docs)).where(f"lang_pred <> 'und' and score >= {least}").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))  # docs may have columns of these names
+    return predict(rows, fit_from(docs), "_text").where(f"lang_pred <> 'und' and score >= {least}").select("_row.*")
 
 
 def op1_language_id(spark, sf_dir):

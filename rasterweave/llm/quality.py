@@ -230,7 +230,8 @@ def score(docs: DataFrame, model: AttentionModel | None, text: str = "text") ->
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """``docs`` without those scored below ``least``."""
-    return score(docs, fit_from(docs, labels)).where(F.col("score") >= least).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))  # docs may have a column score
+    return score(rows, fit_from(docs, labels), "_text").where(F.col("score") >= least).select("_row.*")
 
 
 def op3_quality_classifier(spark, sf_dir):

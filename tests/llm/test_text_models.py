@@ -57,7 +57,7 @@ def test_language_edge_cases(spark):
     assert got[103].lang_pred == got[104].lang_pred == got[None].lang_pred == "aa" and got[105].lang_pred == "bb"
     assert all(0 <= r.score <= 1 for r in got.values())
     kept = language.keep_identified(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got) - {100, 101, 102}
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {"clash"} and {r.doc_id for r in kept.collect()} == set(got) - {100, 101, 102}
 
 
 def test_language_of_empty_and_unlabelled_tables(spark):
@@ -114,7 +114,8 @@ def test_quality_edge_cases(spark):
     none = labels.where("false")
     assert {r.score for r in quality.score(docs, quality.fit_from(docs, none)).collect()} == {0.5}
     assert quality.score(docs.where("false"), quality.fit_from(docs, labels)).count() == 0
-    assert quality.keep_good(docs.drop("score"), labels).columns == ["doc_id", "text"]
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {9}
 
 
 def test_quality_held_out(spark, sf_dir):
