@@ -261,7 +261,11 @@ def frames_of(px: DataFrame) -> DataFrame:
 def render(frames: DataFrame, settings: Settings) -> DataFrame:
     """Line art of each frame row; the frame's bytes stay one row."""
 
-    ship(frames.sparkSession)
+    spark = frames.sparkSession
+    ship(spark)
+    # frames are small rows but long work: a set number of partitions is not merged for size
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    frames = frames.repartition(parts, "frame_id")
 
     def run(batches):
         for batch in batches:
