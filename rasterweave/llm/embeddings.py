@@ -3,9 +3,11 @@
 Coarse centroids split the vectors into lists. A vector's residual to its list's centroid is coded
 by the nearest codeword in each subspace. Every vector probes its nearest lists;
 table lookups give asymmetric distances to the codes there, those within the
-threshold plus a slack for the code's own error are reranked by exact cosine in
-double precision, and only exact links count. The codebooks are fitted on a
-bounded sample; every vector is indexed and every vector is a query.
+threshold plus the code's own error are reranked by exact cosine in
+double precision, and only exact links count. A pair is found if either vector
+probes the other's list. The codebooks are fitted on a
+bounded sample; every vector is indexed and every vector is a query. How many lists are probed
+is measured: some vectors are compared with the whole table first.
 """
 
 from __future__ import annotations
@@ -51,19 +53,15 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
 class Index:
     """Coarse centroids and a codebook for each subspace of the residuals."""
 
-    def __init__(self, centres: np.ndarray, books: list[np.ndarray], error: float):
-        self.centres, self.books, self.error = centres, books, error
+    def __init__(self, centres: np.ndarray, books: list[np.ndarray]):
+        self.centres, self.books = centres, books
 
     @classmethod
     def fit(cls, x: np.ndarray, lists: int, subspaces: int = 8, words: int = 64) -> Index:
         centres = kmeans(x, lists)
         rest = x - centres[nearest(x, centres)]
         books = [kmeans(part, words, seed=5 + i) for i, part in enumerate(np.array_split(rest, min(subspaces, x.shape[1]), axis=1))]
-        index = cls(centres, books, 0.0)
-        own = nearest(x, centres)
-        # distance from a vector to its code, nearly never exceeded
-        index.error = float(np.quantile(np.sqrt(((x - index.decode(own, index.encode(x, own))) ** 2).sum(1)), 0.999))
-        return index
+        return cls(centres, books)
 
     def split(self, x):
         edges = np.cumsum([b.shape[1] for b in self.books])[:-1]
@@ -106,14 +104,66 @@ def local_forest(q: np.ndarray, b: np.ndarray, linked: np.ndarray) -> list[tuple
     return list(zip(names[far].tolist(), names[label[far]].tolist()))
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sample: int = 20_000, per_list: int = 128, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def enough_probes(distinct: DataFrame, normal, sent, asked: np.ndarray, ids: np.ndarray, threshold: float, probes: int, recall: float) -> int:
+    """The fewest probes, ``probes`` at least, that find the share ``recall`` of the
+    links that the vectors ``asked`` have in the whole table, over all these links and in
+    the mean over these vectors. Without such links it is ``probes``."""
+    lists = len(sent.value.centres)
+    steps = [min(probes, lists)]
+    while steps[-1] < lists:
+        steps.append(min(lists, steps[-1] + max(1, steps[-1] // 3)))
+    if len(steps) == 1:
+        return steps[0]
+    queries = distinct.sparkSession.sparkContext.broadcast((asked, ids))
+
+    def step_of(d, of):
+        """(rows, of): the first step whose probes reach list ``of``."""
+        edge = np.partition(d, [k - 1 for k in steps], axis=1)[:, [k - 1 for k in steps]]
+        return sum((d[:, of] > edge[:, [k]]).astype(np.int8) for k in range(len(steps) - 1))
+
+    def reach(batches):
+        centres, (q, qid) = sent.value.centres, queries.value
+        own = nearest(q, centres)
+        norms = (centres**2).sum(1)[None]
+        away = np.concatenate([step_of(norms - 2 * q[a : a + 256] @ centres.T, np.arange(lists)) for a in range(0, len(q), 256)])
+        for batch in batches:
+            total = np.zeros((len(q), len(steps)), np.int64)
+            for a in range(0, len(batch), BLOCK):
+                part = batch.iloc[a : a + BLOCK]
+                x, copies = normal(part["v"]), part["copies"].to_numpy()
+                rows, cols = np.nonzero((x @ q.T >= threshold) & (part["id"].to_numpy()[:, None] != qid[None]))
+                if not len(rows):
+                    continue
+                step = away[cols, nearest(x, centres)[rows]]
+                far = np.unique(rows[step > 0])
+                if len(far):
+                    back = step_of(norms - 2 * x[far] @ centres.T, own)
+                    late = step > 0
+                    step[late] = np.minimum(step[late], back[np.searchsorted(far, rows[late]), cols[late]])
+                np.add.at(total, (cols, step), copies[rows])
+            at, step = np.nonzero(total)
+            yield pd.DataFrame({"at": at, "step": step, "n": total[at, step]})
+
+    links = np.zeros((len(asked), len(steps)))
+    found = distinct.select("id", "copies", "v").mapInPandas(reach, "at int, step int, n long")
+    for r in found.groupBy("at", "step").agg(F.sum("n").alias("n")).collect():  # at most asked x steps rows
+        links[r["at"], r["step"]] = r["n"]
+    links = links[links.sum(1) > 0]
+    if not len(links):
+        return steps[0]
+    share = np.minimum(links.sum(0).cumsum() / links.sum(), (links.cumsum(1) / links.sum(1, keepdims=True)).mean(0))
+    return steps[int(np.argmax(share >= min(recall, share[-1])))]
+
+
+def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sample: int = 20_000, per_list: int = 128, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.999, asked: int = 2000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``table``.
 
     Vectors that are null, empty, zero, hold null or non-finite components, or have another
     length than most link with nothing and are their own component, as do rows
     of a null id (null component, kept null). Equal vectors are searched once and link with each other. Repeated
     ids are distinct rows whose links add up. Links are those found by probing
-    with exact cosine >= threshold. Codebooks are fitted on at most ``sample`` vectors, those with
+    with exact cosine >= threshold; ``probes`` is the least number of lists probed, raised until
+    the links of ``asked`` vectors are found to the share ``recall``. Codebooks are fitted on at most ``sample`` vectors, those with
     the smallest hashes. Other columns are not read.
     """
     spark = table.sparkSession
@@ -130,7 +180,8 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sam
     distinct = good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     distinct = materialise(distinct.select("id", "copies", "v"), "distinct-vectors")
     n = distinct.count()
-    picked = np.array([r[0] for r in distinct.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).collect()], float)
+    rows = distinct.select("v", "id", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).collect()
+    picked, ids = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows[:asked]])
     scale = np.abs(picked).max(1, keepdims=True)
     picked = picked / scale
     picked /= np.sqrt((picked**2).sum(1, keepdims=True))
@@ -142,15 +193,18 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sam
         x = x / np.abs(x).max(1, keepdims=True)
         return x / np.sqrt((x**2).sum(1, keepdims=True))
 
+    probes = enough_probes(distinct, normal, sent, picked[:asked], ids, threshold, probes, recall)
+
     def index(batches):
         own_index = sent.value
         for batch in batches:
             x = normal(batch["v"])
             near = nearest(x, own_index.centres, min(probes, len(own_index.centres))).reshape(len(x), -1)
             codes = own_index.encode(x, near[:, 0])
-            yield pd.DataFrame({"id": batch["id"], "copies": batch["copies"], "x": [r.tobytes() for r in x], "code": [c.tobytes() for c in codes], "near": near.tolist()})
+            error = np.sqrt(((x - own_index.decode(near[:, 0], codes)) ** 2).sum(1))
+            yield pd.DataFrame({"id": batch["id"], "copies": batch["copies"], "x": [r.tobytes() for r in x], "code": [c.tobytes() for c in codes], "error": error, "near": near.tolist()})
 
-    coded = distinct.mapInPandas(index, "id long, copies long, x binary, code binary, near array<int>")
+    coded = distinct.mapInPandas(index, "id long, copies long, x binary, code binary, error double, near array<int>")
     coded = materialise(coded, "coded-vectors")
 
     # lists are split into blocks of members and of queries by the id's hash, so
@@ -159,14 +213,14 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sam
     sizes = [(r["list"], int(-(-r["count"] // BLOCK))) for r in sizes.collect()]  # at most 4096 rows
     blocks = dict(sizes)
     split = F.create_map(*[F.lit(x) for k in sorted(blocks) for x in (k, blocks[k])])
-    members = coded.select("id", "copies", "x", "code", F.element_at("near", 1).alias("list"))
+    members = coded.select("id", "copies", "x", "code", "error", "near", F.element_at("near", 1).alias("list"))
     members = members.withColumn("mb", F.pmod(F.xxhash64("id"), split[F.col("list")]).cast("int"))
-    asking = coded.select("id", "copies", "x", F.explode("near").alias("list"))
+    asking = coded.select("id", "copies", "x", F.element_at("near", 1).alias("own"), F.explode("near").alias("list"))
     asking = asking.where(split[F.col("list")].isNotNull()).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), split[F.col("list")] * 4)).cast("int"))
     grid = spark.createDataFrame(sizes, "list int, m int").select("list", "m", F.expr("explode(sequence(0, m - 1))").alias("mb"))
     grid = grid.select("list", "mb", F.expr("explode(sequence(0, 4 * m - 1))").alias("qb"))
     left = members.join(grid, ["list", "mb"])
-    right = asking.join(grid, ["list", "qb"]).select(*[F.col(c).alias(f"q_{c}") for c in ("id", "copies", "x", "list", "mb", "qb")])
+    right = asking.join(grid, ["list", "qb"]).select(*[F.col(c).alias(f"q_{c}") for c in ("id", "copies", "x", "own", "list", "mb", "qb")])
     limit = 2 - 2 * threshold
 
     def meet(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -179,12 +233,17 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sam
         asks = np.frombuffer(b"".join(q["q_x"]), float).reshape(len(q), -1)
         mid, qid = m["id"].to_numpy(), q["q_id"].to_numpy()
         mc, qc = m["copies"].to_numpy(), q["q_copies"].to_numpy()
-        most = (np.sqrt(limit) + own.error) ** 2
+        # no link is farther from a code than its own error allows; float32 tables need a little more
+        most = ((np.sqrt(limit) + m["error"].to_numpy()) ** 2 + 1e-4)[None]
+        probed = np.zeros((len(m), len(own.centres)), bool)
+        probed[np.arange(len(m))[:, None], np.stack(m["near"])] = True
+        lists = q["q_own"].to_numpy()
         found_m, edges, out = np.zeros(len(m), np.int64), [], []
         for at in range(0, len(q), BLOCK):
             some = slice(at, at + BLOCK)
             near = own.distances(asks[some], int(m["list"].iloc[0]), codes) <= most
-            near &= qid[some, None] > mid[None]  # each pair once
+            # each pair once: the larger id's finding counts, the smaller's where the larger does not probe its list
+            near &= (qid[some, None] > mid[None]) | ~probed[:, lists[some]].T
             rows, cols = np.nonzero(near)
             keep = np.zeros(len(rows), bool)
             for c in range(0, len(rows), 200_000):

@@ -166,6 +166,24 @@ def test_embeddings_against_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values()) and len(got) == len(rows) + len(odd)
 
 
+def test_embeddings_recall_in_hundreds_of_lists(spark):
+    rng = np.random.default_rng(21)
+    a = rng.normal(size=(2000, 24))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    e = rng.normal(size=a.shape)
+    e -= (e * a).sum(1, keepdims=True) * a
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.95, size=(2000, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * e])[rng.permutation(4000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df, sample=1000, per_list=8).collect()}  # 500 lists
+    g = x @ x.T >= 0.9
+    np.fill_diagonal(g, False)
+    n = np.array([got[i] for i in range(len(x))])
+    assert (n <= g.sum(1)).all()
+    assert n.sum() >= 0.998 * g.sum(), n.sum() / g.sum()
+
+
 def test_embeddings_edge_tables(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_vectors(spark.createDataFrame([], schema)).count() == 0
