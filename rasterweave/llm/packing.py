@@ -112,14 +112,17 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
                         level[(n,) * k] = level.get((n,) * k, 0) + number
                 break
             contents, number = next(iter(open_[room].items()))
-            take = min(number, todo)
+            # a bin that took a piece has the least room, so it takes the next ones too
+            each = min(room // n, todo)
+            take = min(number, todo // each)
             if take == number:
                 del open_[room][contents]
             else:
                 open_[room][contents] = number - take
-            level = open_.setdefault(room - n, {})
-            level[(*contents, n)] = level.get((*contents, n), 0) + take
-            todo -= take
+            level = open_.setdefault(room - n * each, {})
+            filled = contents + (n,) * each
+            level[filled] = level.get(filled, 0) + take
+            todo -= take * each
     return [(list(c), k) for level in open_.values() for c, k in level.items()]
 
 

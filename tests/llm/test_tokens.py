@@ -130,3 +130,27 @@ def test_least_squares_fits_an_exact_histogram():
     counts[512] = 600
     counts[[1000, 24]] = 50
     assert (packing.plan(counts, 1024)[:, 3] + packing.plan(counts, 1024)[:, 2]).max() == 700 + 300 + 50
+
+
+def piecewise_best_fit(counts, capacity):
+    rooms = []
+    for n in range(capacity, 0, -1):
+        for _ in range(counts[n]):
+            k = min((k for k in range(len(rooms)) if rooms[k] >= n), key=lambda k: rooms[k], default=None)
+            if k is None:
+                rooms.append(capacity - n)
+            else:
+                rooms[k] -= n
+    return len(rooms)
+
+
+def test_best_fit_fills_open_sequences_with_hot_lengths():
+    counts = np.zeros(1025, np.int64)
+    counts[600], counts[100] = 1000, 5000
+    runs = packing.plan(counts, 1024)
+    assert (runs[:, 3] + runs[:, 2]).max() == 1100  # no packing needs fewer than 1075
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        counts = np.zeros(65, np.int64)
+        np.add.at(counts, rng.integers(1, 65, 5), rng.integers(1, 60, 5))
+        assert sum(k for _, k in packing._best_fit(counts.copy(), 64)) == piecewise_best_fit(counts, 64)
