@@ -33,7 +33,9 @@ HASHES = 1 << 13
 #: HTML element kinds.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg select option button object canvas".split())
+RAW = frozenset("script style textarea title iframe".split())
+#: Elements whose text is left out while they are open; their end tags may be missing.
+HIDDEN = frozenset("noscript template svg select option button object canvas".split())
 #: An element that the start of a key's element closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -45,29 +47,49 @@ def blocks_of(html: str | None) -> list[tuple[str, list[str], int]]:
     The path holds an element's tag and its attribute words, outermost first.
     Scripts, styles, comments, titles, form fields and other elements that show no
     running text are left out. Character references are decoded, white
-    space becomes one space; unclosed and stray tags are borne.
+    space becomes one space; unclosed and stray tags are borne. Of a hidden element that is
+    never closed only the text before the next block-level tag is left out.
     """
     if not html:
         return []
     out: list[tuple[str, list[str], int]] = []
     stack: list[tuple[str, str]] = []
+    # open hidden elements: place on the stack, what was there before them, whether
+    # a block-level tag has shown their text, which goes if their end tag comes
+    hidden: list[list] = []
     parts: list[str] = []
     linked = 0
     links = 0
     at = 0
 
+    def block(parts, linked, stack):
+        text = SPACE.sub(" ", "".join(parts)).strip()
+        if text:
+            out.append((text, [s[1] for s in stack if s[1]], linked))
+
     def end_block():
         nonlocal linked
+        first = len(hidden)
+        while first and not hidden[first - 1][-1]:
+            first -= 1
+        for h in hidden[first:]:
+            if h[2]:
+                block(h[2], h[3], stack[: h[0]])
+            h[-1] = True
         if parts:
-            text = SPACE.sub(" ", "".join(parts)).strip()
-            if text:
-                out.append((text, [s[1] for s in stack], linked))
+            block(parts, linked, stack)
             parts.clear()
         linked = 0
 
+    def leave(k):
+        """What was before the hidden element number k."""
+        nonlocal parts, linked, links
+        place, blocks, parts, linked, links, _ = hidden[k]
+        del out[blocks:], stack[place:], hidden[k:]
+
     def add(text):
         nonlocal linked
-        if text:
+        if text and (not hidden or hidden[-1][-1]):
             text = unescape(text) if "&" in text else text
             parts.append(text)
             if links:
@@ -85,11 +107,18 @@ def blocks_of(html: str | None) -> list[tuple[str, list[str], int]]:
                 links = max(0, links - 1)
             if tag in INLINE:
                 continue
+            if tag in HIDDEN:
+                k = next((k for k in range(len(hidden) - 1, -1, -1) if stack[hidden[k][0]][0] == tag), None)
+                if k is not None:
+                    leave(k)
+                    continue
             end_block()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
                     break
+            while hidden and hidden[-1][0] >= len(stack):
+                hidden.pop()
             continue
         if tag in RAW:
             if m[3].rstrip().endswith("/"):
@@ -97,6 +126,18 @@ def blocks_of(html: str | None) -> list[tuple[str, list[str], int]]:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = close.end() if close else len(html)
             continue
+        if tag in ("button", "option", "optgroup") and stack and stack[-1][0] == ("option" if tag == "optgroup" else tag) and hidden and hidden[-1][0] == len(stack) - 1:
+            if hidden[-1][-1]:
+                stack.pop()
+                hidden.pop()
+            else:
+                leave(len(hidden) - 1)
+        if tag in HIDDEN:
+            if not m[3].rstrip().endswith("/"):
+                hidden.append([len(stack), len(out), parts, linked, links, False])
+                stack.append((tag, ""))
+                parts, linked = [], 0
+            continue
         if tag in INLINE:
             links += tag == "a"
             continue

@@ -25,6 +25,18 @@ def test_leaf_blocks():
         assert [b[0] for b in html.blocks_of(odd)] == (["plain"] if odd == "plain" else ["<"] if odd == "<" else ["<p"] if odd == "<p" else [])
 
 
+def test_hidden_elements_without_end_tags():
+    article = "<article><p>One two.</p><p>Three.</p></article>"
+    for before in ("<datalist><option value=a>A<option value=b>B</datalist>", "<div><button>Go</div>", "<button>Go", "<object data=x>", "<p><object data=x>no", "<select><option>a<option>b", "<canvas>", "<svg><path d=x>", "<noscript>", "<template>", "<div><option>a<optgroup><option>b</div>", "<button>Go<button>On</button>"):
+        assert [b[0] for b in html.blocks_of(before + article)] == ["One two.", "Three."], before
+    assert [b[0] for b in html.blocks_of("Some <button>Go" + article)] == ["Some", "One two.", "Three."]
+    assert html.blocks_of("<button>Go" + article) == html.blocks_of(article)
+    # closed ones are left out whole and do not end a block
+    closed = "<p>a <button><div>Go</div> <a href=/>x</a></button>b <select><option>c<option>d</select>e <object><p>f<object>g</object></object>h<svg><title>i</title><g><path/></g></svg></p><div>j<noscript><p>k</noscript></div>"
+    assert [(b[0], b[1], b[2]) for b in html.blocks_of(closed)] == [("a b e h", ["<p>"], 0), ("j", ["<div>"], 0)]
+    assert [b[0] for b in html.blocks_of("x <button>y " * 20_000 + "</button>z")] == [" ".join(["x"] + ["z"])]
+
+
 def test_training_labels_match_blocks_and_model_finds_main_text(model):
     right = total = 0
     for page, marks in html.training_pages(120, 99):
