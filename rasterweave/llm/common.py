@@ -12,9 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side of at most this many rows of a few numbers each is broadcast; above it
-#: Spark shuffles both sides.
-BROADCAST_ROWS = 2_000_000
+#: A side of at most this many bytes is broadcast; above it Spark shuffles both sides.
+BROADCAST_BYTES = 48 << 20
 
 
 #: Characters of text that a Python task works on at a time.
@@ -69,10 +68,13 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in
-    a session without one (local tests) a temporary folder set for it."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local
+    session without one gets a temporary folder; on a cluster it has to be set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -90,21 +92,50 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    path, fs = _file_system(spark, folder)
+    fs.mkdirs(path)
+
+
 def remove(df: DataFrame) -> None:
     """Delete a table of ``materialise`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, fs = _file_system(df.sparkSession, f)
+        fs.delete(path.getParent(), True)
+
+
+def small(df: DataFrame) -> bool:
+    """Whether a materialised table's measured size lets it be broadcast: 16 bytes a
+    row and 8 a number, and what its strings, binaries and arrays hold."""
+    fixed, loose = 16, []
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            loose.append(F.octet_length(f.name))
+        elif kind == "array":
+            each = f.dataType.elementType.typeName()
+            own = F.size(f.name) * 8 if each != "string" else F.octet_length(F.concat_ws(" ", f.name)) + F.size(f.name) * 16
+            loose.append(own)
+        elif kind == "struct":
+            fixed += 8 * len(f.dataType.fields)
+            loose += [F.octet_length(f"{f.name}.{g.name}") for g in f.dataType.fields if g.dataType.typeName() == "string"]
+        fixed += 8
+    total = F.lit(0).cast("long")
+    for c in loose:
+        total = total + F.coalesce(F.sum(F.greatest(c, F.lit(0)).cast("long")), F.lit(0))
+    return df.agg((F.count("*") * fixed + total).alias("n")).first().n <= BROADCAST_BYTES
 
 
 def sized_join(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
-    """Join with a materialised narrow right side: broadcast while its row count
-    is within BROADCAST_ROWS, else a shuffled join."""
-    if right.count() <= BROADCAST_ROWS:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+    """Join with a materialised right side: broadcast while its measured size is
+    within BROADCAST_BYTES, else a shuffled join."""
+    return left.join(F.broadcast(right) if small(right) else right, on, how)
 
 
 def smallest_hashes(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
@@ -123,8 +154,9 @@ def smallest_hashes(rows: DataFrame, group: str, key: str, most: int) -> DataFra
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) links -> (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each is an aggregation with
-    map-side combine and a join that adaptive execution can split for hot nodes.
+    Alternating large-star and small-star rounds. Least neighbours are aggregated with
+    map-side combine and written first, so that the join with them is a broadcast while
+    they are small and else one that adaptive execution splits for hot nodes.
     Each round is written to the shared folder. Nodes without links are absent.
     """
     e = edges.where("u is not null and v is not null and u <> v").select(
@@ -134,9 +166,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-least")
         large = (
-            both.join(least, "u")
+            sized_join(both, least, "u", "inner")
             .where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
@@ -145,8 +177,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # every node keeps a row: large-star of a node with smaller neighbours only
         # is carried by those neighbours
         large = materialise(large, "cc-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        lower = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "cc-least")
+        joined = sized_join(large, lower, "u", "inner")
         small = (
             joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
@@ -155,8 +187,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         new = materialise(small, "cc")
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        remove(large)
-        remove(e)
+        for done in (least, large, lower, e):
+            remove(done)
         e = new
         if now == last:
             break

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, scratch, sized_join
+from .common import make_folder, materialise, prepare, scratch, sized_join
 from .tokens import encoder as text_encoder
 
 MAGIC, BLOCK = b"DAC1", 512
@@ -107,31 +107,38 @@ def _writer(folder: str, end_id: int, tokenizer: str | None, file_tokens: int):
         context, files = TaskContext.get(), 0
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        encoder, end = text_encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
-        ids, lengths, parts, total = [], [], [], 0
+        encoder = text_encoder(tokenizer)
+        docs, lengths, parts, total = [], [], [], 0
 
         def flush():
             nonlocal files, total
             name = f"tokens-{context.partitionId():06d}-{files:05d}.dac"
             partial = f"{root}/_{name}.{context.taskAttemptId()}"
             with fs.open_output_stream(partial) as out:
-                out.write(encode_file(ids, lengths, np.frombuffer(b"".join(parts), "<u4")))
+                out.write(encode_file(docs, lengths, np.concatenate(parts)))
             fs.move(partial, f"{root}/{name}")
-            row = pd.DataFrame({"file": [name], "n_docs": [len(ids)], "n_tokens": [total]})
-            ids.clear(), lengths.clear(), parts.clear()
+            row = pd.DataFrame({"file": [name], "n_docs": [len(docs)], "n_tokens": [total]})
+            docs.clear(), lengths.clear(), parts.clear()
             files, total = files + 1, 0
             return row
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                data = encoder.encode(text) + end
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
-                lengths.append(len(data) // 4)
-                parts.append(data)
-                total += lengths[-1]
-                if total >= file_tokens:
-                    yield flush()
-        if ids:
+            own = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
+            for at, ids, sizes in encoder.batches(batch["text"], end_id):
+                begin = 0
+                while begin < len(sizes):
+                    # a file ends after the document that fills it
+                    many = int(np.searchsorted(np.cumsum(sizes[begin:]), file_tokens - total)) + 1
+                    some = sizes[begin : begin + many]
+                    docs += own[at + begin : at + begin + len(some)]
+                    lengths += some.tolist()
+                    parts.append(ids[: some.sum()])
+                    ids = ids[some.sum() :]
+                    total += int(some.sum())
+                    begin += len(some)
+                    if total >= file_tokens:
+                        yield flush()
+        if docs:
             yield flush()
 
     return write
@@ -145,16 +152,18 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
     keep all their rows, ordered by text. Other columns are not read. A file
     ends after the document that brings it to ``file_tokens``. A task that runs again writes the same
     names, moved into place when complete. ``folder`` is a URI that pyarrow opens
-    (file, hdfs, s3, gs) and all executors share.
+    (file, hdfs, s3, gs) and all executors share. An empty table gives an empty folder and an empty manifest.
     """
     prepare(docs.sparkSession)
+    make_folder(docs.sparkSession, folder)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialise(d.mapInPandas(_writer(folder, end_id, tokenizer, file_tokens), "file string, n_docs long, n_tokens long"), "manifest")
 
 
 def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; no rows
+    where an empty table was written."""
     prepare(spark)
 
     def read(batches):
@@ -171,8 +180,14 @@ def read_token_files(spark, folder: str, manifest: DataFrame) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.dac").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     rows = files.mapInPandas(read, "file string, doc_id long, local long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    bases = manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    # files are numbered within their task: sums of tasks, one row each, and within a task
+    parts = manifest.select("file", "n_tokens", F.split("file", "-")[1].alias("part"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = parts.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("tasks"))
+    within = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("file", "part", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("files"))
+    bases = parts.join(tasks, "part").select("file", (F.col("tasks") + F.col("files")).alias("base"))
+    bases = materialise(bases, "token-bases")
     return sized_join(rows, bases, "file", "inner").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, sized_join
+from .common import materialise, sized_join
 
 
 def words_of(text: Column) -> Column:
@@ -75,10 +75,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     ids = materialise(pairs.select("doc_id").distinct(), "candidate-docs")
     texts = with_words(sized_join(d, ids, "doc_id", "left_semi"), "text", "doc_id").select("doc_id", strings(k).alias("doc_shingles"))
     full = i.select("item_id", "item_shingles", "n_item", "need")
-    small = i.count() * 64 <= BROADCAST_ROWS
-    if pairs.count() <= BROADCAST_ROWS // 16:
-        pairs = F.broadcast(pairs)
-    checked = texts.join(pairs, "doc_id").join(F.broadcast(full) if small else full, "item_id")
+    checked = sized_join(sized_join(texts, pairs, "doc_id", "inner"), full, "item_id", "inner")
     shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
     return (
         checked.select("doc_id", "item_id", "n_item", "need", shared.alias("n_shared"))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, prepare
+from .common import materialise, prepare, sized_join
 from .tokens import encoder as text_encoder
 
 
@@ -134,22 +134,22 @@ def cut(docs: DataFrame, capacity: int, end_id: int, tokenizer: str | None) -> D
         import pandas as pd
         from pyspark import TaskContext
 
-        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        encoder, end = text_encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
+        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encoder = text_encoder(tokenizer)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                data = memoryview(encoder.encode(text) + end)
-                n = len(data) // 4
-                edge, k = n % capacity or capacity, 0
-                begin = 0
-                while begin < n:
-                    rows.append((doc_id, k, begin, edge - begin, zlib.crc32(data[4 * begin : 4 * edge]), part, seen[edge - begin]))
-                    seen[edge - begin] += 1
-                    begin, edge, k = edge, edge + capacity, k + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            own = batch["doc_id"].tolist()
+            for at, ids, sizes in encoder.batches(batch["text"], end_id):
+                rows, begin, raw = [], 0, memoryview(ids.tobytes())
+                for doc_id, n in zip(own[at : at + len(sizes)], sizes.tolist()):
+                    edge, k, done = n % capacity or capacity, 0, 0
+                    while done < n:
+                        rows.append((doc_id, k, done, edge - done, zlib.crc32(raw[4 * (begin + done) : 4 * (begin + edge)]), part, seen[edge - done]))
+                        seen[edge - done] += 1
+                        done, edge, k = edge, edge + capacity, k + 1
+                    begin += n
+                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "local"])
+                out["doc_id"] = out["doc_id"].astype("Int64")
+                yield out
 
     return docs.mapInPandas(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local long")
 
@@ -173,7 +173,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str
         counts[r.length] = r.n
     slots = spark.sparkContext.broadcast(_lookup(plan(counts, capacity)))
     bases = bases.select("part", "length", "base")
-    ranked = rows.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, ["part", "length"])
+    ranked = sized_join(rows, bases, ["part", "length"], "inner")
 
     def place(batches):
         runs, first = slots.value

@@ -25,9 +25,22 @@ def test_pieces_encode_as_the_whole_text(text):
 
 
 def test_forgetting_changes_nothing():
-    small = tokens.TextEncoder(most=4)
+    small = tokens.TextEncoder(slots=8)
     text = "one two, three. four\nfive six!! one two, three"
     assert small.encode(text) == plain(text) == small.encode(text)
+    small = tokens.TextEncoder(slots=64)
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        text = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 90))) for _ in range(int(rng.integers(1, 20))))
+        assert small.encode(text) == plain(text)
+
+
+def test_batches_equal_single_texts():
+    texts = [None, "", "one", "a<|endoftext|>b", "x\u00a0 y\u00e9 z", " lead", "trail ", "\n", "caf\u00e9, d\u00e9j\u00e0 vu", "w " * 300]
+    ids, sizes = ENCODER.encode_all(texts, 7)
+    ends = np.cumsum(sizes)
+    for t, a, b in zip(texts, ends - sizes, ends):
+        assert ids[a:b].astype("<u4").tobytes() == plain(t) + b"\7\0\0\0"
 
 
 @settings(max_examples=60, deadline=None)
@@ -72,6 +85,8 @@ def test_empty_token_files(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").where("false")
     manifest = dac.write_token_files(docs, folder)
     assert manifest.count() == 0
+    back = dac.read_token_files(spark, folder, manifest)
+    assert back.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and back.count() == 0
 
 
 def check_packing(docs, rows, capacity, end_id):
