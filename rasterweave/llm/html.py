@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -24,141 +26,258 @@ from pyspark.sql import functions as F
 from . import crf
 from .common import kept, prepare
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: What may end a start tag, or open a quoted value in it.
+TAG_STOP = re.compile(r">|=\s*+([\"'])")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|["']?([^\s"'>]++))""")
 NAME = re.compile(r"[a-z]+")
-SPACE = re.compile(r"\s+")
 HASHES = 1 << 13
 
 #: HTML element kinds.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 #: Elements whose text is left out while they are open; their end tags may be missing.
 HIDDEN = frozenset("noscript template svg select option button object canvas".split())
 #: An element that the start of a key's element closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: How training pages place their article and its surroundings.
+LAYOUTS = ("article", "main", "div", "table", "nested", "sections")
+#: Deeper elements are borne but not named in paths.
+DEEPEST = 512
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-def blocks_of(html: str | None) -> list[tuple[str, list[str], int]]:
-    """(text, path, characters in links) of each leaf block, in page order.
+def tags(html: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, tag in lower case, attributes, kind) in page order, kind being ``open``,
+    ``close``, ``self`` for a start tag that ends in a slash, or ``end`` for the last text.
 
-    The path holds an element's tag and its attribute words, outermost first.
-    Scripts, styles, comments, titles, form fields and other elements that show no
-    running text are left out. Character references are decoded, white
-    space becomes one space; unclosed and stray tags are borne. Of a hidden element that is
-    never closed only the text before the next block-level tag is left out.
+    One pass: no place is looked at twice. Comments, declarations and what raw elements
+    (scripts, styles, titles) hold are left out; a raw element without end tag goes to the page's end, a
+    title or text field without one to the next tag, and a tag without an end is left out. A quoted value without a
+    closing quote, or one that closes in the midst of another tag, ends at the first ``>``.
     """
-    if not html:
-        return []
-    out: list[tuple[str, list[str], int]] = []
-    stack: list[tuple[str, str]] = []
-    # open hidden elements: place on the stack, what was there before them, whether
-    # a block-level tag has shown their text, which goes if their end tag comes
-    hidden: list[list] = []
-    parts: list[str] = []
-    linked = 0
-    links = 0
-    at = 0
-
-    def block(parts, linked, stack):
-        text = SPACE.sub(" ", "".join(parts)).strip()
-        if text:
-            out.append((text, [s[1] for s in stack if s[1]], linked))
+    at, text, last = 0, 0, {q: html.rfind(q) for q in ("'", '"')}
+    absent: set[str] = set()
+    foreign = 0  # drawings and formulas that are open: only there a raw element ends with its slash
+    before: list[str] = []
+
+    def said(upto):
+        before.append(html[text:upto])
+        out = "".join(before)
+        before.clear()
+        return out
 
-    def end_block():
-        nonlocal linked
-        first = len(hidden)
-        while first and not hidden[first - 1][-1]:
+    while True:
+        i = html.find("<", at)
+        if i < 0:
+            yield said(len(html)), "", "", "end"
+            return
+        after = html[i + 1 : i + 2]
+        closing = after == "/"
+        name = TAG_NAME.match(html, i + 1 + closing)
+        if name is None:
+            if html.startswith("<!--", i):
+                end = i + 5 if html.startswith(">", i + 4) else i + 6 if html.startswith("->", i + 4) else html.find("-->", i + 4) + 3
+                end = end if end > 2 else len(html)
+            elif after in ("!", "?") or closing and i + 2 < len(html):
+                end = html.find(">", i) + 1 or len(html)
+            else:
+                at = i + 1
+                continue
+            before.append(html[text:i])
+            at = text = end
+            continue
+        k = name.end()
+        while True:
+            stop = TAG_STOP.search(html, k)
+            if stop is None:  # no tag can end any more
+                before.append(html[text:i])
+                text = len(html)
+                yield said(text), "", "", "end"
+                return
+            if stop[1] is None:
+                end = stop.end()
+                break
+            quote = stop.end() - 1
+            if quote >= last[stop[1]]:
+                k = quote + 1
+                continue
+            k = html.index(stop[1], quote + 1) + 1
+            if html[k : k + 1] not in ("", ">", "/", " ", "\n", "\t", "\r", "\f"):
+                inner = html.find(">", quote, k)
+                if 0 <= inner < html.find("<", quote, k):
+                    end = inner + 1
+                    break
+        tag, attributes = name[0].lower(), html[name.end() : end - 1]
+        slash = attributes.endswith("/")
+        words = said(i)
+        at = text = end
+        yield words, tag, attributes, "close" if closing else "self" if slash else "open"
+        if tag in ("svg", "math"):
+            foreign = max(0, foreign - 1) if closing else foreign + (not slash)
+        elif tag in ENDS_P:
+            foreign = 0
+        if tag in RAW and not closing and not (slash and foreign):
+            close = None if tag in absent else re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+            if close:
+                at = text = close.start()
+            elif tag in ("title", "textarea"):
+                absent.add(tag)
+                at = text = html.find("<", at) if html.find("<", at) >= 0 else len(html)
+            else:
+                at = text = len(html)
+
+
+class _Leaves:
+    """Leaf blocks of one page as its tags come."""
+
+    def __init__(self):
+        self.out: list[tuple[str, list[str], int]] = []
+        self.stack: list[tuple[str, str]] = []
+        self.open: Counter = Counter()
+        # open hidden elements: place on the stack, what was there before them, whether
+        # a block-level tag has shown their text, which goes if their end tag comes
+        self.hidden: list[list] = []
+        self.parts: list[str] = []
+        self.linked = 0
+        self.link: int | None = None  # elements open where the link that is open began
+        self.path: list[str] | None = None
+
+    def push(self, tag, words):
+        self.stack.append((tag, words))
+        self.open[tag] += 1
+        if len(self.stack) <= DEEPEST:
+            self.path = None
+
+    def cut(self, place):
+        for tag, _ in self.stack[place:]:
+            self.open[tag] -= 1
+        del self.stack[place:]
+        if place < DEEPEST:
+            self.path = None
+        if self.link is not None and place < self.link:
+            self.link = None
+
+    def block(self, parts, linked, upto=None):
+        text = " ".join("".join(parts).split())
+        if text:
+            if upto is not None:
+                path = [s[1] for s in self.stack[: min(upto, DEEPEST)] if s[1]]
+            else:
+                if self.path is None:
+                    self.path = [s[1] for s in self.stack[:DEEPEST] if s[1]]
+                path = self.path
+            self.out.append((text, path, linked))
+
+    def end_block(self):
+        first = len(self.hidden)
+        while first and not self.hidden[first - 1][-1]:
             first -= 1
-        for h in hidden[first:]:
+        for h in self.hidden[first:]:
             if h[2]:
-                block(h[2], h[3], stack[: h[0]])
+                self.block(h[2], h[3], h[0])
             h[-1] = True
-        if parts:
-            block(parts, linked, stack)
-            parts.clear()
-        linked = 0
-
-    def leave(k):
-        """What was before the hidden element number k."""
-        nonlocal parts, linked, links
-        place, blocks, parts, linked, links, _ = hidden[k]
-        del out[blocks:], stack[place:], hidden[k:]
-
-    def add(text):
-        nonlocal linked
-        if text and (not hidden or hidden[-1][-1]):
+        if self.parts:
+            self.block(self.parts, self.linked)
+            self.parts = []
+        self.linked = 0
+
+    def hide(self, tag):
+        self.hidden.append([len(self.stack), len(self.out), self.parts, self.linked, self.link, False])
+        self.push(tag, "")
+        self.parts, self.linked = [], 0
+
+    def leave(self, k):
+        """Back to what was before the hidden element number k."""
+        place, blocks, self.parts, self.linked, link, _ = self.hidden[k]
+        self.cut(place)
+        self.link = link
+        del self.out[blocks:], self.hidden[k:]
+
+    def add(self, text):
+        if text and (not self.hidden or self.hidden[-1][-1]):
             text = unescape(text) if "&" in text else text
-            parts.append(text)
-            if links:
-                linked += len(text)
-
-    for m in iter(lambda: TOKEN.search(html, at), None):
-        add(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag == "a":
-                links = max(0, links - 1)
-            if tag in INLINE:
-                continue
-            if tag in HIDDEN:
-                k = next((k for k in range(len(hidden) - 1, -1, -1) if stack[hidden[k][0]][0] == tag), None)
-                if k is not None:
-                    leave(k)
-                    continue
-            end_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-            while hidden and hidden[-1][0] >= len(stack):
-                hidden.pop()
-            continue
-        if tag in RAW:
-            if m[3].rstrip().endswith("/"):
-                continue
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = close.end() if close else len(html)
-            continue
-        if tag in ("button", "option", "optgroup") and stack and stack[-1][0] == ("option" if tag == "optgroup" else tag) and hidden and hidden[-1][0] == len(stack) - 1:
-            if hidden[-1][-1]:
-                stack.pop()
-                hidden.pop()
+            self.parts.append(text)
+            if self.link is not None:
+                self.linked += len(text)
+
+    def close(self, tag):
+        if tag == "a":
+            self.link = None
+        if tag in INLINE:
+            return
+        if tag in HIDDEN and self.open[tag]:
+            k = next((k for k in range(len(self.hidden) - 1, -1, -1) if self.stack[self.hidden[k][0]][0] == tag), None)
+            if k is not None:
+                self.leave(k)
+                return
+        self.end_block()
+        if self.open[tag]:
+            place = len(self.stack) - 1
+            while self.stack[place][0] != tag:
+                place -= 1
+            self.cut(place)
+        while self.hidden and self.hidden[-1][0] >= len(self.stack):
+            self.hidden.pop()
+
+    def start(self, tag, attributes, slash):
+        top = self.stack[-1][0] if self.stack else None
+        if tag in ("button", "option", "optgroup") and top == ("option" if tag == "optgroup" else tag) and self.hidden and self.hidden[-1][0] == len(self.stack) - 1:
+            if self.hidden[-1][-1]:
+                self.cut(len(self.stack) - 1)
+                self.hidden.pop()
             else:
-                leave(len(hidden) - 1)
+                self.leave(len(self.hidden) - 1)
         if tag in HIDDEN:
-            if not m[3].rstrip().endswith("/"):
-                hidden.append([len(stack), len(out), parts, linked, links, False])
-                stack.append((tag, ""))
-                parts, linked = [], 0
-            continue
+            if not slash:
+                self.hide(tag)
+            return
         if tag in INLINE:
-            links += tag == "a"
-            continue
-        end_block()
+            if tag == "a":
+                self.link = len(self.stack)
+            return
+        self.end_block()
         if tag in VOID:
-            continue
+            return
         if tag in CLOSES or tag in ENDS_P:
-            while stack and (stack[-1][0] in CLOSES.get(tag, ()) or (tag in ENDS_P and stack[-1][0] == "p")):
-                stack.pop()
+            place = len(self.stack)
+            while place and (self.stack[place - 1][0] in CLOSES.get(tag, ()) or (tag in ENDS_P and self.stack[place - 1][0] == "p")):
+                place -= 1
+            if place < len(self.stack):
+                self.cut(place)
         words = [f"<{tag}>"]
-        if m[3]:
-            for name, a, b, c in ATTRIBUTE.findall(m[3]):
+        if attributes:
+            for name, a, b, c in ATTRIBUTE.findall(attributes):
                 if name.lower() in ("class", "id", "role", "itemprop", "aria-label"):
                     words += NAME.findall((a or b or c).lower())
-        stack.append((tag, " ".join(words)))
-        links = 0
-    add(html[at:])
-    end_block()
-    return out
+        self.push(tag, " ".join(words))
 
 
+def blocks_of(html: str | None) -> list[tuple[str, list[str], int]]:
+    """(text, path, characters in links) of each leaf block, in page order.
+
+    The path holds an element's tag and its attribute words, outermost first.
+    Scripts, styles, comments, titles, form fields and other elements that show no
+    running text are left out. Character references are decoded, white
+    space becomes one space; unclosed and stray tags are borne. Of a hidden element that is
+    never closed only the text before the next block-level tag is left out. Time is linear in the page.
+    """
+    if not html:
+        return []
+    page = _Leaves()
+    for text, tag, attributes, kind in tags(html):
+        page.add(text)
+        if kind == "close":
+            if tag not in RAW:
+                page.close(tag)
+        elif tag and tag not in RAW:
+            page.start(tag, attributes, kind == "self")
+    page.end_block()
+    return page.out
+
+
+@lru_cache(1 << 16)
 def _hash(word: str) -> int:
     h = 2166136261
     for b in word.encode():
@@ -199,9 +318,9 @@ class BlockModel:
         self._texts: dict[tuple, np.ndarray] = {}
 
     @classmethod
-    def fit(cls, pages: int = 600, seed: int = 17) -> BlockModel:
+    def fit(cls, pages: int = 600, seed: int = 17, layouts: tuple = LAYOUTS) -> BlockModel:
         features, owners, labels = [], [], []
-        for html, marks in training_pages(pages, seed):
+        for html, marks in training_pages(pages, seed, layouts):
             blocks = blocks_of(html)
             if len(blocks) != len(marks):
                 raise ValueError("a training page's labels must match its blocks")
@@ -209,7 +328,7 @@ class BlockModel:
             features.append(np.concatenate([np.array(i, np.int64) for i in ids]))
             owners.append(np.repeat(np.arange(len(ids)), [len(i) for i in ids]))
             labels.append(np.array(marks))
-        return cls(*crf.train(features, owners, labels, HASHES, 2, steps=600, batch=16, l2=1e-4, seed=seed))
+        return cls(*crf.train(features, owners, labels, HASHES, 2, steps=300, batch=16, l2=1e-4, seed=seed))
 
     def scores(self, blocks) -> np.ndarray:
         out = np.empty((len(blocks), 2))
@@ -262,18 +381,21 @@ PART_WORDS = {
 }
 
 
-def training_pages(pages: int, seed: int) -> Iterator[tuple[str, list[int]]]:
+def training_pages(pages: int, seed: int, layouts: tuple = LAYOUTS) -> Iterator[tuple[str, list[int]]]:
     """Labelled pages: html and, for each leaf block, 1 for main text, else 0."""
     rng = np.random.default_rng(seed)
 
     def pick(options):
         return options[int(rng.integers(len(options)))]
 
+    letters = rng.integers(0, 12, (2000, 10))
+    pool = ["".join("etaoinshrdlu"[k] for k in row[:n]) for row, n in zip(letters, rng.integers(1, 11, 2000))]
+    pool = np.array([w + m for w, m in zip(pool, np.resize([",", ".", "", "", "", "", "", "!!", "%%%"], 2000))])
+
     def prose(low, high, stop=True):
-        n = int(rng.integers(low, high))
-        words = ["".join(pick("etaoinshrdlu") for _ in range(int(rng.integers(1, 11)))) for _ in range(n)]
-        marks = [w + pick([",", ".", "", "", "", "", "", "!!", "%%%"]) if i + 1 < n else w for i, w in enumerate(words)]
-        return " ".join(marks).capitalize() + (pick([".", ".", ".", "", "!"]) if stop else "")
+        words = pool[rng.integers(0, len(pool), int(rng.integers(low, high)))].tolist()
+        words[-1] = words[-1].rstrip(",.!%")
+        return " ".join(words).capitalize() + (pick([".", ".", ".", "", "!"]) if stop else "")
 
     def attribute(kind, often=0.7):
         if rng.random() > often:
@@ -357,32 +479,41 @@ def training_pages(pages: int, seed: int) -> Iterator[tuple[str, list[int]]]:
             marks += [0] * n
         return "".join(html), marks
 
-    for _ in range(pages):
-        body, marks = [], []
-
-        def other(kind):
-            inner, n = part(kind)
-            body.append(inner)
-            marks.extend([0] * n)
-
-        for kind, often in (("notice", 0.3), ("header", 0.4), ("nav", 0.8), ("form", 0.2), ("ad", 0.5), ("aside", 0.2)):
+    def others(kinds):
+        html, marks = [], []
+        for kind, often in kinds:
             if rng.random() < often:
-                other(kind)
+                inner, n = part(kind)
+                html.append(inner)
+                marks += [0] * n
+        return "".join(html), marks
+
+    for _ in range(pages):
+        before, marks = others((("notice", 0.3), ("header", 0.4), ("nav", 0.8), ("form", 0.2), ("ad", 0.5), ("aside", 0.2)))
         inner, own = article()
-        shape = rng.random()
-        if shape < 0.6:
-            inner = f"<article{attribute('main', 0.3)}>{inner}</article>"
-        elif shape < 0.8:
-            inner = f"<main{attribute('main', 0.3)}><div{attribute('main', 0.7)}>{inner}</div></main>"
+        after, rest = others((("share", 0.3), ("comments", 0.4), ("aside", 0.4), ("ad", 0.3), ("form", 0.2), ("footer", 0.9), ("notice", 0.2)))
+        marks = marks + own + rest
+        layout = pick(layouts)
+        if layout == "article":
+            body = f"{before}<article{attribute('main', 0.3)}>{inner}</article>{after}"
+        elif layout == "main":
+            body = f"{before}<main{attribute('main', 0.3)}><div{attribute('main', 0.7)}>{inner}</div></main>{after}"
+        elif layout == "div":
+            body = f"{before}<div{attribute('main', 1)}>{inner}</div>{after}"
+        elif layout == "table":
+            body = f'<table width="100%"><tr><td valign="top">{before}</td><td{attribute("main", 0.8)}>{inner}</td><td{attribute("aside", 0.3)}>{after}</td></tr></table>'
+        elif layout == "nested":
+            body = f'<div id="page"><div class="wrap">{before}<div class="content-area"><main id="site-main"><div{attribute("main", 1)}><div{attribute("main", 0.6)}>{inner}</div></div></main></div>{after}</div></div>'
         else:
-            inner = f"<div{attribute('main', 1)}>{inner}</div>"
-        body.append(inner)
-        marks.extend(own)
-        for kind, often in (("share", 0.3), ("comments", 0.4), ("aside", 0.4), ("ad", 0.3), ("form", 0.2), ("footer", 0.9), ("notice", 0.2)):
-            if rng.random() < often:
-                other(kind)
+            body = f"<div id=wrapper>{before}<section{attribute('main', 0.9)}>{inner}</section>{after}</div>"
         head = f'<!DOCTYPE html><html><head><title>{prose(2, 9, False)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>'
-        yield head + "<body>" + "".join(body) + pick(["</body></html>", ""]), marks
+        yield head + "<body>" + body + pick(["</body></html>", ""]), marks
+
+
+@lru_cache(1)
+def default_model() -> BlockModel:
+    """The model fitted on the training pages, once in a process."""
+    return BlockModel.fit()
 
 
 def extract(pages: DataFrame, html: str = "html", model: BlockModel | None = None) -> DataFrame:
@@ -394,7 +525,7 @@ def extract(pages: DataFrame, html: str = "html", model: BlockModel | None = Non
     """
     spark = pages.sparkSession
     prepare(spark)
-    model = model or BlockModel.fit()
+    model = model or default_model()
     key = uuid.uuid4().hex
     sent = spark.sparkContext.broadcast((model.weights, model.transitions))
 
