@@ -9,11 +9,13 @@ shared ones costs less than the candidates it avoids. A pair is a candidate when
 its prefixes share at least the smaller l of the two, and candidates are verified on
 the shingles themselves.
 
-Frequent shingles come last in the order: their counts are gathered over all
-documents. Documents of equal word sequences are joined once, by their smallest id.
+Frequent shingles come last in the order. Documents of equal word sequences are joined once, by their smallest id.
 Components need no more links than join them: each prefix shingle first links its
-documents to the smallest of them; pairs are enumerated after that only between
-documents that are not yet in one component.
+documents to the smallest of them. What is left lies between components: the documents of a
+shingle that more than one component has meet in pairs of blocks, where the prefixes' shared
+shingles are counted; only documents with a candidate in another component are compared in
+full there, and a block pair gives a forest of its links, never the pairs. Blocks of a group's main
+component never meet each other. All links are verified on the words.
 """
 
 from __future__ import annotations
@@ -29,14 +31,19 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialise, prepare, release, sized_join
 
 SLICE = 1_000_000
-#: Shingles gathered in a task before their counts are handed on.
+#: Shingles gathered in a task before their counts are handed on. Counts below 3 of a
+#: chunk are not, and at most FREQUENT shingles (16 bytes each) are told apart: both change
+#: the order of shingles and the choice of l, so the cost, never a link.
 CHUNK = 2_000_000
-#: At most so many frequent shingles are told apart (16 bytes each).
 FREQUENT = 400_000
-LONGEST_L = 8
-#: Shingles of more documents than this are joined in blocks of BLOCK documents.
+#: A prefix shingle of more documents is dealt to as many tasks as this goes into it.
+SPLIT = 10_000
+#: Groups of at most FEW documents count their pairs in a join, larger ones in blocks of BLOCK documents;
+#: both ask for the same number of shared prefix shingles.
 FEW, BLOCK = 32, 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: A meta number is the set's size times LONG, plus l.
+LONG = 1 << 24
 _MIX = np.random.default_rng(23).integers(1, 2**63, 64 * 256, dtype=np.uint64)
 SPACE = re.compile(r"[ \t-\r]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -145,7 +152,7 @@ def _prefixes(k: int, percent: int, sent):
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
                     often = np.where(keys[at] == flat, counts[at], 0)
-                tokens, owners, metas, begin = [], [], [], 0
+                tokens, owners, metas, parts, begin = [], [], [], [], 0
                 for i, s in zip(ids, sets):
                     n = len(s)
                     df = often[begin : begin + n]
@@ -157,22 +164,23 @@ def _prefixes(k: int, percent: int, sent):
                     length, l = choose(df[order], n, need)
                     tokens.append(s[order[:length]])
                     owners.append(np.full(length, i, np.int64))
-                    metas.append(np.full(length, n * 16 + l, np.int64))
+                    metas.append(np.full(length, n * LONG + l, np.int64))
+                    parts.append(1 + df[order[:length]] // SPLIT)
                 if tokens:
-                    yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc_id": np.concatenate(owners), "meta": np.concatenate(metas)})
+                    yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc_id": np.concatenate(owners), "meta": np.concatenate(metas), "parts": np.concatenate(parts).astype(np.int32)})
 
     return run
 
 
 def choose(df: np.ndarray, n: int, need: int) -> tuple[int, int]:
     """Prefix length and l of least estimated cost, for document counts ``df`` in
-    the global order: entries probed, and with l shared shingles asked for at most
-    a share 1 / l of them as candidates, each costing a verification of n shingles."""
-    most = min(LONGEST_L, need)
+    the global order. Each entry is written once and met by the other documents of
+    its shingle; when l shared shingles are asked for, at most one in l of those meetings is a
+    candidate, which costs a comparison of n shingles."""
     base = n - need
-    probed = np.cumsum(df[: base + most] + 1)[base : base + most]
-    l = np.arange(1, most + 1)
-    cost = probed * (1 + n / (64 * l))
+    l = np.arange(1, need + 1)
+    met = np.cumsum(np.maximum(df - 1, 0))[base:]
+    cost = base + l + met * (1 + (1 + n / 64) / l)
     best = int(cost.argmin()) + 1
     return base + best, best
 
@@ -235,9 +243,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     Texts are lower-cased A-Z and split at ASCII white space. Documents link when 100
     * intersection >= percent * union; null, empty and wordless texts have 0
     shingles and link with nothing; with fewer than k words the whole sequence is the one
-    shingle. Rows of one doc_id are one document, which has the text of any of them; a null
-    doc_id is returned with a null component and links with nothing. Only the id and text columns are read. Shingles are
-    64-bit hashes until verification, which compares the words.
+    shingle. Rows of one doc_id are one document: it links when any of its texts does, each row has
+    its own text's n_shingles and all have the document's component. A null doc_id is returned with a
+    null component and links with nothing. An empty table gives no rows. Only the id and text columns
+    are read, whatever others are called. Sets hold 64-bit hashes of shingles; every link is verified on the words.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -246,110 +255,153 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     signatures = scan.where("kind = 0").select(F.col("a").alias("doc_id"), "b", "c", "n")
 
     # documents of one word sequence stand for their smallest id
-    groups = signatures.where("n > 0 and doc_id is not null").groupBy("b", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    groups = materialise(groups, "sequences")
-    copied = groups.where("first <> last").select("b", "c", "first")
-    copies = signatures.where("n > 0").join(copied, ["b", "c"]).where("doc_id <> first").select("doc_id", F.col("first").alias("of")).groupBy("doc_id").agg(F.min("of").alias("of"))
+    known = signatures.where("n > 0 and doc_id is not null")
+    groups = known.groupBy("b", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    copied = materialise(groups.where("first <> last").select("b", "c", "first"), "sequences")
+    copies = known.join(copied, ["b", "c"]).where("doc_id <> first").select("doc_id", F.col("first").alias("of")).distinct()
     copies = materialise(copies, "copies")
-    single = sized_join(d.where("doc_id is not null and text is not null"), copies, "doc_id", "left_anti")
+    several = known.groupBy("doc_id").agg(F.min(F.struct("b", "c")).alias("x"), F.max(F.struct("b", "c")).alias("y")).where("x <> y").select("doc_id")
+    gone = materialise(copies.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "copied-docs")
+    single = sized_join(d.where("doc_id is not null and text is not null"), gone, "doc_id", "left_anti")
 
     sent = spark.sparkContext.broadcast(frequent(scan))
-    posts = single.mapInPandas(_prefixes(k, percent, sent), "token long, doc_id long, meta long")
-    token = Window.partitionBy("token")
-    posts = posts.select("*", F.min(F.struct("doc_id", "meta")).over(token).alias("hub"), F.max("doc_id").over(token).alias("top"))
-    posts = posts.where("hub.doc_id <> top").select("token", "doc_id", "meta", F.col("hub.doc_id").alias("hub"), F.col("hub.meta").alias("hub_meta"))
+    posts = single.mapInPandas(_prefixes(k, percent, sent), "token long, doc_id long, meta long, parts int")
+    posts = posts.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0).cast("int"))
+    share = Window.partitionBy("token", "part")
+    posts = posts.select("*", F.min(F.struct("doc_id", "meta")).over(share).alias("low"), F.max("doc_id").over(share).alias("top"))
+    posts = posts.where("low.doc_id <> top or parts > 1").select("token", "doc_id", "meta", "parts", "part", F.col("low.doc_id").alias("hub"), F.col("low.meta").alias("hub_meta"))
     posts = materialise(posts, "prefixes")
+    # parts of one shingle are joined by their hubs, few rows
+    hubs = materialise(posts.where("parts > 1 and doc_id = hub").groupBy("token").agg(F.min(F.struct("doc_id", "meta")).alias("root")), "hot-shingles")
+    hot = sized_join(posts.where("parts > 1"), hubs, "token", "inner")
 
-    links = candidates(posts.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"), F.col("hub_meta").alias("um"), F.col("meta").alias("vm")), percent)
+    star = posts.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"), F.col("hub_meta").alias("um"), F.col("meta").alias("vm"))
+    roots = hot.where("doc_id = hub and doc_id <> root.doc_id").select(F.col("root.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("root.meta").alias("um"), F.col("meta").alias("vm"))
+    links = candidates(star.unionByName(roots), percent)
     links = materialise(verified(materialise(links, "pairs"), single, k, percent), "links")
-    comps = connected_components(links)
+    comps = materialise(connected_components(links), "components")
 
     # what is left lies between components: only shingles that more than one has
-    placed = posts.select("token", "doc_id", "meta", "hub").join(comps, F.col("doc_id") == F.col("node"), "left")
-    placed = placed.select("token", "doc_id", "meta", "hub", F.coalesce("component", "doc_id").alias("comp"))
-    over = [F.min("comp").over(token).alias("low"), F.max("comp").over(token).alias("high"), F.count("*").over(token).alias("docs")]
-    placed = materialise(placed.select("*", *over).where("low <> high").drop("low", "high"), "open-prefixes")
-    # a pair that shares a shingle of many documents is settled in their blocks, so
-    # only pairs without one are counted here, and all that they share is here
-    few = placed.where(f"docs <= {FEW}")
-    a = few.select("token", F.col("doc_id").alias("u"), F.col("meta").alias("um"), F.col("comp").alias("uc"))
-    b = few.select("token", F.col("doc_id").alias("v"), F.col("meta").alias("vm"), F.col("comp").alias("vc"))
+    grouped = posts.where("parts = 1").select("token", "doc_id", "meta", "hub").unionByName(hot.select("token", "doc_id", "meta", F.col("root.doc_id").alias("hub")))
+    placed = grouped.join(comps, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "meta", "hub", F.coalesce("component", "doc_id").alias("comp"))
+    tokens = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    placed = materialise(sized_join(placed, materialise(tokens, "open-shingles"), "token", "left_semi"), "open-prefixes")
+    members = materialise(placed.select("hub", "doc_id", "comp").distinct(), "open-members")
+    per = members.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("hub")).alias("main"))
+    sizes = per.groupBy("hub").agg(F.sum(F.when(F.col("main"), F.col("n"))).alias("m"), F.coalesce(F.sum(F.when(~F.col("main"), F.col("n"))), F.lit(0)).alias("r"), F.max(F.when(F.col("main"), F.col("comp"))).alias("main"))
+    sizes = materialise(sizes.where("r > 0"), "group-sizes")
+    # a pair that shares a shingle of a large group is settled in its blocks; others share only shingles of small groups
+    few = sized_join(placed, materialise(sizes.where(f"m + r <= {FEW}").select("hub"), "small-groups"), "hub", "left_semi")
+    few = materialise(few, "small-group-prefixes")
+    a, b = (few.select("token", *[F.col(c).alias(x + y) for c, y in (("doc_id", ""), ("meta", "m"), ("comp", "c"))]) for x in "uv")
     more = candidates(a.join(b, "token").where("uc < vc").select("u", "v", "um", "vm"), percent)
+    large = materialise(sizes.where(f"m + r > {FEW}"), "large-groups")
+    more = more.unionByName(between(sized_join(members, large.select("hub"), "hub", "left_semi"), large, posts, single, k, percent)).distinct()
     more = materialise(verified(materialise(more, "pairs"), single, k, percent), "links")
-    blocks = block_links(placed.where(f"docs > {FEW}").select("hub", "doc_id", "comp").distinct(), single, k, percent)
-    more = more.unionByName(materialise(blocks, "block-links"))
-    edges = links.unionByName(more).unionByName(copies.select(F.col("of").alias("u"), F.col("doc_id").alias("v")))
+    known_links = comps.where("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
+    edges = known_links.unionByName(more).unionByName(copies.select(F.col("of").alias("u"), F.col("doc_id").alias("v")))
     comps = connected_components(edges)
     out = signatures.join(comps, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def block_links(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) that join all that is linked within each hub's members.
+def between(members: DataFrame, sizes: DataFrame, posts: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) that join all that is linked across components within each hub's members.
 
-    All documents of a shingle have its hub, so any two that share one meet there.
-    Members are dealt to blocks by hash; each pair of blocks is one group of
-    bounded size, its overlaps are counted at once, and it gives a forest of
-    its links, never the pairs.
+    All documents of a shingle have its hub, so any two that share one meet there. A group's
+    members are the main ones, those of the hub's component, and the rest, each dealt to blocks
+    by hash; pairs of blocks meet unless both are of the main ones. First the
+    prefixes meet, and say which documents have a candidate in another component; then these meet with their sets.
     """
-    members = materialise(members, "block-members")
-    sizes = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    sizes = materialise(sizes.select("hub", "blocks"), "block-counts")
-    ids = materialise(members.select("doc_id").distinct(), "block-docs")
-
-    def sets(batches):
-        for batch in batches:
-            for own, texts in slices(batch["doc_id"], batch["text"]):
-                yield pd.DataFrame({"doc_id": own, "s": [s.tobytes() for s, _ in shingle_sets(texts, k)]})
+    whole = F.col("m") + F.col("r") <= BLOCK
+    sizes = sizes.select("hub", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"), F.when(whole, 0).otherwise(F.ceil(F.col("r") / BLOCK)).cast("int").alias("rests"))
+    members = materialise(members, "large-members")
+    placed = sized_join(members, materialise(sizes, "group-blocks"), "hub", "inner")
+    own = F.when((F.col("comp") == F.col("main")) | (F.col("rests") == 0), F.pmod(F.xxhash64("doc_id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("doc_id"), F.greatest("rests", F.lit(1)))).cast("int")
+    placed = placed.withColumn("block", own)
+    meets = F.expr("explode(CASE WHEN rests = 0 THEN array(0) WHEN block < mains THEN sequence(mains, mains + rests - 1) ELSE sequence(0, mains + rests - 1) END)")
+    placed = placed.select("hub", "doc_id", "comp", "block", meets.alias("other")).select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "comp", "block")
+    placed = materialise(placed, "block-members")
 
-    data = sized_join(docs, ids, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary")
-    placed = sized_join(members, sizes, "hub", "inner").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    placed = data.join(placed, "doc_id").withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
-    placed = placed.select("hub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "comp", "s")
+    ids = materialise(members.select("doc_id").distinct(), "block-docs")
+    prefixes = sized_join(posts, ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("meta").alias("meta"), F.collect_set("token").alias("tokens"))
 
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = rows["doc_id"].to_numpy()
-        own = [np.frombuffer(b, np.uint64) for b in rows["s"]]
-        n = np.array([len(s) for s in own], np.int64)
+    def shared(own: list[np.ndarray]) -> np.ndarray:
+        """How many elements each two of the sets share."""
         _, place, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        doc = np.repeat(np.arange(len(own)), n)
-        shared = np.flatnonzero(counts > 1)  # no other shingle adds to an overlap
+        doc = np.repeat(np.arange(len(own)), [len(s) for s in own])
+        often = np.flatnonzero(counts > 1)  # no other element adds to an overlap
         column = np.full(len(counts), -1)
-        column[shared] = np.arange(len(shared))
+        column[often] = np.arange(len(often))
         place = column[place]
         both = np.zeros((len(own), len(own)), np.float32)
-        for at in range(0, len(shared), 4096):
+        for at in range(0, len(often), 4096):
             here = (place >= at) & (place < at + 4096)
-            m = np.zeros((len(own), min(4096, len(shared) - at)), np.float32)
+            m = np.zeros((len(own), min(4096, len(often) - at)), np.float32)
             m[doc[here], place[here] - at] = 1
             both += m @ m.T
-        both = both.astype(np.int64)
-        linked = np.triu(100 * both >= percent * (n[:, None] + n[None] - both), 1)
+        return both.astype(np.int64)
+
+    def apart(rows: pd.DataFrame) -> np.ndarray:
+        """Pairs that this pair of blocks has to settle: across components and, of two blocks, across those."""
+        comp, block = rows["comp"].to_numpy(), rows["block"].to_numpy()
+        open_ = comp[:, None] != comp[None]
+        return open_ if rows["i"].iloc[0] == rows["j"].iloc[0] else open_ & (block[:, None] != block[None])
+
+    def ask(rows: pd.DataFrame) -> pd.DataFrame:
+        open_ = apart(rows)
+        if open_.any():
+            n, l = rows["meta"].to_numpy() // LONG, rows["meta"].to_numpy() % LONG
+            open_ &= 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
+            open_ &= shared([np.asarray(t) for t in rows["tokens"]]) >= np.minimum(l[:, None], l[None])
+        return rows.loc[open_.any(1), ["hub", "i", "j", "doc_id", "comp", "block"]]
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        own = [np.frombuffer(b, np.uint64) for b in rows["s"]]
+        n, both = np.array([len(s) for s in own], np.int64), shared(own)
+        linked = np.triu(apart(rows) & (both > 0) & (100 * both >= percent * (n[:, None] + n[None] - both)), 1)
         u, v = np.nonzero(linked)
-        return pd.DataFrame(forest(ids, u, v), columns=["u", "v"]).astype("int64")
+        return pd.DataFrame(forest(rows["doc_id"].to_numpy(), u, v), columns=["u", "v"]).astype("int64")
+
+    def sets(batches):
+        for batch in batches:
+            for own, texts in slices(batch["doc_id"], batch["text"]):
+                yield pd.DataFrame({"doc_id": own, "s": [s.tobytes() for s, _ in shingle_sets(texts, k)]})
 
-    return placed.groupBy("hub", "i", "j").applyInPandas(meet, "u long, v long")
+    keys, schema = ["hub", "i", "j"], "hub long, i int, j int, doc_id long, comp long, block int"
+    asked = placed.join(prefixes, "doc_id").groupBy(*keys).applyInPandas(ask, schema)
+    asked = materialise(asked, "block-candidates")
+    ids = materialise(asked.select("doc_id").distinct(), "block-docs")
+    data = sized_join(docs, ids, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary")
+    return asked.join(data, "doc_id").groupBy(*keys).applyInPandas(meet, "u long, v long").distinct()
 
 
 def forest(names: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    """As few edges as join what the edges (u, v), places in ``names``, join."""
-    label = np.arange(len(names))
-    while len(u):
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, u, low)
-        np.minimum.at(new, v, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = np.flatnonzero(label != np.arange(len(names)))
-    return list(zip(names[far].tolist(), names[label[far]].tolist()))
+    """Some of the edges (u, v), places in ``names``: as few as join what all of them join."""
+    label, out = np.arange(len(names)), []
+    while True:
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+        if not len(u):
+            return out
+        first = np.full(len(names), len(u))  # each part takes its first edge
+        for end in (u, v):
+            np.minimum.at(first, label[end], np.arange(len(u)))
+        taken = np.unique(first[first < len(u)])
+        out += zip(names[u[taken]].tolist(), names[v[taken]].tolist())
+        while True:
+            low, new = np.minimum(label[u[taken]], label[v[taken]]), label.copy()
+            np.minimum.at(new, label[u[taken]], low)
+            np.minimum.at(new, label[v[taken]], low)
+            new = new[new][label]
+            if (new == label).all():
+                break
+            label = new
 
 
 def candidates(shared: DataFrame, percent: int) -> DataFrame:
     """Pairs of sizes that can link and whose prefixes share the smaller l."""
-    n, l = "{0} div 16", "{0} % 16"
+    n, l = f"{{0}} div {LONG}", f"{{0}} % {LONG}"
     fits = f"100 * least({n.format('um')}, {n.format('vm')}) >= {percent} * greatest({n.format('um')}, {n.format('vm')})"
     counted = shared.where(fits).groupBy("u", "v").agg(F.count("*").alias("hits"), F.min(F.least(F.expr(l.format("um")), F.expr(l.format("vm")))).alias("ask"))
     return counted.where("hits >= ask").select("u", "v")

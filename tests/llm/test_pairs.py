@@ -29,7 +29,7 @@ def components(ids, links):
 
 def test_connected_components(spark):
     rng = random.Random(8)
-    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5), (2000, 2000)]
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(25)] + [(5, 5), (2000, 2000)]
     df = spark.createDataFrame(links + [(None, 3)], "u long, v long")
     got = {r.node: r.component for r in common.connected_components(df).collect()}
     nodes = {x for a, b in links if a != b for x in (a, b)}
@@ -51,11 +51,11 @@ def family():
     return docs + docs[:20] + [None, "", " \n ", "One two", "one\tTWO", "a", "b", "x y z " * 4000, "x y z " * 4001]
 
 
-@pytest.mark.parametrize(("few", "block"), [(32, 256), (2, 16)])
-@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, few, block, k, percent):
+@pytest.mark.parametrize(("few", "block", "split", "k", "percent"), [(32, 256, 10_000, 4, 85), (2, 16, 20, 5, 80)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, few, block, split, k, percent):
     monkeypatch.setattr(jaccard, "FEW", few)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "SPLIT", split)
     docs = family()
     df = spark.createDataFrame([(7 * i % 1009, t) for i, t in enumerate(docs)], "doc_id long, text string").withColumn("token", F.lit(1)).withColumn("u", F.lit("x"))
     sets = {7 * i % 1009: jaccard.shingles_of(t or "", k) for i, t in enumerate(docs)}
@@ -67,6 +67,40 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, few, block, k, percent):
     assert len(got) == len(docs)
 
 
+def test_jaccard_of_a_large_cluster(spark):
+    """5,000 near copies in a few families around the threshold, exact by brute force on NumPy rows."""
+    rng = np.random.default_rng(17)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 60)]
+    docs, change = [], rng.integers(0, 8, 5000)
+    for i in range(5000):
+        w = list(base)
+        for at in rng.integers(0, 60, change[i]):
+            w[at] = f"v{rng.integers(0, 40)}"
+        docs.append(" ".join(w))
+    sets = [jaccard.shingles_of(t, 4) for t in docs]
+    names = {g: k for k, g in enumerate(set().union(*sets))}
+    many = np.zeros((5000, len(names)), np.float32)
+    for i, own in enumerate(sets):
+        many[i, [names[g] for g in own]] = 1
+    n, up = many.sum(1), list(range(5000))
+    links = []
+    for at in range(0, 5000, 500):
+        both = many[at : at + 500] @ many.T
+        u, v = np.nonzero(100 * both >= 85 * (n[at : at + 500, None] + n[None] - both))
+        links += [(a + at, b) for a, b in zip(u.tolist(), v.tolist()) if b < a + at]
+    want = components(up, links)
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()} == want
+
+
+def test_jaccard_of_repeated_ids(spark):
+    """A document links when any of its rows' texts does."""
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, one), (1, two), (2, one), (3, two + " x y"), (3, two), (4, "k l m n o"), (5, None), (5, "k l m n o")]
+    got = sorted(map(tuple, jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(1, 5, 1), (1, 5, 1), (2, 5, 1), (3, 5, 1), (3, 7, 1), (4, 2, 4), (5, 0, 4), (5, 2, 4)]
+
+
 def test_jaccard_edge_tables(spark):
     schema = "doc_id long, text string"
     assert jaccard.near_duplicates(spark.createDataFrame([], schema)).count() == 0
