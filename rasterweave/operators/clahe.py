@@ -4,37 +4,42 @@ Tiles are a grid of ``grid`` by ``grid``. A tile's histogram is cut at a limit,
 cut part spread evenly (what is left over goes to the lowest values), and its running
 share maps values. Each pixel blends the maps of the four nearest tile centres
 with integer weights.
+
+A pixel becomes five rows: one counts in its own tile's histogram, four ask their tiles'
+maps. All windows are within a frame, so after ``by_frame`` nothing is exchanged or joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def clahe(px: DataFrame, width: int, height: int, clip: float, grid: int = 8, c: str = "v") -> DataFrame:
-    tw, th = -(-width // grid), -(-height // grid)
-    tiled = px.select("frame_id", F.expr(f"y div {th}").cast("int").alias("ty"), F.expr(f"x div {tw}").cast("int").alias("tx"), F.col(c).alias("level"))
-    hist = tiled.groupBy("frame_id", "ty", "tx", "level").agg(F.count("*").alias("n"))
-    tile = Window.partitionBy("frame_id", "ty", "tx")
-    hist = hist.withColumn("area", F.sum("n").over(tile)).withColumn("most", F.greatest(F.lit(1), F.floor(F.col("area") * clip / 256)).cast("long"))
-    hist = hist.withColumn("cut", F.sum(F.greatest(F.lit(0), F.col("n") - F.col("most"))).over(tile)).withColumn("kept", F.least("n", "most"))
-    # a map holds all 256 values: its own levels' running sums, carried forward
-    per_tile = hist.groupBy("frame_id", "ty", "tx").agg(F.max("area").alias("area"), F.max("cut").alias("cut"), F.map_from_entries(F.collect_list(F.struct("level", "kept"))).alias("held"))
-    full = per_tile.select("frame_id", "ty", "tx", "area", "cut", "held", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("level"))
-    full = full.select("frame_id", "ty", "tx", "area", "cut", "level", F.coalesce(F.element_at("held", F.col("level")), F.lit(0).cast("long")).alias("kept"))
-    running = F.sum("kept").over(tile.orderBy("level"))
-    full = full.withColumn("run", running + (F.col("level") + 1) * F.expr("cut div 256") + F.least(F.col("level") + 1, F.col("cut") % 256))
-    maps = full.select("frame_id", "ty", "tx", "level", F.expr("cast((2 * run * 255 + area) div (2 * area) as long)").alias("to"))
+def clahe(px: DataFrame, clip: Column | float, grid: int = 8, c: str = "v") -> DataFrame:
+    """``px`` with plane ``c`` equalised; ``clip`` is a number or a column, one value a frame."""
+    others = [o for o in px.columns if o not in ("frame_id", "y", "x", c)]
+    frame = Window.partitionBy("frame_id")
+    p = px.withColumn("_clip", clip if isinstance(clip, Column) else F.lit(float(clip)))
+    for side, n in (("y", "_h"), ("x", "_w")):
+        p = p.withColumn(n, F.max(side).over(frame) + 1).withColumn(f"_t{side}", F.expr(f"cast(({n} + {grid - 1}) div {grid} as int)"))
+        p = p.withColumn(f"_u{side}", F.expr(f"cast(({n} + _t{side} - 1) div _t{side} - 1 as int)"))  # last tile in use
+        # twice the distance to tile centres keeps the weights whole
+        p = p.withColumn(f"_g{side}", F.expr(f"cast(floor((2 * {side} + 1 - _t{side}) / (2 * _t{side})) as int)"))
+        p = p.withColumn(f"_r{side}", F.expr(f"2 * {side} + 1 - _t{side} - 2 * _t{side} * _g{side}"))
+    place = lambda side, d: F.expr(f"greatest(0, least(_u{side}, _g{side} + {d}))").alias(f"t{side}")
+    share = lambda side, d: f"_r{side}" if d else f"(2 * _t{side} - _r{side})"
+    own = F.struct(F.expr("cast(y div _ty as int)").alias("ty"), F.expr("cast(x div _tx as int)").alias("tx"), F.lit(0).cast("long").alias("w"), F.lit(1).alias("n"))
+    corners = [F.struct(place("y", dy), place("x", dx), F.expr(f"cast({share('y', dy)} * {share('x', dx)} as long)").alias("w"), F.lit(0).alias("n")) for dy in (0, 1) for dx in (0, 1)]
+    rows = p.select("*", F.inline(F.array(own, *corners)))
 
-    # twice the distance to tile centres keeps the weights whole
-    gy, gx = F.expr(f"cast(floor((2 * y + 1 - {th}) / (2 * {th})) as int)"), F.expr(f"cast(floor((2 * x + 1 - {tw}) / (2 * {tw})) as int)")
-    p = px.withColumn("_y", gy).withColumn("_x", gx)
-    wy, wx = F.expr(f"2 * y + 1 - {th} - 2 * {th} * _y"), F.expr(f"2 * x + 1 - {tw} - 2 * {tw} * _x")
-    corner = F.array(*[F.struct(F.least(F.lit(grid - 1), F.greatest(F.lit(0), F.col("_y") + dy)).alias("ty"), F.least(F.lit(grid - 1), F.greatest(F.lit(0), F.col("_x") + dx)).alias("tx"), ((wy if dy else 2 * th - wy) * (wx if dx else 2 * tw - wx)).cast("long").alias("w")) for dy in (0, 1) for dx in (0, 1)])
-    around = p.select("frame_id", "y", "x", F.col(c).alias("level"), F.inline(corner))
-    joined = around.join(maps, ["frame_id", "ty", "tx", "level"])
-    whole = 4 * tw * th
-    out = joined.groupBy("frame_id", "y", "x").agg(F.sum(F.col("w") * F.col("to")).alias("s"))
-    out = out.select("frame_id", "y", "x", F.expr(f"cast((2 * s + {whole}) div {2 * whole} as int)").alias(c))
-    return px.drop(c).join(out, ["frame_id", "y", "x"]) if set(px.columns) - {"frame_id", "y", "x", c} else out
+    tile = Window.partitionBy("frame_id", "ty", "tx")
+    level = Window.partitionBy("frame_id", "ty", "tx", c)
+    rows = rows.withColumn("_area", F.sum("n").over(tile)).withColumn("_here", F.sum("n").over(level))
+    rows = rows.withColumn("_first", (F.row_number().over(level.orderBy(F.desc("n"))) == 1).cast("int"))
+    rows = rows.withColumn("_most", F.greatest(F.lit(1), F.floor(F.col("_area") * F.col("_clip") / 256)))
+    rows = rows.withColumn("_cut", F.sum(F.col("_first") * F.greatest(F.lit(0), F.col("_here") - F.col("_most"))).over(tile))
+    rows = rows.withColumn("_run", F.sum(F.col("_first") * F.least("_here", "_most")).over(tile.orderBy(c)))
+    to = F.expr(f"(2 * (_run + ({c} + 1) * (_cut div 256) + least({c} + 1, _cut % 256)) * 255 + _area) div (2 * _area)")
+    rows = rows.withColumn("_to", F.col("w") * to)
+    out = rows.groupBy("frame_id", "y", "x").agg(F.sum("_to").alias("_s"), F.first(F.col("_ty").cast("long") * F.col("_tx") * 4).alias("_whole"), *[F.first(o).alias(o) for o in others])
+    return out.select("frame_id", "y", "x", *others, F.expr("cast((2 * _s + _whole) div (2 * _whole) as int)").alias(c))

@@ -60,15 +60,22 @@ def box_mean(px: DataFrame, radius: int, planes: tuple = ("r", "g", "b")) -> Dat
     return px
 
 
-def _square(px: DataFrame, c: str, r: int, to: str) -> DataFrame:
-    """to: array of the (2r + 1)^2 neighbours, rows of columns."""
-    px = px.withColumn("_row", F.array(*[shifted(c, k, rows()) for k in range(-r, r + 1)]))
-    return px.withColumn(to, F.flatten(F.array(*[shifted("_row", k, columns()) for k in range(-r, r + 1)]))).drop("_row")
+def _line(px: DataFrame, c: str, r: int, w) -> DataFrame:
+    """c: array of the 2r + 1 values around along w, the edge's repeated past it."""
+    px = px.withColumn("_at", F.row_number().over(w) - 1).withColumn(c, F.collect_list(c).over(w.rowsBetween(-r, r)))
+    before, after = F.greatest(F.lit(0), r - F.col("_at")), F.lit(2 * r + 1) - F.size(c) - F.greatest(F.lit(0), r - F.col("_at"))
+    return px.withColumn(c, F.concat(F.array_repeat(F.element_at(c, 1), before), c, F.array_repeat(F.element_at(c, -1), after))).drop("_at")
+
+
+def square(px: DataFrame, planes: tuple, r: int, to: str = "_n") -> DataFrame:
+    """to: array of the (2r + 1)^2 neighbours, rows of columns, each a struct of the given planes."""
+    px = px.withColumn(to, F.struct(*planes))
+    return _line(_line(px, to, r, rows()), to, r, columns()).withColumn(to, F.flatten(to))
 
 
 def median(px: DataFrame, passes: int = 1, c: str = "v") -> DataFrame:
     for _ in range(passes):
-        px = _square(px, c, 1, "_n").withColumn(c, F.element_at(F.array_sort("_n"), 5)).drop("_n")
+        px = square(px, (c,), 1).withColumn(c, F.element_at(F.array_sort(F.col(f"_n.{c}")), 5)).drop("_n")
     return px
 
 
@@ -81,28 +88,23 @@ def bilateral_tables(diameter: int, sigma: float, planes: int = 1) -> tuple[list
 
 def bilateral(px: DataFrame, diameter: int, sigma: float, c: str = "v") -> DataFrame:
     """Mean weighted by distance and by difference; products are cut back to the fixed point."""
-    place, range_ = bilateral_tables(diameter, sigma)
-    px = _square(px, c, diameter // 2, "_n")
-    px = px.withColumn("_w", F.expr(f"zip_with(_n, array({', '.join(map(str, place))}), (n, s) -> cast(s as long) * element_at(array({', '.join(map(str, range_))}), abs(n - {c}) + 1) div {ONE})"))
-    value = F.expr("aggregate(zip_with(_n, _w, (n, w) -> n * w), 0L, (a, b) -> a + b)")
-    weight = F.expr("aggregate(_w, 0L, (a, b) -> a + b)")
-    px = px.withColumn("_v", value).withColumn("_t", weight)
-    return px.withColumn(c, F.expr("cast((2 * _v + _t) div (2 * _t) as int)")).drop("_n", "_w", "_v", "_t")
+    return bilateral_rgb(px, diameter, sigma, (c,))
 
 
 def bilateral_rgb(px: DataFrame, diameter: int, sigma: float, planes: tuple = ("r", "g", "b")) -> DataFrame:
-    """As ``bilateral``, for three planes with the sum of their differences."""
+    """As ``bilateral``, for planes weighted by the sum of their differences.
+
+    A pixel's neighbours are rows for a moment, so that weights are plain arithmetic; they are
+    summed where they were made, without an exchange."""
     place, range_ = bilateral_tables(diameter, sigma, len(planes))
-    for c in planes:
-        px = _square(px, c, diameter // 2, f"_{c}n")
-    apart = " + ".join(f"abs(element_at(_{c}n, i) - {c})" for c in planes)
-    weights = f"transform(sequence(1, {len(place)}), i -> cast(element_at(array({', '.join(map(str, place))}), i) as long) * element_at(array({', '.join(map(str, range_))}), {apart} + 1) div {ONE})"
-    px = px.withColumn("_w", F.expr(weights)).withColumn("_t", F.expr("aggregate(_w, 0L, (a, b) -> a + b)"))
-    for c in planes:
-        px = px.withColumn(f"_{c}v", F.expr(f"aggregate(zip_with(_{c}n, _w, (n, w) -> n * w), 0L, (a, b) -> a + b)"))
-    for c in planes:
-        px = px.withColumn(c, F.expr(f"cast((2 * _{c}v + _t) div (2 * _t) as int)"))
-    return px.drop("_w", "_t", *[f"_{c}{x}" for c in planes for x in "nv"])
+    others = [o for o in px.columns if o not in ("frame_id", "y", "x", *planes)]
+    table = lambda values: f"array({', '.join(map(str, values))})"
+    px = square(px, planes, diameter // 2).select("*", F.posexplode("_n").alias("_i", "_q")).drop("_n")
+    apart = " + ".join(f"abs(_q.{c} - {c})" for c in planes)
+    px = px.withColumn("_w", F.expr(f"cast(element_at({table(place)}, _i + 1) as long) * element_at({table(range_)}, {apart} + 1) div {ONE}"))
+    sums = [F.sum(F.col("_w") * F.col(f"_q.{c}")).alias(c) for c in planes]
+    px = px.groupBy("frame_id", "y", "x").agg(F.sum("_w").alias("_t"), *sums, *[F.first(o).alias(o) for o in others])
+    return px.select("frame_id", "y", "x", *others, *[F.expr(f"cast((2 * {c} + _t) div (2 * _t) as int)").alias(c) for c in planes])
 
 
 def smooth(px: DataFrame, diameter: int, sigma: float, refine: float, passes: int) -> DataFrame:

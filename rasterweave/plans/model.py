@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +17,9 @@ PRESETS = [
     ("blueprint", (225, 237, 245), (19, 57, 92), 48, 144, 5, 44, 1),
 ]
 NAMES = [p[0] for p in PRESETS]
+#: The labels, and what a custom preset starts from.
+LABELS = {"manga": "Manga Contrast", "studio": "Studio Ink", "neon": "Neon Pop", "warm": "Warm Sketch", "vivid": "Vivid Toon", "blueprint": "Blueprint Draft", "custom": "Custom / Experiment"}
+CUSTOM = ("custom", (255, 255, 255), (0, 0, 0), 40, 100, 13, 90)
 #: Smallest component area kept, by intensity of speckle cleaning.
 MIN_AREA = {1: 4, 2: 12, 3: 30}
 RGB = "struct<r:int,g:int,b:int>"
@@ -34,8 +37,14 @@ class Preset:
     passes: int = 1
 
 
-def preset(key: str) -> Preset:
-    return next(Preset(*p) for p in PRESETS if p[0] == key)
+def preset(key: str, **values) -> Preset:
+    """A catalogue preset, or for ``custom`` one of the given values over its defaults."""
+    if key == "custom":
+        return replace(Preset(*CUSTOM), **values)
+    found = next((Preset(*p) for p in PRESETS if p[0] == key), None)
+    if found is None:
+        raise ValueError(f"no preset is called {key}")
+    return found
 
 
 @dataclass(frozen=True)

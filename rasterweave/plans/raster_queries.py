@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterweave.operators import clahe as clahe_op
-from rasterweave.operators import frames, point, stencil, tiling
+from rasterweave.operators import connect, lineart, point, stencil, tiling
 from rasterweave.plans import model
 from rasterweave.sources import images
+from rasterweave.sources.session import scratch
 from rasterweave.sources.rasters import G8, M64, RGB8, gray8, mosaic64, rgb8
 
 QUERIES, ORACLES = {}, {}
@@ -196,16 +197,16 @@ def bilateral_multipass(spark, sf_dir):
     return pick(stencil.smooth(g8(spark, sf_dir), 5, 45, 23, 2), "v")
 
 
-def _bilateral_rgb_sql(diameter, sigma):
+def bilateral_rgb_sql(src, diameter, sigma, name, last=7):
     r = diameter // 2
     place, differ = stencil.bilateral_tables(diameter, sigma, 3)
     planes = ", ".join(f"CAST((2 * sum(n{c} * w) + sum(w)) // (2 * sum(w)) AS INT) AS {c}" for c in "rgb")
-    return near("rgb8", r, "r g b", "bc", 7) + f""",
-bw AS (SELECT frame_id, y, x, nr, ng, nb, CAST(({place})[(dy + {r}) * {2 * r + 1} + dx + {r + 1}] AS BIGINT) * ({differ})[abs(nr - r) + abs(ng - g) + abs(nb - b) + 1] // {stencil.ONE} AS w FROM bc),
-bl AS (SELECT frame_id, y, x, {planes} FROM bw GROUP BY frame_id, y, x)"""
+    return near(src, r, "r g b", name + "n", last) + f""",
+{name}w AS (SELECT frame_id, y, x, nr, ng, nb, CAST(({place})[(dy + {r}) * {2 * r + 1} + dx + {r + 1}] AS BIGINT) * ({differ})[abs(nr - r) + abs(ng - g) + abs(nb - b) + 1] // {stencil.ONE} AS w FROM {name}n),
+{name} AS MATERIALIZED (SELECT frame_id, y, x, {planes} FROM {name}w GROUP BY frame_id, y, x)"""
 
 
-@query(f"WITH {RGB8}, {_bilateral_rgb_sql(5, 45)} SELECT * FROM bl")
+@query(f"WITH {RGB8}, {bilateral_rgb_sql('rgb8', 5, 45, 'bl')} SELECT * FROM bl")
 def bilateral_rgb(spark, sf_dir):
     return pick(stencil.bilateral_rgb(c8(spark, sf_dir), 5, 45), "r", "g", "b")
 
@@ -231,7 +232,7 @@ def hysteresis_onehop(spark, sf_dir):
 
 
 def closure(px):
-    return frames.on_masks(px, lambda s: frames.hysteresis(s == 2, s >= 1).astype("int64") * 255, "m", "state").withColumn("m", F.col("m").cast("int"))
+    return connect.connect(px.select("frame_id", "y", "x", F.col("state").alias("m")), {"m": connect.closure})
 
 
 @query(f"WITH RECURSIVE {SOBEL}, s AS (SELECT frame_id, y, x, {STATE.format('abs(gx) + abs(gy)')} AS state FROM sb), {closure_sql('s', 'hy')} "
@@ -246,14 +247,9 @@ def canny_sql(src, low, high, name, last):
 {name} AS (SELECT q.frame_id, q.y, q.x, CASE WHEN r.y IS NULL THEN 0 ELSE 255 END AS m FROM {name}q q LEFT JOIN {name}r r ON r.frame_id = q.frame_id AND r.y = q.y AND r.x = q.x)"""
 
 
-def canny_px(px, low, high):
-    px = _thin(px, "l2").withColumn("state", stencil.threshold(F.col("nms"), low * low, high * high))
-    return closure(px)
-
-
 @query(f"WITH RECURSIVE {G8}, {canny_sql('g8', 150, 300, 'ca', 7)} SELECT * FROM ca")
 def canny(spark, sf_dir):
-    return canny_px(g8(spark, sf_dir), 150, 300)
+    return closure(lineart.states(g8(spark, sf_dir), "v", 150, 300, "state"))
 
 
 @query(f"WITH {M64}, {MASK64}, {extreme_sql('mk', 'max', 'dy * dy + dx * dx <= 9', 3, 'ex', 63)} SELECT * FROM ex")
@@ -291,40 +287,52 @@ def box_mean(spark, sf_dir):
     return pick(stencil.box_mean(c8(spark, sf_dir), 1), "r", "g", "b")
 
 
-CLAHE = f"""{M64}, t AS (SELECT frame_id, y // 8 AS ty, x // 8 AS tx, v FROM m64),
-h AS (SELECT frame_id, ty, tx, v, count(*) AS n FROM t GROUP BY ALL), h2 AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) AS area, greatest(1, CAST(floor(sum(n) OVER w * 8.0 / 256) AS BIGINT)) AS most FROM h WINDOW w AS (PARTITION BY frame_id, ty, tx)),
-cuts AS (SELECT frame_id, ty, tx, max(area) AS area, CAST(sum(greatest(0, n - most)) AS BIGINT) AS cut FROM h2 GROUP BY ALL),
-f AS (SELECT c.*, l.level, coalesce(least(n, most), 0) AS kept FROM cuts c CROSS JOIN (SELECT unnest(range(256)) AS level) l LEFT JOIN h2 ON h2.frame_id = c.frame_id AND h2.ty = c.ty AND h2.tx = c.tx AND h2.v = l.level),
-run AS (SELECT *, CAST(sum(kept) OVER (PARTITION BY frame_id, ty, tx ORDER BY level) AS BIGINT) + (level + 1) * (cut // 256) + least(level + 1, cut % 256) AS run FROM f),
-maps AS (SELECT frame_id, ty, tx, level, (2 * run * 255 + area) // (2 * area) AS lut FROM run),
-p AS (SELECT *, CAST(floor((2 * y - 7) / 16) AS INT) AS cy, CAST(floor((2 * x - 7) / 16) AS INT) AS cx FROM m64),
-a AS (SELECT p.*, dy, dx, (CASE dy WHEN 1 THEN 2 * y - 7 - 16 * cy ELSE 16 - (2 * y - 7 - 16 * cy) END) * (CASE dx WHEN 1 THEN 2 * x - 7 - 16 * cx ELSE 16 - (2 * x - 7 - 16 * cx) END) AS w
- FROM p CROSS JOIN (SELECT unnest([0, 1]) AS dy) CROSS JOIN (SELECT unnest([0, 1]) AS dx)),
-cl AS (SELECT a.frame_id, a.y, a.x, CAST((2 * sum(w * lut) + 256) // 512 AS INT) AS v FROM a JOIN maps m ON m.frame_id = a.frame_id AND m.level = a.v
+def clahe_sql(src, clip, name, t):
+    """Frames of 8 x 8 tiles of t x t pixels; ``clip`` may name a column of ``src`` that is one value a frame."""
+    share = lambda c, d: f"(CASE {d} WHEN 1 THEN 2 * {c} + 1 - {t} - {2 * t} * c{c} ELSE {2 * t} - (2 * {c} + 1 - {t} - {2 * t} * c{c}) END)"
+    whole = 4 * t * t
+    return f"""{name}h AS (SELECT frame_id, y // {t} AS ty, x // {t} AS tx, v, count(*) AS n, any_value({clip}) AS clip FROM {src} GROUP BY frame_id, y // {t}, x // {t}, v),
+{name}h2 AS (SELECT *, CAST(sum(n) OVER w AS BIGINT) AS area, greatest(1, CAST(floor(sum(n) OVER w * clip / 256) AS BIGINT)) AS most FROM {name}h WINDOW w AS (PARTITION BY frame_id, ty, tx)),
+{name}c AS (SELECT frame_id, ty, tx, max(area) AS area, CAST(sum(greatest(0, n - most)) AS BIGINT) AS cut FROM {name}h2 GROUP BY ALL),
+{name}f AS (SELECT c.*, l.level, coalesce(least(n, most), 0) AS kept FROM {name}c c CROSS JOIN (SELECT unnest(range(256)) AS level) l LEFT JOIN {name}h2 h ON h.frame_id = c.frame_id AND h.ty = c.ty AND h.tx = c.tx AND h.v = l.level),
+{name}r AS (SELECT *, CAST(sum(kept) OVER (PARTITION BY frame_id, ty, tx ORDER BY level) AS BIGINT) + (level + 1) * (cut // 256) + least(level + 1, cut % 256) AS run FROM {name}f),
+{name}m AS (SELECT frame_id, ty, tx, level, (2 * run * 255 + area) // (2 * area) AS lut FROM {name}r),
+{name}p AS (SELECT *, CAST(floor((2 * y + 1 - {t}) / {2 * t}) AS INT) AS cy, CAST(floor((2 * x + 1 - {t}) / {2 * t}) AS INT) AS cx FROM {src}),
+{name}a AS (SELECT p.*, dy, dx, {share('y', 'dy')} * {share('x', 'dx')} AS w
+ FROM {name}p p CROSS JOIN (SELECT unnest([0, 1]) AS dy) CROSS JOIN (SELECT unnest([0, 1]) AS dx)),
+{name} AS MATERIALIZED (SELECT a.frame_id, a.y, a.x, CAST((2 * sum(w * lut) + {whole}) // {2 * whole} AS INT) AS v FROM {name}a a JOIN {name}m m ON m.frame_id = a.frame_id AND m.level = a.v
  AND m.ty = greatest(0, least(7, cy + dy)) AND m.tx = greatest(0, least(7, cx + dx)) GROUP BY a.frame_id, a.y, a.x)"""
 
 
-@query(f"WITH {CLAHE} SELECT * FROM cl")
+@query(f"WITH {M64}, {clahe_sql('m64', '8.0::DOUBLE', 'cl', 8)} SELECT * FROM cl")
 def clahe(spark, sf_dir):
-    return pick(clahe_op.clahe(m64(spark, sf_dir), 64, 64, 8.0), "v")
+    return pick(clahe_op.clahe(m64(spark, sf_dir), 8.0), "v")
+
+
+def labels_sql(src, wide, name):
+    return f"""{name}f AS (SELECT frame_id, y, x, y * {wide} + x + 1 AS p FROM {src} WHERE m > 0),
+{name}r AS (SELECT frame_id, p, p AS q, y, x FROM {name}f UNION SELECT r.frame_id, r.p, f.p, f.y, f.x FROM {name}r r JOIN {name}f f ON f.frame_id = r.frame_id AND f.y BETWEEN r.y - 1 AND r.y + 1 AND f.x BETWEEN r.x - 1 AND r.x + 1),
+{name}lab AS (SELECT frame_id, p, min(q) AS label FROM {name}r GROUP BY frame_id, p),
+{name}areas AS (SELECT frame_id, CAST(label AS BIGINT) AS label, count(*) AS area FROM {name}lab GROUP BY ALL)"""
 
 
-LABELS = """fg AS (SELECT frame_id, y, x, y * 64 + x + 1 AS p FROM mk WHERE m > 0),
-reach AS (SELECT frame_id, p, p AS q, y, x FROM fg UNION SELECT r.frame_id, r.p, f.p, f.y, f.x FROM reach r JOIN fg f ON f.frame_id = r.frame_id AND f.y BETWEEN r.y - 1 AND r.y + 1 AND f.x BETWEEN r.x - 1 AND r.x + 1),
-lab AS (SELECT frame_id, p, min(q) AS label FROM reach GROUP BY frame_id, p),
-areas AS (SELECT frame_id, CAST(label AS BIGINT) AS label, count(*) AS area FROM lab GROUP BY ALL)"""
+def clean_sql(src, wide, least, name):
+    return labels_sql(src, wide, name) + f""",
+{name} AS MATERIALIZED (SELECT s.frame_id, s.y, s.x, CASE WHEN area >= {least} THEN 255 ELSE 0 END AS m FROM {src} s LEFT JOIN {name}lab l ON l.frame_id = s.frame_id AND l.p = s.y * {wide} + s.x + 1 LEFT JOIN {name}areas a ON a.frame_id = l.frame_id AND a.label = l.label)"""
 
 
-@query(f"WITH RECURSIVE {M64}, {MASK64}, {LABELS} SELECT frame_id, label, area FROM areas")
+@query(f"WITH RECURSIVE {M64}, {MASK64}, {labels_sql('mk', 64, 'co')} SELECT frame_id, label, area FROM coareas")
 def components_area(spark, sf_dir):
-    lab = frames.on_masks(mask(mosaic64(spark, sf_dir)), lambda m: frames.label(m > 0), "label", "m")
+    px = mask(mosaic64(spark, sf_dir)).withColumn("m", F.col("m").cast("long"))
+    lab = connect.connect(px, {"m": connect.component}).withColumnRenamed("m", "label")
     return lab.where("label > 0").groupBy("frame_id", "label").agg(F.count("*").alias("area"))
 
 
-@query(f"WITH RECURSIVE {M64}, {MASK64}, {LABELS} SELECT mk.frame_id, mk.y, mk.x, CASE WHEN area >= 4 THEN 255 ELSE 0 END AS m FROM mk LEFT JOIN lab ON lab.frame_id = mk.frame_id AND lab.p = mk.y * 64 + mk.x + 1 LEFT JOIN areas a ON a.frame_id = lab.frame_id AND a.label = lab.label")
+@query(f"WITH RECURSIVE {M64}, {MASK64}, {clean_sql('mk', 64, model.MIN_AREA[1], 'cs')} SELECT * FROM cs")
 def clean_speckles(spark, sf_dir):
-    """Area filter as aggregation and semi join on (frame_id, label)."""
-    lab = frames.on_masks(mask(mosaic64(spark, sf_dir)), lambda m: frames.label(m > 0), "label", "m")
+    """Area filter as aggregation and join on (frame_id, label)."""
+    px = mask(mosaic64(spark, sf_dir)).withColumn("m", F.col("m").cast("long"))
+    lab = connect.connect(px, {"m": connect.component}).withColumnRenamed("m", "label")
     large = lab.where("label > 0").groupBy("frame_id", "label").count().where(f"count >= {model.MIN_AREA[1]}").select("frame_id", "label", F.lit(255).alias("kept"))
     return lab.join(large, ["frame_id", "label"], "left").select("frame_id", "y", "x", F.coalesce("kept", F.lit(0)).alias("m"))
 
@@ -365,19 +373,83 @@ def resample_half(spark, sf_dir):
     return point.resample(mosaic64(spark, sf_dir), 0.5)
 
 
-def _art(key, **more):
+def gamma_sql(c):
+    return f"CAST(CASE WHEN mean < 80 THEN floor(pow({c} / 255.0::DOUBLE, 1 / greatest(1.5, least(3.0, 1.0 + (80 - mean) / 40))) * 255 + 0.5) ELSE {c} END AS INT)"
+
+
+def stretch_sql(src, name, when="TRUE"):
+    return f"""{name}w AS (SELECT *, min(v) OVER (PARTITION BY frame_id) AS lo, max(v) OVER (PARTITION BY frame_id) AS hi FROM {src}),
+{name} AS MATERIALIZED (SELECT * EXCLUDE (lo, hi) REPLACE (CAST(CASE WHEN hi > lo AND {when} THEN (2 * (v - lo) * 255 + (hi - lo)) // (2 * (hi - lo)) ELSE v END AS INT) AS v) FROM {name}w)"""
+
+
+def lineart_sql(s):
+    """DuckDB SQL of a render of the 8 x 8 colour rasters, one CTE or a few a stage."""
+    d, p, ctes, last = s.derived(), s.preset, [RGB8, f"raw AS MATERIALIZED (SELECT *, {LUMA} AS v FROM rgb8)"], 7
+    normal, colour = s.auto_normalize or not s.custom, s.custom and s.color_edges
+
+    def stage(sql, name):
+        ctes.append(sql)
+        return name
+
+    at = "rgb8"
+    for k, sigma in enumerate(lineart.smoothing(s)):
+        at = stage(bilateral_rgb_sql(at, p.diameter, sigma, f"sm{k}"), f"sm{k}")
+    at = stage(f"gr AS (SELECT frame_id, y, x, {LUMA} AS v FROM {at})", "gr")
+    for k in range(s.gaussian_passes if s.custom and s.gaussian else 0):
+        at = stage(weighted(at, W5, f"gp{k}", last), f"gp{k}")
+    for k in range(s.median_passes if s.custom and s.median else 0):
+        at = stage(f"{near(at, 1, 'v', f'mp{k}n', last)}, mp{k} AS (SELECT frame_id, y, x, (list_sort(list(nv)))[5] AS v FROM mp{k}n GROUP BY frame_id, y, x)", f"mp{k}")
+    ctes.append(f"{STATS.format('raw')}, ms AS (SELECT frame_id, total / n AS mean, sqrt(CAST(n * squares - total * total AS DOUBLE)) / n AS std FROM st)")
+    source = "raw"
+    if normal:
+        ctes.append(f"lift AS MATERIALIZED (SELECT frame_id, y, x, {gamma_sql('v')} AS v, std, greatest(1.5, least(4.5, 150 / greatest(mean, 1.0))) AS clip FROM {at} JOIN ms USING (frame_id))")
+        source = stage(f"rl AS (SELECT frame_id, y, x, {gamma_sql('v')} AS v FROM raw JOIN ms USING (frame_id))", "rl")
+        ctes.append(stretch_sql("lift", "str", "std < 45"))
+        at = stage(clahe_sql("str", "clip", "ac", 1), "ac")
+    at = stage(weighted(at, W5, "pre", last), "pre")
+    if s.custom and s.dark_boost:
+        at = stage(clahe_sql(at, f"{float(s.dark_boost_clip)}::DOUBLE", "mc", 1), "mc")
+    ctes.append(canny_sql(at, d["low"], d["high"], "ca", last))
+    at = stage(f"{extreme_sql('ca', 'max', ALL, 1, 'k1', last)}, {extreme_sql('k1', 'min', ALL, 1, 'k2', last)}", "k2")
+    if s.custom and s.clean_speckles:
+        at = stage(clean_sql(at, 8, model.MIN_AREA[s.clean_intensity], "cs"), "cs")
+    if s.custom and s.merge_double_edge:
+        r = 1 + s.merge_intensity
+        at = stage(f"{extreme_sql(at, 'max', ALL, r, 'd1', last)}, {extreme_sql('d1', 'min', ALL, r, 'd2', last)}, {extreme_sql('d2', 'min', ALL, 1, 'd3', last)}", "d3")
+    disc = lambda w: f"dy * dy + dx * dx <= {(w - 1) ** 2}"
+    if s.line_weight > 1:
+        at = stage(extreme_sql(at, "max", disc(s.line_weight), s.line_weight - 1, "lw", last), "lw")
+    planes = [f"CAST(CASE WHEN e.m > 127 THEN {i} ELSE {b} END AS INT) AS {c}" for i, b, c in zip(p.ink, p.background, "rgb")]
+    joined = f"FROM {at} e"
+    if colour:
+        if s.color_softness:
+            soft = stencil.gaussian_weights(*lineart.softness(s))
+            ctes.append(f"{weighted(source, soft, 'cb', last)}, {stretch_sql('cb', 'cst')}, " + ", ".join(weighted("rgb8", soft, f"paint{c}", last, c) for c in "rgb"))
+            source, paint = "cst", "".join(f" JOIN paint{c} USING (frame_id, y, x)" for c in "rgb")
+        else:
+            paint = " JOIN rgb8 USING (frame_id, y, x)"
+        lines = stage(canny_sql(source, s.color_low, s.color_high, "cl", last), "cl")
+        if s.color_line_weight > 1:
+            lines = stage(extreme_sql(lines, "max", disc(s.color_line_weight), s.color_line_weight - 1, "clw", last), "clw")
+        op = float(s.color_opacity)
+        mixed = lambda c, b: f"floor({b} * (1 - {op}::DOUBLE) + {gamma_sql(c) if normal else c} * {op}::DOUBLE)"
+        planes = [f"CAST(CASE WHEN e.m > 127 THEN {i} WHEN l.m > 127 THEN {mixed(c, b)} ELSE {b} END AS INT) AS {c}" for i, b, c in zip(p.ink, p.background, "rgb")]
+        joined = f"FROM {at} e JOIN {lines} l USING (frame_id, y, x){paint} JOIN ms USING (frame_id)"
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT frame_id, y, x, {', '.join(planes)} {joined}"
+
+
+def _art(name, settings):
     def art(spark, sf_dir):
-        settings = model.Settings(preset=model.preset(key), **more)
-        out = frames.render(frames.frames_of(rgb8(spark, sf_dir)), settings)
-        return out.select("frame_id", "width", "height", F.lower(F.hex("rgb")).alias("rgb_hex"))
+        return lineart.line_art(rgb8(spark, sf_dir), settings)
 
-    art.__name__ = f"lineart_{'custom' if more else key}"
-    return art
+    art.__name__ = f"lineart_{name}"
+    query(lineart_sql(settings))(art)
 
 
 for _key in model.NAMES:
-    query()(_art(_key))
-query()(_art("vivid", custom=True, color_edges=True, color_opacity=0.5, gaussian=True, median=True, clean_intensity=1, dark_boost=True))
+    _art(_key, model.Settings(preset=model.preset(_key)))
+_art("custom", model.Settings(preset=model.preset("custom", diameter=5), custom=True, gaussian=True, median=True, clean_intensity=1, merge_intensity=1, dark_boost=True, color_edges=True, color_softness=2, color_line_weight=2, color_opacity=0.5))
+_art("plain", model.Settings(preset=model.preset("custom", background=(250, 250, 240), ink=(20, 20, 60)), custom=True, bilateral=False, clean_speckles=False, auto_normalize=False, merge_double_edge=False, line_weight=1, color_edges=True, color_low=30, color_high=90))
 
 
 def flagship(spark, sf_dir):
@@ -395,8 +467,12 @@ def tiled_median(spark, sf_dir):
     return pick(tiling.untiled(stencil.median(stencil.by_frame(px)), 16), "v")
 
 
-@query()
+@query(lineart_sql(model.Settings()))
 def png_sink(spark, sf_dir):
-    """Rendered frames as PNG files' bytes, with their length."""
-    art = frames.render(frames.frames_of(rgb8(spark, sf_dir)), model.Settings())
-    return images.with_png(art).select("frame_id", "width", "height", F.length("png").alias("bytes"), F.sha2("png", 256).alias("digest"))
+    """Renders written as PNG files, one a frame, and read back with Spark's image source."""
+    art = lineart.line_art(rgb8(spark, sf_dir), model.Settings())
+    folder = scratch(spark, "png-files")
+    images.write_png_files(images.frames_of(art), folder).write.format("noop").mode("overwrite").save()
+    read = images.read_images(spark, folder).where("readable")
+    read = read.withColumn("frame_id", F.regexp_extract("path", r"frame-(\d+)\.png\z", 1).cast("long"))
+    return images.image_pixels(read, "frame_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rasterweave.functions import schedule as sch
 from rasterweave.functions import text
 from rasterweave.plans import model
+from rasterweave.sources import images
 from rasterweave.sources.rasters import CLOCK, DIMS, DURATION, FPS, frame_clock, media_dims, table
 from rasterweave.sources.session import scratch, ship
 from rasterweave.streaming import chunks
@@ -96,8 +97,8 @@ routed AS (SELECT i, value, CAST(seg AS BIGINT) AS seg, CAST(local AS BIGINT) AS
 
 
 def _routed(spark, sf_dir):
-    clock = frame_clock(spark, sf_dir)
-    return sch.route(clock, F.lit(clock.count()), F.lit(SEGMENTS), F.lit(CHUNK))
+    total = table(spark, sf_dir, "events").count()  # from the files' metadata
+    return sch.route(frame_clock(spark, sf_dir), F.lit(total), F.lit(SEGMENTS), F.lit(CHUNK))
 
 
 @query(f"WITH {ROUTED} SELECT i, seg, local, chunk, within, expected FROM routed")
@@ -105,12 +106,13 @@ def segment_chunk_route(spark, sf_dir):
     return _routed(spark, sf_dir).select("i", "seg", "local", "chunk", "within", "expected")
 
 
-#: Frames with a value below 1 never arrive, so some chunks stay incomplete.
-ARRIVED = f"{ROUTED}, arrived AS (SELECT * FROM routed WHERE i % 97 <> 5)"
+#: Frames with a value below LOST never arrive, so some chunks stay incomplete; those above FAILED fail.
+LOST, FAILED = 0.5, 150
+ARRIVED = f"{ROUTED}, arrived AS (SELECT * FROM routed WHERE value >= {LOST})"
 
 
 def _arrived(spark, sf_dir):
-    return _routed(spark, sf_dir).where("i % 97 <> 5")
+    return _routed(spark, sf_dir).where(f"value >= {LOST}")
 
 
 @query(f"WITH {ARRIVED} SELECT seg, chunk, count(*) AS frames FROM arrived GROUP BY seg, chunk HAVING count(*) = max(expected)")
@@ -131,7 +133,7 @@ def interval_route_join(spark, sf_dir):
 @query(f"WITH {FRAMES}, n AS (SELECT count(*) AS total FROM fr) SELECT i, CAST(greatest(0, least(100, 88 + floor(least(100, 5 + (i + 1) / total * 83) * 0.04::DOUBLE + 0.5))) AS INT) AS percent FROM fr, n")
 def progress_curve(spark, sf_dir):
     clock = frame_clock(spark, sf_dir)
-    done = F.least(F.lit(100.0), 5 + (F.col("i") + 1) / F.lit(clock.count()) * 83)
+    done = F.least(F.lit(100.0), 5 + (F.col("i") + 1) / F.lit(table(spark, sf_dir, "events").count()) * 83)
     return clock.select("i", sch.progress(88, 0.04, done).alias("percent"))
 
 
@@ -168,17 +170,18 @@ def last_k_logs(spark, sf_dir):
     return _logs(spark, sf_dir).withColumn("k", F.row_number().over(w)).where("k <= 5").drop("k")
 
 
-@query(f"WITH {ROUTED} SELECT seg, chunk, min(i) AS first_index, arg_min(CASE WHEN value > 100 THEN 'encode' ELSE 'decode' END, i) AS reason FROM routed WHERE i % 11 = 3 GROUP BY seg, chunk")
+@query(f"WITH {ROUTED} SELECT seg, chunk, min(i) AS first_index, arg_min(CASE WHEN value > {2 * FAILED} THEN 'encode' ELSE 'decode' END, i) AS reason FROM routed WHERE value > {FAILED} GROUP BY seg, chunk")
 def first_failure(spark, sf_dir):
-    failed = _routed(spark, sf_dir).where("i % 11 = 3").withColumn("reason", F.when(F.col("value") > 100, "encode").otherwise("decode"))
+    failed = _routed(spark, sf_dir).where(f"value > {FAILED}").withColumn("reason", F.when(F.col("value") > 2 * FAILED, "encode").otherwise("decode"))
     return failed.groupBy("seg", "chunk").agg(F.min("i").alias("first_index"), F.min_by("reason", "i").alias("reason"))
 
 
-@query("WITH v AS (SELECT o_orderkey AS media_id, o_totalprice / 100 AS video_s FROM orders), a AS (SELECT l_orderkey AS media_id, CAST(sum(l_quantity) AS DOUBLE) AS audio_s FROM lineitem WHERE l_linenumber <= 2 AND l_quantity > 10 GROUP BY 1) "
+@query("WITH v AS (SELECT o_orderkey AS media_id, o_totalprice / 100 AS video_s FROM orders), a AS (SELECT l_orderkey AS media_id, CAST(sum(l_quantity) AS DOUBLE) AS audio_s FROM lineitem WHERE l_quantity > 25 GROUP BY 1) "
        "SELECT media_id, audio_s IS NOT NULL AS has_audio, CAST(least(video_s, coalesce(audio_s, video_s)) AS DOUBLE) AS duration_s FROM v LEFT JOIN a USING (media_id)")
 def audio_left_join(spark, sf_dir):
+    """Optional audio: tracks (lines) of at most 25 are silent, so media of such lines alone have none."""
     v = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("media_id"), (F.col("o_totalprice") / 100).alias("video_s"))
-    a = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_quantity > 10").groupBy(F.col("l_orderkey").alias("media_id")).agg(F.sum("l_quantity").cast("double").alias("audio_s"))
+    a = table(spark, sf_dir, "lineitem").where("l_quantity > 25").groupBy(F.col("l_orderkey").alias("media_id")).agg(F.sum("l_quantity").cast("double").alias("audio_s"))
     joined = v.join(a, "media_id", "left")
     return joined.select("media_id", F.col("audio_s").isNotNull().alias("has_audio"), F.least("video_s", F.coalesce("audio_s", "video_s")).cast("double").alias("duration_s"))
 
@@ -206,9 +209,19 @@ def ordered_concat(spark, sf_dir):
     c = _routed(spark, sf_dir).groupBy("seg", "chunk").agg(F.min("i").alias("first_i"))
     u = c.where("seg < 2").unionByName(c.where("seg >= 2"))
     per = u.groupBy("seg").count()
-    before = per.select("seg", F.coalesce(F.sum("count").over(Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = u.withColumn("k", F.row_number().over(Window.partitionBy("seg").orderBy("chunk")))
-    return ranked.join(F.broadcast(before), "seg").select("seg", "chunk", "first_i", (F.col("base") + F.col("k")).alias("place"))
+    before = per.select("seg", F.coalesce(F.sum("count").over(Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a segment
+    return u.join(F.broadcast(before), "seg").select("seg", "chunk", "first_i", (F.col("base") + F.col("chunk") + 1).alias("place"))
+
+
+@query(f"WITH {ROUTED}, a AS (SELECT CAST(avg(l_quantity) AS DOUBLE) * 10 AS audio_s FROM lineitem) SELECT CAST(i AS BIGINT) AS place, 'seg' || seg || '/c' || chunk || '/frame-' || lpad(CAST(within AS VARCHAR), 5, '0') || '.png' AS path, audio_s IS NOT NULL AS has_audio "
+       f"FROM routed LEFT JOIN a ON TRUE WHERE i / {FPS}::DOUBLE < coalesce(audio_s, i + 1)")
+def final_manifest(spark, sf_dir):
+    """One ordered manifest of all segments' chunks' frames; with audio, the shorter of the two ends it."""
+    audio = table(spark, sf_dir, "lineitem").agg((F.avg("l_quantity").cast("double") * 10).alias("audio_s")).first().audio_s
+    r = _routed(spark, sf_dir)
+    if audio is not None:
+        r = r.where(F.col("i") / F.lit(FPS) < F.lit(audio))
+    return r.select(F.col("i").alias("place"), sch.chunk_path(F.col("seg"), F.col("chunk"), F.col("within")).alias("path"), F.lit(audio is not None).alias("has_audio"))
 
 
 @query(f"""WITH {CLOCK}, s AS (SELECT user_id, event_id, ts, value FROM events), probe AS (SELECT user_id, ts, event_id FROM events WHERE event_id % 10 = 0)
@@ -312,14 +325,46 @@ def encode_plan(spark, sf_dir):
     return z.select("media_id", "frames", "encoders", sch.chunk_size(F.col("w"), F.col("h")).alias("chunk_frames"), sch.threads_per_segment(F.col("cores"), F.col("encoders")).alias("threads"), sch.preview_time(F.col("duration_s")).alias("preview_s"))
 
 
-@query(f"WITH {DIMS} SELECT media_id, concat_ws(':', width, height, detail, preset_no) AS cache_key FROM dims")
+#: Of the cache key's 24 values those that presets and dims do not give, in their order.
+_S = model.Settings()
+FIXED_KEY = [_S.line_weight, int(_S.clean_speckles), _S.clean_intensity, int(_S.merge_double_edge), _S.merge_intensity, int(_S.color_edges), _S.color_low, _S.color_high, _S.color_line_weight, _S.color_softness, f"{_S.color_opacity:g}"]
+PRESET_KEY = ", ".join(f"({i}, '{':'.join(map(str, (p[3], p[4], p[5], p[6], *p[1], *p[2])))}')" for i, p in enumerate(model.PRESETS))
+
+
+@query(f"WITH {DIMS}, presets(k, own) AS (VALUES {PRESET_KEY}) SELECT media_id, concat_ws(':', width, height, detail, own, '{':'.join(map(str, FIXED_KEY))}') AS cache_key FROM dims JOIN presets ON k = preset_no")
 def settings_key(spark, sf_dir):
-    return media_dims(spark, sf_dir).select("media_id", F.concat_ws(":", *[F.col(c).cast("string") for c in ("width", "height", "detail", "preset_no")]).alias("cache_key"))
+    """Size, detail, the preset's values and those of the optional stages, joined by colons."""
+    names = F.array(*[F.lit(n) for n in model.NAMES])
+    d = media_dims(spark, sf_dir).withColumn("preset", F.element_at(names, F.col("preset_no") + 1))
+    d = d.join(F.broadcast(model.preset_table(spark)), "preset")  # six rows
+    values = ["width", "height", "detail", "low0", "high0", "diameter", "sigma0", *[f"{c}.{k}" for c in ("background", "ink") for k in "rgb"]]
+    return d.select("media_id", F.concat_ws(":", *[F.col(c).cast("string") for c in values], *[F.lit(str(v)) for v in FIXED_KEY]).alias("cache_key"))
+
+
+@query("SELECT event_id, 'job-' || epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS job_id FROM events")
+def job_id(spark, sf_dir):
+    """A job is named after the millisecond it starts in."""
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("job-"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).alias("job_id"))
+
+
+CHUNKS = (
+    f"WITH {ROUTED} SELECT CAST(seg AS BIGINT) AS seg, CAST(chunk AS BIGINT) AS chunk, count(*) AS frames, min('seg' || seg || '/c' || chunk || '/frame-' || lpad(CAST(within AS VARCHAR), 5, '0') || '.png') AS first_path FROM routed GROUP BY ALL"
+)
+
+
+@query(CHUNKS)
+def chunk_sink(spark, sf_dir):
+    """Frames written as a table partitioned by segment and chunk, and read back by partition."""
+    path = scratch(spark, "chunk-table")
+    rows = _routed(spark, sf_dir).select("seg", "chunk", "within", F.encode(F.col("i").cast("string"), "utf-8").alias("png"))
+    images.write_chunks(rows.repartition("seg", "chunk"), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("seg").cast("long").alias("seg"), F.col("chunk").cast("long").alias("chunk")).agg(F.count("*").alias("frames"), F.min("path").alias("first_path"))
 
 
-STREAMED = f"""n AS (SELECT count(*) AS total, min(event_id) AS base, CAST(ceil(count(*) / {SEGMENTS}) AS BIGINT) AS f FROM events), r0 AS (SELECT event_id - base AS i, total, f, least({SEGMENTS - 1}, (event_id - base) // f) AS seg FROM events, n),
+STREAMED = f"""n AS (SELECT count(*) AS total, min(event_id) AS base, CAST(ceil(count(*) / {SEGMENTS}) AS BIGINT) AS f FROM events), r0 AS (SELECT event_id - base AS i, value, total, f, least({SEGMENTS - 1}, (event_id - base) // f) AS seg FROM events, n),
 r1 AS (SELECT *, i - seg * f AS local, CASE WHEN seg = {SEGMENTS - 1} THEN total - seg * f ELSE f END AS own FROM r0),
-r2 AS (SELECT CAST(seg AS BIGINT) AS seg, CAST(local // {CHUNK} AS BIGINT) AS chunk, least((local // {CHUNK}) * {CHUNK} + {CHUNK}, own) - (local // {CHUNK}) * {CHUNK} AS expected FROM r1 WHERE i % 97 <> 5)"""
+r2 AS (SELECT CAST(seg AS BIGINT) AS seg, CAST(local // {CHUNK} AS BIGINT) AS chunk, least((local // {CHUNK}) * {CHUNK} + {CHUNK}, own) - (local // {CHUNK}) * {CHUNK} AS expected FROM r1 WHERE value >= {LOST})"""
 
 
 @query(f"WITH {STREAMED} SELECT seg, chunk, count(*) AS frames FROM r2 GROUP BY seg, chunk HAVING count(*) = max(expected)")
@@ -329,9 +374,9 @@ def stream_chunk_complete(spark, sf_dir):
     ship(spark)
     batch = table(spark, sf_dir, "events")
     first = batch.agg(F.count("*").alias("total"), F.min("event_id").alias("base")).first()
-    source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    frames = source.select((F.col("event_id") - first.base).alias("i"))
-    routed = sch.route(frames, F.lit(first.total), F.lit(SEGMENTS), F.lit(CHUNK)).where("i % 97 <> 5").select("seg", "chunk", "within", "expected")
+    source = chunks.frame_stream(spark, sf_dir, batch.schema, "events.parquet")
+    frames = source.select((F.col("event_id") - first.base).alias("i"), "value")
+    routed = sch.route(frames, F.lit(first.total), F.lit(SEGMENTS), F.lit(CHUNK)).where(f"value >= {LOST}").select("seg", "chunk", "within", "expected")
     out = scratch(spark, "stream-chunks")
     sink = chunks.completed_stream(routed).writeStream.option("checkpointLocation", out + "/state").trigger(availableNow=True)
     sink.format("parquet").option("path", out + "/rows").start().awaitTermination()

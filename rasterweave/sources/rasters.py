@@ -55,13 +55,16 @@ def mosaic64(spark, sf_dir: str) -> DataFrame:
 def frame_clock(spark, sf_dir: str) -> DataFrame:
     """(i, event_id, ts, value): events numbered in time order from 0.
 
-    Ranks are counted per day and added to the days before, so no task holds all events.
+    Ranks are counted within each minute and added to the minutes before, so no task holds
+    all events; events without a time come last.
     """
-    e = table(spark, sf_dir, "events").select("event_id", "ts", "value").withColumn("day", F.to_date("ts"))
-    days = e.groupBy("day").count()
-    before = days.select("day", F.coalesce(F.sum("count").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    return e.withColumn("rank", rank).join(F.broadcast(before), "day").select((F.col("base") + F.col("rank") - 1).alias("i"), "event_id", "ts", "value")
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "value").withColumn("minute", F.date_trunc("minute", "ts"))
+    minutes = e.groupBy("minute").count()
+    before = Window.orderBy(F.asc_nulls_last("minute")).rowsBetween(Window.unboundedPreceding, -1)  # one row a minute
+    before = minutes.select(F.col("minute").alias("_minute"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("minute").orderBy(F.asc_nulls_last("ts"), "event_id"))
+    joined = e.withColumn("rank", rank).join(before, F.col("minute").eqNullSafe(F.col("_minute")))
+    return joined.select((F.col("base") + F.col("rank") - 1).alias("i"), "event_id", "ts", "value")
 
 
 def media_dims(spark, sf_dir: str) -> DataFrame:
@@ -89,6 +92,6 @@ rgb8 AS (SELECT frame_id, CAST(p // 8 AS INT) AS y, CAST(p % 8 AS INT) AS x, max
          max(CASE WHEN ch = 1 THEN v END) AS g, max(CASE WHEN ch = 2 THEN v END) AS b FROM c1 GROUP BY frame_id, p HAVING count(*) = 3)"""
 M64 = f"""m0 AS (SELECT vec_id // 64 AS frame_id, vec_id % 64 AS t, unnest(range(64)) AS p, embedding, count(*) OVER (PARTITION BY vec_id // 64) AS n FROM embeddings),
 m64 AS (SELECT frame_id, CAST(t // 8 * 8 + p // 8 AS INT) AS y, CAST(t % 8 * 8 + p % 8 AS INT) AS x, {_SCALE.format('embedding[p + 1]')} AS v FROM m0 WHERE n = 64)"""
-CLOCK = "clock AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS i, event_id, ts, value FROM events)"
+CLOCK = "clock AS (SELECT row_number() OVER (ORDER BY ts NULLS LAST, event_id) - 1 AS i, event_id, ts, value FROM events)"
 DIMS = """dims AS (SELECT p_partkey AS media_id, CAST(p_size * 64 AS INT) AS width, CAST((p_partkey % 50 + 1) * 64 AS INT) AS height,
         p_size * 7.5::DOUBLE AS duration_s, CAST(35 + p_partkey % 56 AS INT) AS detail, CAST(p_partkey % 6 AS INT) AS preset_no FROM part)"""

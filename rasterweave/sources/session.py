@@ -17,10 +17,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir;
-    a temporary one where a session, as in tests, has none)."""
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir,
+    or a temporary one where a local session has none; a cluster has to name it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from rasterweave.sources.session import ship
 
 OUT = "seg long, chunk long, frames long"
-STATE = "frames long, fired boolean"
+STATE = "seen binary, fired boolean"
 
 
 def completed(routed: DataFrame) -> DataFrame:
@@ -22,20 +22,32 @@ def completed(routed: DataFrame) -> DataFrame:
 
 
 def fire_once(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts a chunk's frames over micro-batches, in any order; emits the chunk when its
-    count reaches the expected one, then only remembers that it has fired."""
-    frames, fired = state.get if state.exists else (0, False)
-    expected = 0
+    """Marks a chunk's frames over micro-batches, in any order and however often they come; emits the
+    chunk when all expected ones are marked. Of a chunk that has fired only that stays in the state."""
+    marks, fired = state.get if state.exists else (b"", False)
+    if fired:
+        for _ in batches:  # late repeats
+            pass
+        return
+    seen, expected = int.from_bytes(marks, "little"), 0
     for b in batches:
-        frames += len(b)
+        for within in b["within"].unique().tolist():
+            seen |= 1 << within
         expected = max(expected, int(b["expected"].max()))
-    if not fired and expected and frames >= expected:
-        fired = True
+    frames = seen.bit_count()
+    if expected and frames >= expected:
+        state.update((b"", True))
         yield pd.DataFrame({"seg": [key[0]], "chunk": [key[1]], "frames": [frames]})
-    state.update((frames, fired))
+    else:
+        state.update((seen.to_bytes(-(-seen.bit_length() // 8), "little"), False))
 
 
 def completed_stream(routed: DataFrame) -> DataFrame:
-    """Streaming form of ``completed`` for frames that arrive once each."""
+    """Streaming form of ``completed``: repeats count once, as there."""
     ship(routed.sparkSession)
     return routed.groupBy("seg", "chunk").applyInPandasWithState(fire_once, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def frame_stream(spark, folder: str, schema, files: str = "*.parquet", most_files: int = 16) -> DataFrame:
+    """Frames as they are added to a folder, at most ``most_files`` files a micro-batch."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", most_files).parquet(folder)

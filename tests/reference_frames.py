@@ -1,21 +1,12 @@
-"""Frame tier: a frame is one row with its bytes, and NumPy works on whole frames.
-
-The same semantics as the pixel operators, for connectivity, which is iterative,
-and for full line-art renders. A frame is the unit of work, so memory is a frame's.
-"""
+"""Brute force on whole frames with NumPy, which the pixel operators are held against."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from rasterweave.operators.stencil import ONE, bilateral_tables, gaussian_weights
 from rasterweave.plans.model import MIN_AREA, Settings
-from rasterweave.sources.session import ship
 
 
 def moved(a: np.ndarray, dy: int, dx: int) -> np.ndarray:
@@ -246,46 +237,3 @@ def line_art(rgb: np.ndarray, s: Settings) -> np.ndarray:
         out = np.where((lines > 127)[..., None], color, out)
     out = np.where((edges > 127)[..., None], np.array(p.ink), out)
     return out.astype(np.uint8)
-
-
-def frames_of(px: DataFrame) -> DataFrame:
-    """Pixel table r, g, b -> (frame_id, width, height, rgb BINARY), row-major.
-
-    Pixels of a frame are gathered where the frame's key is; a frame is one row."""
-    dot = F.struct("y", "x", "r", "g", "b")
-    g = px.groupBy("frame_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"), F.array_sort(F.collect_list(dot)).alias("p"))
-    hexed = F.array_join(F.transform("p", lambda d: F.concat(*[F.lpad(F.hex(d[c]), 2, "0") for c in "rgb"])), "")
-    return g.select("frame_id", "width", "height", F.unhex(hexed).alias("rgb"))
-
-
-def render(frames: DataFrame, settings: Settings) -> DataFrame:
-    """Line art of each frame row; the frame's bytes stay one row."""
-
-    spark = frames.sparkSession
-    ship(spark)
-    # frames are small rows but long work: a set number of partitions is not merged for size
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    frames = frames.repartition(parts, "frame_id")
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for w, h, data in zip(batch["width"], batch["height"], batch["rgb"]):
-                out.append(line_art(np.frombuffer(data, np.uint8).reshape(h, w, 3), settings).tobytes())
-            yield batch.assign(rgb=out)
-
-    return frames.mapInPandas(run, frames.schema)
-
-
-def on_masks(px: DataFrame, f, out: str, c: str) -> DataFrame:
-    """Apply f to each frame's plane ``c`` (an array), giving plane ``out``."""
-    ship(px.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        plane = np.zeros((pdf["y"].max() + 1, pdf["x"].max() + 1), np.int64)
-        plane[pdf["y"], pdf["x"]] = pdf[c]
-        y, x = np.indices(plane.shape)
-        got = f(plane)
-        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "y": y.ravel(), "x": x.ravel(), out: got.ravel()})
-
-    return px.select("frame_id", "y", "x", c).groupBy("frame_id").applyInPandas(run, f"frame_id long, y int, x int, {out} long")

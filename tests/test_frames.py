@@ -1,4 +1,4 @@
-"""Frame tier against pixel tier, properties, and edge cases."""
+"""Pixel operators against NumPy on whole frames, properties, and edge cases."""
 
 import numpy as np
 import pytest
@@ -7,9 +7,11 @@ from hypothesis import strategies as st
 from hypothesis.extra import numpy as hnp
 from pyspark.sql import functions as F
 
-from rasterweave.operators import clahe, frames, point, stencil, tiling
+from rasterweave.operators import clahe, connect, lineart, point, stencil, tiling
 from rasterweave.plans import model
 
+import reference_frames as frames
+
 SHAPES = {
     "one": np.array([[7]]),
     "row": np.arange(9).reshape(1, 9) * 20,
@@ -75,9 +77,9 @@ def test_edges_agree(spark):
 
 
 def test_clahe_agrees(spark):
-    a = np.random.default_rng(1).integers(0, 256, (16, 24))
-    got = arrays(clahe.clahe(pixels(spark, [a]), 24, 16, 40.0), [a])[0]
-    assert (frames.clahe(a, 40.0) == got).all()
+    like = [np.random.default_rng(1).integers(0, 256, shape) for shape in ((16, 24), (13, 11), (1, 1), (3, 40), (9, 1))]
+    for a, got in zip(like, arrays(clahe.clahe(pixels(spark, like), 40.0), like)):
+        assert (frames.clahe(a, 40.0) == got).all(), a.shape
 
 
 def test_tiles_with_halo_agree(spark):
@@ -108,7 +110,9 @@ def components(mask):
 @settings(max_examples=60, deadline=None)
 @given(hnp.arrays(np.int64, st.tuples(st.integers(1, 12), st.integers(1, 12)), elements=st.integers(0, 1)))
 def test_labels_are_components(mask):
-    lab = frames.label(mask > 0)
+    h, w = mask.shape
+    lab = connect.component(mask.ravel(), np.array([w]), np.array([h])).reshape(h, w)
+    assert (lab == frames.label(mask > 0)).all()
     groups = {frozenset(zip(*(i.tolist() for i in np.nonzero(lab == k)))) for k in np.unique(lab) if k}
     assert groups == {frozenset((int(y), int(x)) for y, x in g) for g in components(mask)}
 
@@ -118,7 +122,9 @@ def test_speckles_at_the_threshold(intensity, area):
     for n, kept in ((area - 1, 0), (area, n_kept := area)):
         m = np.zeros((3, 80), int)
         m[1, 1 : 1 + n] = 255
-        assert (frames.clean_speckles(m, intensity) > 0).sum() == (n_kept if n >= area else kept)
+        got = connect.without_specks(area)(m.ravel(), np.array([80]), np.array([3]))
+        assert (got.reshape(m.shape) == frames.clean_speckles(m, intensity)).all()
+        assert (got > 0).sum() == (n_kept if n >= area else kept)
 
 
 @settings(max_examples=40, deadline=None)
@@ -134,7 +140,8 @@ def test_morphology_properties(m):
 @settings(max_examples=40, deadline=None)
 @given(hnp.arrays(np.int64, (8, 8), elements=st.integers(0, 2)))
 def test_one_hop_within_closure(s):
-    grown = frames.hysteresis(s == 2, s >= 1)
+    grown = connect.closure(s.ravel(), np.array([8]), np.array([8])).reshape(8, 8) > 0
+    assert (grown == frames.hysteresis(s == 2, s >= 1)).all()
     one = np.where((s >= 1) & (frames.extreme(s, 1, True) == 2), 2, 0)
     assert (grown | (one == 0)).all()
     assert (grown <= (s >= 1)).all()
@@ -147,12 +154,39 @@ def test_gamma_and_stretch_borders(spark):
         assert (got > mean) == lifted
 
 
-def test_line_art_colours():
-    rgb = np.random.default_rng(9).integers(0, 256, (24, 24, 3)).astype(np.uint8)
-    for key in model.NAMES:
-        p = model.preset(key)
-        art = frames.line_art(rgb, model.Settings(preset=p))
-        assert {tuple(c) for c in art.reshape(-1, 3).tolist()} <= {p.background, p.ink}
+RENDERS = {
+    "manga": model.Settings(),
+    "blueprint": model.Settings(preset=model.preset("blueprint"), line_weight=3),
+    "custom": model.Settings(preset=model.preset("custom", diameter=5), custom=True, gaussian=True, median=True, dark_boost=True, color_edges=True, color_softness=1, color_line_weight=2, color_opacity=0.4),
+}
+
+
+@pytest.mark.parametrize("name", RENDERS)
+def test_renders_of_mixed_sizes_equal_whole_frames(spark, name):
+    rng = np.random.default_rng(9)
+    like = [rng.integers(0, 256, shape) for shape in ((17, 24, 3), (1, 1, 3), (5, 1, 3))] + [rng.integers(0, 60, (12, 9, 3))]
+    rows = [(k, y, x, *map(int, a[y, x])) for k, a in enumerate(like) for y in range(a.shape[0]) for x in range(a.shape[1])]
+    out = lineart.line_art(spark.createDataFrame(rows, "frame_id long, y int, x int, r int, g int, b int"), RENDERS[name])
+    got = [np.zeros_like(a) for a in like]
+    for r in out.collect():
+        got[r.frame_id][r.y, r.x] = (r.r, r.g, r.b)
+    for a, b in zip(like, got):
+        assert (frames.line_art(a.astype(np.uint8), RENDERS[name]) == b).all(), a.shape
+
+
+def test_custom_preset():
+    assert model.preset("custom").low == 40 and model.preset("custom", low=7).low == 7 and set(model.LABELS) == {*model.NAMES, "custom"}
+    with pytest.raises(ValueError):
+        model.preset("none")
+
+
+def test_components_of_a_large_frame():
+    """A 1080p spiral-like comb is one component; labelling takes few rounds."""
+    m = np.zeros((1080, 1920), np.int64)
+    m[:, ::4] = 1
+    m[0, 2::8] = m[0, 1::8] = m[0, 3::8] = m[-1, 6::8] = m[-1, 5::8] = m[-1, 7::8] = 1
+    lab = connect.component(m.ravel(), np.array([1920]), np.array([1080]))
+    assert set(lab[m.ravel() > 0]) == {1}
 
 
 def test_presets_at_standard_detail():

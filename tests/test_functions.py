@@ -65,9 +65,10 @@ def test_stream_fires_each_chunk_once_in_any_order(spark):
     df = schedule.route(spark.range(300).withColumnRenamed("id", "i"), F.lit(300), F.lit(2), F.lit(60)).select("seg", "chunk", "within", "expected")
     rows = [tuple(r) for r in df.collect()]
     rng.shuffle(rows)
+    rows += rows[:90]  # repeats, some of them late
     for k in range(3):  # three files, so three micro-batches
         spark.createDataFrame(rows[k::3], df.schema).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = chunks.frame_stream(spark, src, df.schema, most_files=1)
     q = chunks.completed_stream(stream).writeStream.option("checkpointLocation", out + "/state").trigger(availableNow=True)
     q.format("parquet").option("path", out + "/rows").start().awaitTermination()
     got = sorted(map(tuple, spark.read.schema(chunks.OUT).parquet(out + "/rows").collect()))
@@ -117,3 +118,24 @@ def test_stream_resumes_from_its_checkpoint(spark):
         q.format("parquet").option("path", out + "/rows").start().awaitTermination()
     got = sorted(map(tuple, spark.read.schema(chunks.OUT).parquet(out + "/rows").collect()))
     assert got == [(0, 0, 60), (0, 1, 60)]
+
+
+def test_repeated_frames_do_not_complete_a_chunk(spark):
+    src, out = scratch(spark, "in"), scratch(spark, "out")
+    rows = [(0, 0, 0, 3), (0, 0, 0, 3), (0, 0, 1, 3), (0, 1, 0, 1), (0, 1, 0, 1)]
+    df = spark.createDataFrame(rows, "seg long, chunk long, within long, expected long")
+    df.coalesce(1).write.parquet(src)
+    q = chunks.completed_stream(chunks.frame_stream(spark, src, df.schema)).writeStream.option("checkpointLocation", out + "/state").trigger(availableNow=True)
+    q.format("parquet").option("path", out + "/rows").start().awaitTermination()
+    got = sorted(map(tuple, spark.read.schema(chunks.OUT).parquet(out + "/rows").collect()))
+    assert got == sorted(map(tuple, chunks.completed(df).collect())) == [(0, 1, 1)]
+
+
+def test_clock_keeps_events_without_a_time(spark, tmp_path):
+    from rasterweave.sources.rasters import frame_clock
+
+    rows = [(i, None if i % 10 == 0 else f"2024-01-0{1 + i % 3} 00:00:{i:02d}", float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+    df.write.parquet(f"file://{tmp_path}/events.parquet")
+    got = frame_clock(spark, f"file://{tmp_path}").orderBy("i").collect()
+    assert [r.i for r in got] == list(range(50)) and [r.event_id for r in got[-5:]] == [0, 10, 20, 30, 40]
