@@ -151,13 +151,20 @@ class LanguageModel:
         return [(w, self.labels[k]) for w, k in zip(words, post[:, 0].argmax(1))]
 
 
-def fit_from(docs: DataFrame, per_language: int = 250, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Learn from at most ``per_language`` documents of each non-null language,
-    those with the smallest hashes among documents with crc32(doc_id) mod 4 <> 2."""
+def fit_from(docs: DataFrame, per_language: int = 250, languages: int = 64, letters: int = 50_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+    """Learn from at most ``per_language`` documents of each of the ``languages`` most frequent non-null languages,
+    those with the smallest hashes among documents with crc32(doc_id) mod 4 <> 2; of several rows of
+    one document and language the text with the smallest hash, and of a longer text ``letters`` characters
+    from its middle. So what reaches the driver is bounded by these three numbers."""
     rows = docs.where((F.crc32(F.col(doc_id).cast("string")) % 4 != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ids = smallest_hashes(rows.select(F.col(doc_id).alias(doc_id), F.col(lang).alias(lang)), lang, doc_id, per_language).select(doc_id).distinct()
-    sample = rows.join(F.broadcast(ids), doc_id, "left_semi").select(text, lang).orderBy(F.xxhash64(text), text, lang).collect()
-    return LanguageModel.fit([r[0] for r in sample], [r[1] for r in sample])
+    rows = rows.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+    often = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(languages).select("_lang")
+    rows = rows.join(F.broadcast(often), "_lang", "left_semi")  # at most ``languages`` rows
+    ids = smallest_hashes(rows.select("_id", "_lang").distinct(), "_lang", "_id", per_language).select("_id", "_lang").distinct()
+    middle = F.expr(f"substring(_text, greatest(1, (char_length(_text) - {letters}) div 2 + 1), {letters})")
+    some = rows.join(F.broadcast(ids), ["_id", "_lang"], "left_semi").select("_id", "_lang", F.struct(F.xxhash64("_text").alias("h"), middle.alias("t")).alias("one"))
+    sample = some.groupBy("_id", "_lang").agg(F.min("one").alias("one")).orderBy("one.h", "one.t", "_lang").collect()
+    return LanguageModel.fit([r.one.t for r in sample], [r._lang for r in sample])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

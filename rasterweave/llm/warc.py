@@ -3,7 +3,7 @@
 ARC version 1 has five header fields a record (URL, IP, date, type, length), version 2
 ten (URL, IP, date, type, result, checksum, location, offset, file, length). A file opens with a
 ``filedesc://`` record that names its version. Content is taken by the declared
-length. Converted records get identifiers derived from page, URL and date (the
+length. Converted records get identifiers derived from their archive and place in it (the
 same after a retry), ISO timestamps, a WARC type by what the content is, and SHA-1 digests.
 """
 
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, scratch, sized_join
+from .common import make_folder, materialise, prepare, scratch, sized_join
 
 #: Fields of a header line by the file's major version.
 FIELDS = {1: ("url", "ip", "date", "mime", "length"), 2: ("url", "ip", "date", "mime", "result", "checksum", "location", "offset", "filename", "length")}
@@ -106,8 +106,9 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def record_id(page: object, url: str, date: str) -> str:
-    return f"urn:uuid:{uuid.uuid5(SPACE, f'{page}|{url}|{date}')}"
+def record_id(path: str, place: int) -> str:
+    """The same for the same record of the same archive, so a retry or another reading keeps it."""
+    return f"urn:uuid:{uuid.uuid5(SPACE, f'{path}|{place}')}"
 
 
 def page_of(headers: bytes) -> int | None:
@@ -143,11 +144,20 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def arcs_of_pages(pages: DataFrame, date: str = "20000101000000", arc_bytes: int = 2_000_000) -> DataFrame:
-    """(content): ARC files of the pages, version 1 and 2 by turns."""
+    """(path, content): ARC files of the pages, version 1 and 2 by turns. Null html is an
+    empty payload, a null url ``-``; other columns are not read; no pages give no files."""
     prepare(pages.sparkSession)
 
     def run(batches):
-        version = 1
+        from pyspark import TaskContext
+
+        part, files = TaskContext.get().partitionId(), 0
+
+        def arc(some):
+            nonlocal files
+            files += 1
+            return pd.DataFrame({"path": [f"pages-{part:06d}-{files:05d}.arc"], "content": [build_arc(some, 2 - files % 2)]})
+
         for batch in batches:
             some, size = [], 0
             for page, url, html in zip(batch["page_id"], batch["url"], batch["html"]):
@@ -157,54 +167,56 @@ def arcs_of_pages(pages: DataFrame, date: str = "20000101000000", arc_bytes: int
                 some.append((url or "", "0.0.0.0", date, "text/html", http + payload))
                 size += len(payload)
                 if size >= arc_bytes:
-                    yield pd.DataFrame({"content": [build_arc(some, version)]})
-                    some, size, version = [], 0, 3 - version
+                    yield arc(some)
+                    some, size = [], 0
             if some:
-                yield pd.DataFrame({"content": [build_arc(some, version)]})
-                version = 3 - version
+                yield arc(some)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "content binary")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, "path string, content binary")
 
 
 def arc_records(arcs: DataFrame, content: bool = True) -> DataFrame:
-    """Parsed records: page_id, url, ip, date, mime, payload_bytes, digest (hex) and,
+    """Parsed records: path and place of the record in it, page_id, url, ip, date, mime, payload_bytes, digest (hex) and,
     if asked for, headers, payload and whether it was truncated."""
 
     def run(batches):
         for batch in batches:
-            for data in batch["content"]:
+            for path, data in zip(batch["path"], batch["content"]):
                 rows = []
-                for r in parse_arc(data):
+                for place, r in enumerate(parse_arc(data)):
                     headers, payload = split_http(r.content) or (b"", r.content)
-                    row = (page_of(headers), r.url, r.ip, r.date, r.mime, len(payload), hashlib.sha1(payload).hexdigest())
+                    row = (path, place, page_of(headers), r.url, r.ip, r.date, r.mime, len(payload), hashlib.sha1(payload).hexdigest())
                     rows.append(row + (headers, payload, r.truncated) if content else row)
                 if rows:
                     out = pd.DataFrame(rows, columns=names)
                     out["page_id"] = out["page_id"].astype("Int64")
                     yield out
 
-    schema = "page_id long, url string, ip string, date string, mime string, payload_bytes long, digest string" + (", headers binary, payload binary, truncated boolean" if content else "")
+    schema = "path string, place int, page_id long, url string, ip string, date string, mime string, payload_bytes long, digest string" + (", headers binary, payload binary, truncated boolean" if content else "")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return arcs.mapInPandas(run, schema)
+    return arcs.select("path", "content").mapInPandas(run, schema)
 
 
 def convert(arcs: DataFrame, folder: str, least: int = 1000, file_bytes: int = 16_000_000) -> DataFrame:
-    """Write the records of ``arcs`` (content) as .warc.gz files below ``folder``;
+    """Write the records of ``arcs`` (path, content; paths differ) as .warc.gz files below ``folder``;
     returns (file, records) of what was written.
 
     Of HTTP or other records with equal payloads of at least ``least`` bytes, the one
-    with the largest page_id is written whole, the others as revisits of it; a null id counts as the smallest, and where
-    all are null all are written whole. Content that is no HTTP response becomes a resource record.
+    with the largest page_id is written whole, the others as revisits of it; of repeated rows of that
+    page one is. A null id counts as the smallest, and where all are null all are written whole. Every record has its own
+    identifier. No archives give no files. Content that is no HTTP response becomes a resource record.
     Executors write with pyarrow to a URI all share; a task run again moves the same file into place.
     """
     prepare(arcs.sparkSession)
+    make_folder(arcs.sparkSession, folder)
     marks = arc_records(arcs, content=False).where(f"payload_bytes >= {least} and page_id is not null")
-    first = F.max(F.struct("page_id", "url", "date"))
+    first = F.max(F.struct("page_id", "url", "date", "path", "place"))
     copied = marks.groupBy("digest").agg(first.alias("of"), F.count("*").alias("n")).where("n > 1").select("digest", "of")
     copied = materialise(copied, "copied-payloads")
     records = sized_join(arc_records(arcs), copied, "digest", "left")
-    again = (F.col("payload_bytes") >= least) & F.col("of").isNotNull() & F.coalesce(F.col("page_id") < F.col("of.page_id"), F.lit(True))
-    records = records.select(F.col("page_id").cast("string").alias("page"), "url", "ip", "date", "mime", "digest", "headers", "payload", "truncated", again.alias("again"), F.col("of.page_id").cast("string").alias("of_page"), F.col("of.url").alias("of_url"), F.col("of.date").alias("of_date"))
+    itself = (F.col("path") == F.col("of.path")) & (F.col("place") == F.col("of.place"))
+    again = (F.col("payload_bytes") >= least) & F.col("of").isNotNull() & ~F.coalesce(itself, F.lit(False))
+    records = records.select("path", "place", "url", "ip", "date", "mime", "digest", "headers", "payload", "truncated", again.alias("again"), F.col("of.path").alias("of_path"), F.col("of.place").alias("of_place"), F.col("of.url").alias("of_url"), F.col("of.date").alias("of_date"))
 
     def write(batches):
         from pyarrow import fs as pafs
@@ -218,7 +230,7 @@ def convert(arcs: DataFrame, folder: str, least: int = 1000, file_bytes: int = 1
         def flush():
             nonlocal parts, size, count, files
             name = f"pages-{context.partitionId():06d}-{files:05d}.warc.gz"
-            info = warc_record("warcinfo", [("WARC-Record-ID", f"<{record_id('info', name, '')}>"), ("WARC-Date", iso_date("")), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: ARC converter\r\nformat: WARC File Format 1.0\r\n")
+            info = warc_record("warcinfo", [("WARC-Record-ID", f"<{record_id(name, -1)}>"), ("WARC-Date", iso_date("")), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: ARC converter\r\nformat: WARC File Format 1.0\r\n")
             partial = f"{root}/_{name}.{context.taskAttemptId()}"
             with fs.open_output_stream(partial, compression=None) as out:
                 out.write(info)
@@ -230,7 +242,7 @@ def convert(arcs: DataFrame, folder: str, least: int = 1000, file_bytes: int = 1
 
         for batch in batches:
             for r in batch.itertuples(index=False):
-                fields = [("WARC-Record-ID", f"<{record_id(r.page, r.url, r.date)}>"), ("WARC-Date", iso_date(r.date)), ("WARC-Target-URI", r.url), ("WARC-IP-Address", r.ip), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(r.digest)).decode())]
+                fields = [("WARC-Record-ID", f"<{record_id(r.path, r.place)}>"), ("WARC-Date", iso_date(r.date)), ("WARC-Target-URI", r.url), ("WARC-IP-Address", r.ip), ("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(r.digest)).decode())]
                 if r.truncated:
                     fields.append(("WARC-Truncated", "unspecified"))
                 if not r.headers:
@@ -241,7 +253,7 @@ def convert(arcs: DataFrame, folder: str, least: int = 1000, file_bytes: int = 1
                     fields.append(("Content-Type", "application/http;msgtype=response"))
                 if r.again:
                     kind, block = "revisit", r.headers
-                    fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<{record_id(r.of_page, r.of_url, r.of_date)}>"), ("WARC-Refers-To-Target-URI", r.of_url), ("WARC-Refers-To-Date", iso_date(r.of_date))]
+                    fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<{record_id(r.of_path, int(r.of_place))}>"), ("WARC-Refers-To-Target-URI", r.of_url), ("WARC-Refers-To-Date", iso_date(r.of_date))]
                 parts.append(warc_record(kind, fields, block))
                 size, count = size + len(parts[-1]), count + 1
                 if size >= file_bytes:
@@ -286,7 +298,7 @@ def read_warcs(spark, folder: str) -> DataFrame:
 def op7_warc_conversion(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     folder = scratch(spark, "warc")
-    convert(arcs_of_pages(pages), folder)
+    convert(materialise(arcs_of_pages(pages), "arcs"), folder)
     rows = materialise(read_warcs(spark, folder), "warc-rows")
     named = rows.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to"))
     plain = rows.where("refers_to_id is null").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))

@@ -78,11 +78,50 @@ def test_language_held_out_accuracy(spark, sf_dir):
 
 def test_passages_do_not_see_their_neighbours():
     texts = ["", "abc def\n\nghi", None, "  \n ", "X!! Y!!", "a b" * 100, "é" * 500]
-    x, counts = quality.encode_passages(texts)
-    at = np.concatenate([[0], np.cumsum(counts)])
-    assert counts.sum() == len(x) and (counts > 0).all()
+    x, counts, grams, sizes = quality.encode_passages(texts)
+    at, edge = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(sizes)])
+    assert counts.sum() == len(x) == len(sizes) and (counts > 0).all() and len(grams) == edge[-1] and grams.max() < quality.GRAMS
     for i, t in enumerate(texts):
-        assert np.array_equal(quality.encode_passages([t])[0], x[at[i] : at[i + 1]])
+        own = quality.encode_passages([t])
+        assert np.array_equal(own[0], x[at[i] : at[i + 1]])
+        assert np.array_equal(own[2], grams[edge[at[i]] : edge[at[i + 1]]])
+
+
+def test_scores_equal_a_plain_loop_and_gradients_finite_differences():
+    rng = np.random.default_rng(4)
+    model = quality.AttentionModel({k: rng.normal(0, 0.3, s) for k, s in quality.AttentionModel.SHAPES.items()})
+    bags = quality.encode_passages(["one two three\nfour five", "", "Six!! six!! six!!\n\nseven\neight nine"])
+    x, counts, grams, sizes = bags
+    p, at, edge, want = model.weights, 0, np.concatenate([[0], np.cumsum(sizes)]), []
+    for c in counts:
+        hs, ss = [], []
+        for k in range(at, at + c):
+            own = grams[edge[k] : edge[k + 1]]
+            h = np.tanh(x[k] @ p["w"] + (p["e"][own].mean(0) if len(own) else 0))
+            hs.append(h)
+            ss.append(float(p["a"] @ (np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"]))))))
+        a = np.exp(ss) / np.exp(ss).sum()
+        want.append(1 / (1 + np.exp(-(sum(w * h for w, h in zip(a, hs)) @ p["c"] + p["b"]))))
+        at += c
+    assert np.allclose(model.scores(*bags), want)
+    x = x.astype(float)
+    y, w = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+
+    def loss():
+        s = model.scores(x, counts, grams, sizes)
+        return -(w * (y * np.log(s) + (1 - y) * np.log(1 - s))).sum() / w.sum()
+
+    grad = model.gradient(x, counts, grams, sizes, y, w)
+    for k, v in p.items():
+        places = [(int(grams[j]), 3) for j in (0, 4, 7)] if k == "e" else [tuple(int(rng.integers(n)) for n in v.shape) for _ in range(5)]
+        for i in places:
+            old, eps = float(v[i]), 1e-5
+            v[i] = old + eps
+            up = loss()
+            v[i] = old - eps
+            down = loss()
+            v[i] = old
+            assert np.isclose((up - down) / (2 * eps), grad[k][i], atol=1e-7), (k, i)
 
 
 def test_attention_gradient_learns_one_bad_passage():
@@ -94,11 +133,11 @@ def test_attention_gradient_learns_one_bad_passage():
             lines[int(rng.integers(len(lines)))] = "BUY!! NOW!! BUY!! NOW!! BUY!!"
         bags.append("\n".join(lines))
         labels.append(float(i % 2 == 0))
-    x, counts = quality.encode_passages(bags)
-    y = np.array(labels)
-    model = quality.AttentionModel.fit(x, counts, y, np.ones(len(y)), epochs=40)
-    assert ((model.scores(x, counts) >= 0.5) == y).mean() > 0.97
-    weights = model.attention(x, counts)
+    got = quality.encode_passages(bags)
+    counts, y = got[1], np.array(labels)
+    model = quality.AttentionModel.fit(*got, y, np.ones(len(y)), epochs=40)
+    assert ((model.scores(*got) >= 0.5) == y).mean() > 0.97
+    weights = model.attention(*got)
     at = np.concatenate([[0], np.cumsum(counts)])
     assert all(np.isclose(weights[a:b].sum(), 1) for a, b in zip(at[:-1], at[1:]))
 

@@ -165,7 +165,7 @@ def test_arc_round_trip(version):
 
 def test_dates_and_identifiers():
     assert warc.iso_date("20010203040506") == "2001-02-03T04:05:06Z" and warc.iso_date("2001") == "2001-01-01T00:00:00Z" and warc.iso_date("-") == "1970-01-01T00:00:00Z"
-    assert warc.record_id(1, "u", "d") == warc.record_id(1, "u", "d") != warc.record_id(2, "u", "d")
+    assert warc.record_id("a", 1) == warc.record_id("a", 1) != warc.record_id("a", 2)
 
 
 def test_conversion_writes_revisits(spark):
@@ -182,10 +182,26 @@ def test_conversion_writes_revisits(spark):
     assert got[1].payload_bytes == 1500 and got[1].payload_digest == got[5].payload_digest and got[6].payload_bytes == 0 and got[8].payload_bytes == 140_000
 
 
+def test_repeated_pages_have_one_response_and_their_own_ids(spark, tmp_path):
+    long = "x" * 1500
+    rows = [(5, "http://a/", long), (5, "http://a/", long), (3, "http://a/", long), (3, "http://a/", long), (7, "http://b/", "short"), (7, "http://b/", "short")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_type", F.lit(1)).withColumn("path", F.lit("x")).repartition(3).write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = warc.op7_warc_conversion(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0) for r in got) == [(3, "revisit", 5), (3, "revisit", 5), (5, "response", 0), (5, "revisit", 5), (7, "response", 0), (7, "response", 0)]
+    folder = scratch(spark, "test-warc")
+    warc.convert(warc.arcs_of_pages(spark.read.parquet(f"file://{tmp_path}/pages.parquet")), folder)
+    assert warc.read_warcs(spark, folder).select("record_id").distinct().count() == 6
+
+
+def test_archives_of_no_pages(spark, tmp_path):
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert warc.op7_warc_conversion(spark, f"file://{tmp_path}").count() == 0
+
+
 def test_resource_records_and_empty_archives(spark):
     data = warc.build_arc([("dns:a", "1.1.1.1", "2001", "text/dns", b"a. 1 IN A 1.1.1.1")], 2)
     folder = scratch(spark, "test-warc")
-    warc.convert(spark.createDataFrame([(bytearray(data),), (bytearray(b""),)], "content binary"), folder)
+    warc.convert(spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b""))], "path string, content binary"), folder)
     assert [(r.record_type, r.payload_bytes) for r in warc.read_warcs(spark, folder).collect()] == [("resource", 17)]
 
 
