@@ -17,10 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, prepare
+from .common import connected_components, materialise, prepare, sized_join
 
 #: Rows of a block: a list's members and its probing queries meet in blocks.
-BLOCK = 1024
+BLOCK = 2048
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -57,7 +57,7 @@ class Index:
         self.centres, self.books = centres, books
 
     @classmethod
-    def fit(cls, x: np.ndarray, lists: int, subspaces: int = 8, words: int = 64) -> Index:
+    def fit(cls, x: np.ndarray, lists: int, subspaces: int = 16, words: int = 64) -> Index:
         centres = kmeans(x, lists)
         rest = x - centres[nearest(x, centres)]
         books = [kmeans(part, words, seed=5 + i) for i, part in enumerate(np.array_split(rest, min(subspaces, x.shape[1]), axis=1))]
@@ -155,44 +155,72 @@ def enough_probes(distinct: DataFrame, normal, sent, asked: np.ndarray, ids: np.
     return steps[int(np.argmax(share >= min(recall, share[-1])))]
 
 
-def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sample: int = 20_000, per_list: int = 128, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.999, asked: int = 2000) -> DataFrame:
+def as_bytes(rows) -> list[bytes]:
+    """Vectors as floats of 4 bytes where these are exact, else of 8."""
+    x = np.array(rows.tolist(), float)
+    half = x.astype(np.float32)
+    return [r.tobytes() for r in (half if (half == x).all() else x)]
+
+
+def normal(rows, dim: int | None = None) -> np.ndarray:
+    """Unit vectors in double precision, of lists or of what ``as_bytes`` made."""
+    if dim is None:
+        x = np.array(rows.tolist(), float)
+    else:
+        x = np.stack([np.frombuffer(b, np.float32 if len(b) == 4 * dim else float).astype(float) for b in rows])
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x**2).sum(1, keepdims=True))
+
+
+def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 8, sample: int = 20_000, per_list: int = 128, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.999, asked: int = 2000) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``table``.
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or have another
-    length than most link with nothing and are their own component, as do rows
-    of a null id (null component, kept null). Equal vectors are searched once and link with each other. Repeated
+    Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
+    their own component, as do rows of a null id (null component, kept null). Vectors of different
+    lengths do not link; each length has its own index, so a table should have few. Equal vectors are searched once and link with each other. Repeated
     ids are distinct rows whose links add up. Links are those found by probing
     with exact cosine >= threshold; ``probes`` is the least number of lists probed, raised until
-    the links of ``asked`` vectors are found to the share ``recall``. Codebooks are fitted on at most ``sample`` vectors, those with
-    the smallest hashes. Other columns are not read.
+    the links of ``asked`` vectors are found to the share ``recall``. Codebooks are fitted on at most ``sample`` vectors of a length, those with
+    the smallest hashes. Other columns are not read; an empty table gives no rows.
     """
     spark = table.sparkSession
     prepare(spark)
     t = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
     fine = "v is not null and size(v) > 0 and forall(v, x -> x is not null and x = x and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
-    good = t.where(fine).where("vec_id is not null")
-    size = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()  # one row
-    if not size:
-        return t.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
-    dim = size[0]["n"]
-    good = good.where(F.size("v") == dim)
-    # scaling does not change a cosine; equal vectors stand for their smallest id
-    distinct = good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    distinct = materialise(distinct.select("id", "copies", "v"), "distinct-vectors")
-    n = distinct.count()
-    rows = distinct.select("v", "id", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).collect()
-    picked, ids = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows[:asked]])
-    scale = np.abs(picked).max(1, keepdims=True)
-    picked = picked / scale
-    picked /= np.sqrt((picked**2).sum(1, keepdims=True))
-    lists = int(min(4096, max(1, n // per_list)))
-    sent = spark.sparkContext.broadcast(Index.fit(picked, lists))
+    # equal vectors have one key of 128 bits and stand for their smallest id
+    key = ["dim", "k1", "k2"]
+    good = t.where(fine).where("vec_id is not null").select("vec_id", F.size("v").alias("dim"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(7), "v").alias("k2"), "v")
+    distinct = good.groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    distinct = materialise(distinct, "distinct-vectors")
+    good = good.select("vec_id", *key)
+    found = None
+    for row in distinct.groupBy("dim").count().orderBy("dim").collect():  # one row a length
+        own = links_of(distinct.where(F.col("dim") == row["dim"]), row["dim"], row["count"], threshold, probes, sample, per_list, recall, asked)
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        found = spark.createDataFrame([], "u long, v long, n long")
+    same = materialise(distinct.where("copies > 1").select(*key, "id"), "repeated-vectors")
+    twins = sized_join(good, same, key, "inner").where("vec_id <> id").select(F.col("id").alias("u"), F.col("vec_id").alias("v")).distinct()
+    comps = connected_components(found.where("u <> v").select("u", "v").unionByName(twins))
+    links = found.where("u = v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("found"))
+    counted = distinct.join(links, "id", "left").select(*key, (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    counted = materialise(counted.where("n_links > 0"), "vector-counts")
+    linked = sized_join(good, counted, key, "inner").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
+    out = t.select("vec_id").join(linked, "vec_id", "left").join(comps, F.col("vec_id") == F.col("node"), "left")
+    component = F.coalesce("component", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
-    def normal(v):
-        x = np.array(v.tolist(), float)
-        x = x / np.abs(x).max(1, keepdims=True)
-        return x / np.sqrt((x**2).sum(1, keepdims=True))
 
+def links_of(distinct: DataFrame, dim: int, n: int, threshold: float, probes: int, sample: int, per_list: int, recall: float, asked: int) -> DataFrame:
+    """(u, v, n) of distinct vectors of one length: edges that join what is linked (n = 0), and rows
+    (id, id, n) whose n add up to the vectors that the id is linked with."""
+    spark = distinct.sparkSession
+    rows = distinct.select("v", "id", F.xxhash64("id").alias("h")).orderBy("h").limit(sample + asked).collect()
+    picked, ids = normal(pd.Series([r[0] for r in rows])), np.array([r[1] for r in rows[:asked]])
+    # vectors that ask do not train where there are enough, so that the recall is one of unseen vectors
+    train = picked[asked:] if len(picked) >= 1.5 * asked else picked
+    lists = int(min(4096, max(1, n // per_list)))
+    sent = spark.sparkContext.broadcast(Index.fit(train, lists))
     probes = enough_probes(distinct, normal, sent, picked[:asked], ids, threshold, probes, recall)
 
     def index(batches):
@@ -202,25 +230,20 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sam
             near = nearest(x, own_index.centres, min(probes, len(own_index.centres))).reshape(len(x), -1)
             codes = own_index.encode(x, near[:, 0])
             error = np.sqrt(((x - own_index.decode(near[:, 0], codes)) ** 2).sum(1))
-            yield pd.DataFrame({"id": batch["id"], "copies": batch["copies"], "x": [r.tobytes() for r in x], "code": [c.tobytes() for c in codes], "error": error, "near": near.tolist()})
+            yield pd.DataFrame({"id": batch["id"], "copies": batch["copies"], "x": as_bytes(batch["v"]), "code": [c.tobytes() for c in codes], "error": error, "near": near.tolist()})
 
-    coded = distinct.mapInPandas(index, "id long, copies long, x binary, code binary, error double, near array<int>")
-    coded = materialise(coded, "coded-vectors")
+    coded = distinct.select("id", "copies", "v").mapInPandas(index, "id long, copies long, x binary, code binary, error double, near array<int>")
+    coded = materialise(coded.withColumn("list", F.element_at("near", 1)), "coded-vectors")
 
     # lists are split into blocks of members and of queries by the id's hash, so
     # that a hot list is many groups of bounded size
-    sizes = coded.groupBy(F.element_at("near", 1).alias("list")).count()
-    sizes = [(r["list"], int(-(-r["count"] // BLOCK))) for r in sizes.collect()]  # at most 4096 rows
-    blocks = dict(sizes)
-    split = F.create_map(*[F.lit(x) for k in sorted(blocks) for x in (k, blocks[k])])
-    members = coded.select("id", "copies", "x", "code", "error", "near", F.element_at("near", 1).alias("list"))
-    members = members.withColumn("mb", F.pmod(F.xxhash64("id"), split[F.col("list")]).cast("int"))
-    asking = coded.select("id", "copies", "x", F.element_at("near", 1).alias("own"), F.explode("near").alias("list"))
-    asking = asking.where(split[F.col("list")].isNotNull()).withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), split[F.col("list")] * 4)).cast("int"))
-    grid = spark.createDataFrame(sizes, "list int, m int").select("list", "m", F.expr("explode(sequence(0, m - 1))").alias("mb"))
-    grid = grid.select("list", "mb", F.expr("explode(sequence(0, 4 * m - 1))").alias("qb"))
-    left = members.join(grid, ["list", "mb"])
-    right = asking.join(grid, ["list", "qb"]).select(*[F.col(c).alias(f"q_{c}") for c in ("id", "copies", "x", "own", "list", "mb", "qb")])
+    sizes = materialise(coded.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")), "list-sizes")
+    members = sized_join(coded, sizes, "list", "inner").withColumn("mb", F.pmod(F.xxhash64("id"), "m").cast("int"))
+    members = members.select("list", "mb", "id", "copies", "x", "code", "error", "near", F.explode(F.expr("sequence(0, m - 1)")).alias("qb"))
+    asking = coded.select("id", "copies", "x", F.col("list").alias("own"), F.explode("near").alias("list"))
+    asking = sized_join(asking, sizes, "list", "inner").withColumn("qb", F.pmod(F.xxhash64("id", F.lit(1)), "m").cast("int"))
+    asking = asking.select("list", "qb", "id", "copies", "x", "own", F.explode(F.expr("sequence(0, m - 1)")).alias("mb"))
+    left, right = members, asking.select(*[F.col(c).alias(f"q_{c}") for c in ("id", "copies", "x", "own", "list", "mb", "qb")])
     limit = 2 - 2 * threshold
 
     def meet(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -229,8 +252,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sam
             return empty
         own = sent.value
         codes = np.frombuffer(b"".join(m["code"]), np.uint8).reshape(len(m), -1)
-        base = np.frombuffer(b"".join(m["x"]), float).reshape(len(m), -1)
-        asks = np.frombuffer(b"".join(q["q_x"]), float).reshape(len(q), -1)
+        base, asks = normal(m["x"], dim), normal(q["q_x"], dim)
         mid, qid = m["id"].to_numpy(), q["q_id"].to_numpy()
         mc, qc = m["copies"].to_numpy(), q["q_copies"].to_numpy()
         # no link is farther from a code than its own error allows; float32 tables need a little more
@@ -260,16 +282,7 @@ def near_vectors(table: DataFrame, threshold: float = 0.9, probes: int = 12, sam
 
     keys = ["list", "mb", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*[f"q_{k}" for k in keys])).applyInPandas(meet, "u long, v long, n long")
-    found = materialise(found, "vector-links")
-    same = distinct.where("copies > 1").select("v", "id")
-    twins = good.join(same, "v").where("vec_id <> id").select(F.col("id").alias("u"), F.col("vec_id").alias("v")).distinct()
-    comps = connected_components(found.where("u <> v").select("u", "v").unionByName(twins))
-    links = found.where("u = v").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("found"))
-    counted = distinct.join(links, "id", "left").select("v", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = good.join(counted, "v").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    out = t.select("vec_id").join(linked, "vec_id", "left").join(comps, F.col("vec_id") == F.col("node"), "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return materialise(found, "vector-links")
 
 
 def op9_embedding_near_dedup(spark, sf_dir):

@@ -225,3 +225,12 @@ def test_embeddings_edge_tables(spark):
     assert tuple(lone) == (4, 0, 4, True)
     two = sorted(map(tuple, embeddings.near_vectors(spark.createDataFrame([(4, [1.0, 0.0]), (2, [2.0, 0.0]), (9, [0.0, 1.0])], schema)).collect()))
     assert two == [(2, 1, 2, True), (4, 1, 2, False), (9, 0, 9, True)]
+
+
+def test_embeddings_of_several_lengths(spark):
+    """Each length is searched by itself; none is left out for being rare."""
+    rows = [(i, [1.0, float(i)]) for i in range(5)] + [(10, [1.0, 0.0, 0.0]), (11, [1.0, 0.0, 0.0]), (12, [2.0, 0.1, 0.0]), (13, [1.0]), (14, [-1.0]), (15, [0.3])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links = [(a, b) for a, x in rows for b, y in rows if a < b and len(x) == len(y) and np.dot(x, y) >= 0.9 * np.linalg.norm(x) * np.linalg.norm(y)]
+    want = components([i for i, _ in rows], links)
+    assert got == {i: (sum(i in p for p in links), want[i]) for i, _ in rows} and got[10] == (2, 10) and got[15] == (1, 13)
