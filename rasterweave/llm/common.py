@@ -50,12 +50,21 @@ def kept(key, build):
 
 def release() -> None:
     """Drop what was kept and hand free memory back to the system."""
-    if _kept:
-        _kept.clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    _kept.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run):
+    """``run`` over a task's batches; the worker that goes idle after it holds no memory."""
+
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    return whole
 
 
 def prepare(spark: SparkSession) -> None:

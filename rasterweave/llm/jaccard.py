@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, prepare, release, sized_join
+from .common import connected_components, materialise, prepare, release, sized_join, tidy
 
 SLICE = 1_000_000
 #: Shingles gathered in a task before their counts are handed on. Counts below 3 of a
@@ -36,9 +36,11 @@ SLICE = 1_000_000
 #: the order of shingles and the choice of l, so the cost, never a link.
 CHUNK = 2_000_000
 FREQUENT = 400_000
+#: The largest l that is tried; a longer one could only save candidates.
+LONGEST_L = 8
 #: A prefix shingle of more documents is dealt to as many tasks as this goes into it.
 SPLIT = 10_000
-#: Groups of at most FEW documents count their pairs in a join, larger ones in blocks of BLOCK documents;
+#: Shingles of at most FEW documents count their pairs in a join, the others in blocks of BLOCK documents;
 #: both ask for the same number of shared prefix shingles.
 FEW, BLOCK = 32, 256
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -140,34 +142,48 @@ def _scan(k: int):
     return run
 
 
+def prefixes_of(batches, k: int, percent: int, sent):
+    """For each slice of texts (ids, prefix shingles, sizes and l as meta, document counts) of those with shingles."""
+    release()
+    keys, counts = sent.value
+    for batch in batches:
+        for ids, texts in slices(batch["doc_id"], batch["text"]):
+            sets = [s for s, _ in shingle_sets(texts, k)]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            often = np.zeros(len(flat), np.int64)
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
+                often = np.where(keys[at] == flat, counts[at], 0)
+            out, begin = [], 0
+            for i, s in zip(ids, sets):
+                n = len(s)
+                df = often[begin : begin + n]
+                begin += n
+                if n:
+                    order = np.argsort(df, kind="stable")
+                    length, l = choose(df[order], n, -(-percent * n // 100))
+                    out.append((i, s[order[:length]], n * LONG + l, df[order[:length]]))
+            if out:
+                yield list(zip(*out))
+
+
 def _prefixes(k: int, percent: int, sent):
+    """One row a shingle: (token, doc_id, meta, parts)."""
+
     def run(batches):
-        release()
-        keys, counts = sent.value
-        for batch in batches:
-            for ids, texts in slices(batch["doc_id"], batch["text"]):
-                sets = [s for s, _ in shingle_sets(texts, k)]
-                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                often = np.zeros(len(flat), np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, flat), len(keys) - 1)
-                    often = np.where(keys[at] == flat, counts[at], 0)
-                tokens, owners, metas, parts, begin = [], [], [], [], 0
-                for i, s in zip(ids, sets):
-                    n = len(s)
-                    df = often[begin : begin + n]
-                    begin += n
-                    if not n:
-                        continue
-                    need = -(-percent * n // 100)
-                    order = np.argsort(df, kind="stable")
-                    length, l = choose(df[order], n, need)
-                    tokens.append(s[order[:length]])
-                    owners.append(np.full(length, i, np.int64))
-                    metas.append(np.full(length, n * LONG + l, np.int64))
-                    parts.append(1 + df[order[:length]] // SPLIT)
-                if tokens:
-                    yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc_id": np.concatenate(owners), "meta": np.concatenate(metas), "parts": np.concatenate(parts).astype(np.int32)})
+        for ids, tokens, metas, dfs in prefixes_of(batches, k, percent, sent):
+            size = [len(t) for t in tokens]
+            yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc_id": np.repeat(ids, size), "meta": np.repeat(metas, size), "parts": (1 + np.concatenate(dfs) // SPLIT).astype(np.int32)})
+
+    return run
+
+
+def _packed_prefixes(k: int, percent: int, sent):
+    """One row a document: (doc_id, meta, tokens)."""
+
+    def run(batches):
+        for ids, tokens, metas, _ in prefixes_of(batches, k, percent, sent):
+            yield pd.DataFrame({"doc_id": ids, "meta": metas, "tokens": [t.tobytes() for t in tokens]})
 
     return run
 
@@ -178,8 +194,8 @@ def choose(df: np.ndarray, n: int, need: int) -> tuple[int, int]:
     its shingle; when l shared shingles are asked for, at most one in l of those meetings is a
     candidate, which costs a comparison of n shingles."""
     base = n - need
-    l = np.arange(1, need + 1)
-    met = np.cumsum(np.maximum(df - 1, 0))[base:]
+    l = np.arange(1, min(LONGEST_L, need) + 1)
+    met = np.cumsum(np.maximum(df[: base + len(l)] - 1, 0))[base:]
     cost = base + l + met * (1 + (1 + n / 64) / l)
     best = int(cost.argmin()) + 1
     return base + best, best
@@ -230,11 +246,11 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
             yield pd.DataFrame({"doc_id": batch["doc_id"], "data": [press.compress(t.encode()) for t in batch["text"]]})
 
     own = sized_join(docs, ids, "doc_id", "left_semi")
-    data = materialise(own.mapInPandas(squeeze, "doc_id long, data binary"), "pair-texts")
+    data = materialise(own.mapInPandas(tidy(squeeze), "doc_id long, data binary"), "pair-texts")
     left = data.select(F.col("doc_id").alias("u"), F.col("data").alias("a"))
     right = data.select(F.col("doc_id").alias("v"), F.col("data").alias("b"))
     both = pairs.select("u", "v").join(right, "v").join(left, "u").select("u", "v", "a", "b")
-    return both.mapInPandas(_verify(k, percent), "u long, v long")
+    return both.mapInPandas(tidy(_verify(k, percent)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,7 +267,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     spark = docs.sparkSession
     prepare(spark)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    scan = materialise(d.mapInPandas(_scan(k), "kind int, a long, b long, c long, n int"), "scan")
+    scan = materialise(d.mapInPandas(tidy(_scan(k)), "kind int, a long, b long, c long, n int"), "scan")
     signatures = scan.where("kind = 0").select(F.col("a").alias("doc_id"), "b", "c", "n")
 
     # documents of one word sequence stand for their smallest id
@@ -265,7 +281,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     single = sized_join(d.where("doc_id is not null and text is not null"), gone, "doc_id", "left_anti")
 
     sent = spark.sparkContext.broadcast(frequent(scan))
-    posts = single.mapInPandas(_prefixes(k, percent, sent), "token long, doc_id long, meta long, parts int")
+    posts = single.mapInPandas(tidy(_prefixes(k, percent, sent)), "token long, doc_id long, meta long, parts int")
     posts = posts.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0).cast("int"))
     share = Window.partitionBy("token", "part")
     posts = posts.select("*", F.min(F.struct("doc_id", "meta")).over(share).alias("low"), F.max("doc_id").over(share).alias("top"))
@@ -284,19 +300,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     # what is left lies between components: only shingles that more than one has
     grouped = posts.where("parts = 1").select("token", "doc_id", "meta", "hub").unionByName(hot.select("token", "doc_id", "meta", F.col("root.doc_id").alias("hub")))
     placed = grouped.join(comps, F.col("doc_id") == F.col("node"), "left").select("token", "doc_id", "meta", "hub", F.coalesce("component", "doc_id").alias("comp"))
-    tokens = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    placed = materialise(sized_join(placed, materialise(tokens, "open-shingles"), "token", "left_semi"), "open-prefixes")
-    members = materialise(placed.select("hub", "doc_id", "comp").distinct(), "open-members")
-    per = members.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("hub")).alias("main"))
-    sizes = per.groupBy("hub").agg(F.sum(F.when(F.col("main"), F.col("n"))).alias("m"), F.coalesce(F.sum(F.when(~F.col("main"), F.col("n"))), F.lit(0)).alias("r"), F.max(F.when(F.col("main"), F.col("comp"))).alias("main"))
-    sizes = materialise(sizes.where("r > 0"), "group-sizes")
-    # a pair that shares a shingle of a large group is settled in its blocks; others share only shingles of small groups
-    few = sized_join(placed, materialise(sizes.where(f"m + r <= {FEW}").select("hub"), "small-groups"), "hub", "left_semi")
-    few = materialise(few, "small-group-prefixes")
+    tokens = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("docs")).where("low <> high").select("token", "docs")
+    placed = materialise(sized_join(placed, materialise(tokens, "open-shingles"), "token", "inner"), "open-prefixes")
+    # a pair that shares a shingle of many documents is settled in their blocks; others share only shingles of few
+    few = placed.where(f"docs <= {FEW}")
     a, b = (few.select("token", *[F.col(c).alias(x + y) for c, y in (("doc_id", ""), ("meta", "m"), ("comp", "c"))]) for x in "uv")
     more = candidates(a.join(b, "token").where("uc < vc").select("u", "v", "um", "vm"), percent)
-    large = materialise(sizes.where(f"m + r > {FEW}"), "large-groups")
-    more = more.unionByName(between(sized_join(members, large.select("hub"), "hub", "left_semi"), large, posts, single, k, percent)).distinct()
+    more = more.unionByName(between(placed.where(f"docs > {FEW}"), single, k, percent, sent)).distinct()
     more = materialise(verified(materialise(more, "pairs"), single, k, percent), "links")
     known_links = comps.where("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
     edges = known_links.unionByName(more).unionByName(copies.select(F.col("of").alias("u"), F.col("doc_id").alias("v")))
@@ -305,7 +315,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def between(members: DataFrame, sizes: DataFrame, posts: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def between(placed: DataFrame, docs: DataFrame, k: int, percent: int, sent) -> DataFrame:
     """Links (u, v) that join all that is linked across components within each hub's members.
 
     All documents of a shingle have its hub, so any two that share one meet there. A group's
@@ -313,9 +323,11 @@ def between(members: DataFrame, sizes: DataFrame, posts: DataFrame, docs: DataFr
     by hash; pairs of blocks meet unless both are of the main ones. First the
     prefixes meet, and say which documents have a candidate in another component; then these meet with their sets.
     """
+    members = materialise(placed.select("hub", "doc_id", "comp").distinct(), "open-members")
+    per = members.groupBy("hub", "comp").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("hub")).alias("main"))
+    sizes = per.groupBy("hub").agg(F.sum(F.when(F.col("main"), F.col("n"))).alias("m"), F.coalesce(F.sum(F.when(~F.col("main"), F.col("n"))), F.lit(0)).alias("r"), F.max(F.when(F.col("main"), F.col("comp"))).alias("main")).where("r > 0")
     whole = F.col("m") + F.col("r") <= BLOCK
     sizes = sizes.select("hub", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("mains"), F.when(whole, 0).otherwise(F.ceil(F.col("r") / BLOCK)).cast("int").alias("rests"))
-    members = materialise(members, "large-members")
     placed = sized_join(members, materialise(sizes, "group-blocks"), "hub", "inner")
     own = F.when((F.col("comp") == F.col("main")) | (F.col("rests") == 0), F.pmod(F.xxhash64("doc_id"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("doc_id"), F.greatest("rests", F.lit(1)))).cast("int")
     placed = placed.withColumn("block", own)
@@ -324,7 +336,7 @@ def between(members: DataFrame, sizes: DataFrame, posts: DataFrame, docs: DataFr
     placed = materialise(placed, "block-members")
 
     ids = materialise(members.select("doc_id").distinct(), "block-docs")
-    prefixes = sized_join(posts, ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("meta").alias("meta"), F.collect_set("token").alias("tokens"))
+    prefixes = sized_join(docs, ids, "doc_id", "left_semi").mapInPandas(tidy(_packed_prefixes(k, percent, sent)), "doc_id long, meta long, tokens binary")
 
     def shared(own: list[np.ndarray]) -> np.ndarray:
         """How many elements each two of the sets share."""
@@ -353,14 +365,21 @@ def between(members: DataFrame, sizes: DataFrame, posts: DataFrame, docs: DataFr
         if open_.any():
             n, l = rows["meta"].to_numpy() // LONG, rows["meta"].to_numpy() % LONG
             open_ &= 100 * np.minimum(n[:, None], n[None]) >= percent * np.maximum(n[:, None], n[None])
-            open_ &= shared([np.asarray(t) for t in rows["tokens"]]) >= np.minimum(l[:, None], l[None])
-        return rows.loc[open_.any(1), ["hub", "i", "j", "doc_id", "comp", "block"]]
+            open_ &= shared([np.frombuffer(t, np.uint64) for t in rows["tokens"]]) >= np.minimum(l[:, None], l[None])
+        found = open_.any(1)
+        if len(rows) >= BLOCK:
+            del open_
+            release()
+        return rows.loc[found, ["hub", "i", "j", "doc_id", "comp", "block"]]
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
         own = [np.frombuffer(b, np.uint64) for b in rows["s"]]
         n, both = np.array([len(s) for s in own], np.int64), shared(own)
         linked = np.triu(apart(rows) & (both > 0) & (100 * both >= percent * (n[:, None] + n[None] - both)), 1)
         u, v = np.nonzero(linked)
+        del own, both, linked
+        if len(rows) >= BLOCK:
+            release()
         return pd.DataFrame(forest(rows["doc_id"].to_numpy(), u, v), columns=["u", "v"]).astype("int64")
 
     def sets(batches):
@@ -372,7 +391,7 @@ def between(members: DataFrame, sizes: DataFrame, posts: DataFrame, docs: DataFr
     asked = placed.join(prefixes, "doc_id").groupBy(*keys).applyInPandas(ask, schema)
     asked = materialise(asked, "block-candidates")
     ids = materialise(asked.select("doc_id").distinct(), "block-docs")
-    data = sized_join(docs, ids, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, s binary")
+    data = sized_join(docs, ids, "doc_id", "left_semi").mapInPandas(tidy(sets), "doc_id long, s binary")
     return asked.join(data, "doc_id").groupBy(*keys).applyInPandas(meet, "u long, v long").distinct()
 
 

@@ -70,7 +70,7 @@ class TextEncoder:
     with an added token's string go to the library whole.
     """
 
-    def __init__(self, path: str | None = None, slots: int = 1 << 22):
+    def __init__(self, path: str | None = None, slots: int = 1 << 21):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
