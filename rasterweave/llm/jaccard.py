@@ -190,14 +190,12 @@ def _packed_prefixes(k: int, percent: int, sent):
 
 def choose(df: np.ndarray, n: int, need: int) -> tuple[int, int]:
     """Prefix length and l of least estimated cost, for document counts ``df`` in
-    the global order. Each entry is written once and met by the other documents of
-    its shingle; when l shared shingles are asked for, at most one in l of those meetings is a
-    candidate, which costs a comparison of n shingles."""
-    base = n - need
-    l = np.arange(1, min(LONGEST_L, need) + 1)
-    met = np.cumsum(np.maximum(df[: base + len(l)] - 1, 0))[base:]
-    cost = base + l + met * (1 + (1 + n / 64) / l)
-    best = int(cost.argmin()) + 1
+    the global order: entries probed, each taken to meet one document more than is known, as
+    rare shingles are not counted; when l shared shingles are asked for at most a share 1 / l of
+    those meetings is a candidate, which costs a comparison of n shingles."""
+    base, l = n - need, np.arange(1, min(LONGEST_L, need) + 1)
+    met = np.cumsum(df[: base + len(l)] + 1)[base:]
+    best = int((met * (1 + n / (64 * l))).argmin()) + 1
     return base + best, best
 
 
