@@ -20,13 +20,13 @@ BROADCAST_BYTES = 48 << 20
 SLICE = 1_000_000
 
 
-def slices(texts) -> Iterator[list]:
-    """Whole texts, as many as make about SLICE characters at a time."""
+def slices(texts, most: int = SLICE) -> Iterator[list]:
+    """Whole texts, as many as make about ``most`` characters at a time."""
     some, size = [], 0
     for t in texts:
         some.append(t)
         size += len(t or "")
-        if size >= SLICE:
+        if size >= most:
             yield some
             some, size = [], 0
     if some:

@@ -24,6 +24,8 @@ PASSAGE_WORDS = 64
 CLASSES = 16
 HIDDEN, GATE = 32, 16
 EXTRA = 8
+#: Characters scored at a time; encoded passages are far larger than their text.
+SCORED = 250_000
 DIM = CLASSES * CLASSES + EXTRA
 #: Places of the hashed words and word pairs.
 GRAMS = 1 << 13
@@ -259,7 +261,7 @@ def score(docs: DataFrame, model: AttentionModel | None, text: str = "text") ->
             if own is None:
                 yield pd.Series(np.full(len(series), 0.5))
             else:
-                yield pd.Series(np.concatenate([own.scores(*encode_passages(some)) for some in slices(series)] or [np.zeros(0)]))
+                yield pd.Series(np.concatenate([own.scores(*encode_passages(some)) for some in slices(series, SCORED)] or [np.zeros(0)]))
 
     others = [c for c in docs.columns if c != "score"]
     return docs.select(*others, F.pandas_udf(run, "double")(F.col(text)).alias("score"))
