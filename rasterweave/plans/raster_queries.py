@@ -231,8 +231,8 @@ def hysteresis_onehop(spark, sf_dir):
     return pick(stencil.hysteresis_once(px), "state")
 
 
-def closure(px):
-    return connect.connect(px.select("frame_id", "y", "x", F.col("state").alias("m")), {"m": connect.closure})
+def closure(px, size=connect.TILE):
+    return connect.connect(px.select("frame_id", "y", "x", F.col("state").alias("m")), {"m": connect.closure}, size)
 
 
 @query(f"WITH RECURSIVE {SOBEL}, s AS (SELECT frame_id, y, x, {STATE.format('abs(gx) + abs(gy)')} AS state FROM sb), {closure_sql('s', 'hy')} "
@@ -321,22 +321,48 @@ def clean_sql(src, wide, least, name):
 {name} AS MATERIALIZED (SELECT s.frame_id, s.y, s.x, CASE WHEN area >= {least} THEN 255 ELSE 0 END AS m FROM {src} s LEFT JOIN {name}lab l ON l.frame_id = s.frame_id AND l.p = s.y * {wide} + s.x + 1 LEFT JOIN {name}areas a ON a.frame_id = l.frame_id AND a.label = l.label)"""
 
 
-@query(f"WITH RECURSIVE {M64}, {MASK64}, {labels_sql('mk', 64, 'co')} SELECT frame_id, label, area FROM coareas")
-def components_area(spark, sf_dir):
+AREAS = f"WITH RECURSIVE {M64}, {MASK64}, {labels_sql('mk', 64, 'co')} SELECT frame_id, label, area FROM coareas"
+CLEAN = f"WITH RECURSIVE {M64}, {MASK64}, {clean_sql('mk', 64, model.MIN_AREA[1], 'cs')} SELECT * FROM cs"
+
+
+def _labelled(spark, sf_dir, size=connect.TILE):
     px = mask(mosaic64(spark, sf_dir)).withColumn("m", F.col("m").cast("long"))
-    lab = connect.connect(px, {"m": connect.component}).withColumnRenamed("m", "label")
-    return lab.where("label > 0").groupBy("frame_id", "label").agg(F.count("*").alias("area"))
+    return connect.connect(px, {"m": connect.component}, size).withColumnRenamed("m", "label")
+
+
+@query(AREAS)
+def components_area(spark, sf_dir):
+    return _labelled(spark, sf_dir).where("label > 0").groupBy("frame_id", "label").agg(F.count("*").alias("area"))
+
 
+@query(AREAS)
+def tiled_components(spark, sf_dir):
+    """Labels joined across tiles of 24 x 24, whose last ones are cut."""
+    return _labelled(spark, sf_dir, 24).where("label > 0").groupBy("frame_id", "label").agg(F.count("*").alias("area"))
 
-@query(f"WITH RECURSIVE {M64}, {MASK64}, {clean_sql('mk', 64, model.MIN_AREA[1], 'cs')} SELECT * FROM cs")
+
+@query(CLEAN)
 def clean_speckles(spark, sf_dir):
     """Area filter as aggregation and join on (frame_id, label)."""
-    px = mask(mosaic64(spark, sf_dir)).withColumn("m", F.col("m").cast("long"))
-    lab = connect.connect(px, {"m": connect.component}).withColumnRenamed("m", "label")
+    lab = _labelled(spark, sf_dir)
     large = lab.where("label > 0").groupBy("frame_id", "label").count().where(f"count >= {model.MIN_AREA[1]}").select("frame_id", "label", F.lit(255).alias("kept"))
     return lab.join(large, ["frame_id", "label"], "left").select("frame_id", "y", "x", F.coalesce("kept", F.lit(0)).alias("m"))
 
 
+@query(CLEAN)
+def tiled_clean_speckles(spark, sf_dir):
+    """Area filter on tiles of 16 x 16: areas of components that cross their borders are added up."""
+    return connect.connect(mask(mosaic64(spark, sf_dir)), {"m": connect.without_specks(model.MIN_AREA[1])}, 16)
+
+
+@query(f"WITH RECURSIVE {M64}, {sobel_sql('m64', 'sb', 63)}, s AS (SELECT frame_id, y, x, {STATE.format('abs(gx) + abs(gy)')} AS state FROM sb), {closure_sql('s', 'hy')} "
+       "SELECT s.frame_id, s.y, s.x, CASE WHEN hy.y IS NULL THEN 0 ELSE 255 END AS m FROM s LEFT JOIN hy ON hy.frame_id = s.frame_id AND hy.y = s.y AND hy.x = s.x")
+def tiled_hysteresis(spark, sf_dir):
+    """Weak pixels reach strong ones across tiles of 16 x 16."""
+    px = stencil.sobel(m64(spark, sf_dir)).withColumn("state", stencil.threshold(stencil.magnitude(), LOW, HIGH))
+    return closure(px, 16)
+
+
 INK = f"{RGB8}, gr AS (SELECT *, {LUMA} AS v FROM rgb8), {sobel_sql('gr', 'sb', 7)}, ed AS (SELECT gr.*, abs(gx) + abs(gy) AS mag FROM gr JOIN sb USING (frame_id, y, x))"
 
 
