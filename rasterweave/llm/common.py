@@ -67,8 +67,16 @@ def tidy(run):
     return whole
 
 
+#: Bytes of an Arrow batch on its way to or from a Python worker, where the session allows more.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this library from where the driver did."""
+    """Let Python workers import this library from where the driver did, and keep batches of texts small: a batch is
+    held by the JVM, on the way, and by the worker, in each of an executor's tasks at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(key, "67108864b")).rstrip("b") or 0) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":") if p]
