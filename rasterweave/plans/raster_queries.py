@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rasterweave.operators import clahe as clahe_op
 from rasterweave.operators import connect, lineart, point, stencil, tiling
 from rasterweave.plans import model
-from rasterweave.sources import images
+from rasterweave.sources import blobs, images
 from rasterweave.sources.session import scratch
 from rasterweave.sources.rasters import G8, M64, RGB8, gray8, mosaic64, rgb8
 
@@ -498,7 +498,17 @@ def png_sink(spark, sf_dir):
     """Renders written as PNG files, one a frame, and read back with Spark's image source."""
     art = lineart.line_art(rgb8(spark, sf_dir), model.Settings())
     folder = scratch(spark, "png-files")
-    images.write_png_files(images.frames_of(art), folder).write.format("noop").mode("overwrite").save()
+    images.write_png_files(images.frames_of(art), folder)
     read = images.read_images(spark, folder).where("readable")
     read = read.withColumn("frame_id", F.regexp_extract("path", r"frame-(\d+)\.png\z", 1).cast("long"))
     return images.image_pixels(read, "frame_id")
+
+
+@query(lineart_sql(model.Settings(preset=model.preset("studio"))))
+def png_source(spark, sf_dir):
+    """Renders written by tasks that commit together, and read back by the file source and our own decoder."""
+    art = lineart.line_art(rgb8(spark, sf_dir), model.Settings(preset=model.preset("studio")))
+    folder = scratch(spark, "png-blobs")
+    images.write_png_files(images.frames_of(art), folder)
+    files = blobs.read_blobs(spark, folder).select(F.regexp_extract("file", r"frame-(\d+)\.png\z", 1).cast("long").alias("frame_id"), "content")
+    return images.rgb_pixels(images.png_frames(files), "frame_id")

@@ -11,7 +11,7 @@ from rasterweave.plans import model
 from rasterweave.sources import images
 from rasterweave.sources.rasters import CLOCK, DIMS, DURATION, FPS, frame_clock, media_dims, table
 from rasterweave.sources.session import scratch, ship
-from rasterweave.streaming import chunks
+from rasterweave.streaming import chunks, segments
 
 QUERIES, ORACLES = {}, {}
 SEGMENTS, CHUNK = 4, 60
@@ -383,6 +383,23 @@ def stream_chunk_complete(spark, sf_dir):
     return spark.read.schema(chunks.OUT).parquet(out + "/rows")
 
 
+@query(f"WITH {ARRIVED}, g AS (SELECT seg, chunk, count(*) AS frames, max(expected) AS expected FROM arrived GROUP BY 1, 2) "
+       "SELECT seg, row_number() OVER (PARTITION BY seg ORDER BY chunk) - 1 AS place, chunk, frames, frames = expected AS complete FROM g")
+def stream_segment_order(spark, sf_dir):
+    """Structured Streaming: chunks leave each segment in their order though frames arrive in any; the end of the input flushes the incomplete ones."""
+    when = lambda i: F.timestamp_seconds(F.lit(1_700_000_000) + i / FPS)
+    arrived = _arrived(spark, sf_dir).select("seg", "chunk", "within", "expected", when(F.col("i")).alias("t"), when(F.col("i") - F.col("local") + F.lit(TOTAL)).alias("ends"))
+    out = scratch(spark, "stream-segments")
+    # eight files in an order that has nothing to do with time, two a micro-batch
+    arrived.repartition(8, F.xxhash64("seg", "chunk", "within")).write.parquet(out + "/in")
+    segments.end_row(spark).write.mode("append").parquet(out + "/in")
+    with segments.keyed_state(spark):
+        source = spark.readStream.schema(segments.ROUTED).option("maxFilesPerTrigger", 2).parquet(out + "/in")
+        sink = segments.segment_stream(source).writeStream.option("checkpointLocation", out + "/state").trigger(availableNow=True)
+        sink.format("parquet").option("path", out + "/rows").start().awaitTermination()
+    return spark.read.schema(segments.OUT).parquet(out + "/rows")
+
+
 @query(f"WITH {ROUTED}, t AS (SELECT seg, chunk, i, least({DURATION - 0.001}::DOUBLE, (i // 3) / {FPS}::DOUBLE) AS t FROM routed), p AS (SELECT *, lag(t) OVER (PARTITION BY seg, chunk ORDER BY i) AS before FROM t) "
        "SELECT i, t, before IS NOT NULL AND abs(t - before) < 0.001 AS skipped FROM p")
 def seek_plan(spark, sf_dir):

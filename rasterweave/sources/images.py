@@ -5,18 +5,20 @@ from __future__ import annotations
 import struct
 import zlib
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 from rasterweave.functions import schedule
+from rasterweave.sources import blobs
 from rasterweave.sources.session import ship
 
 
 def read_images(spark, path: str) -> DataFrame:
     """(path, width, height, channels, data, readable): files that are no image are
-    kept and marked."""
-    image = spark.read.format("image").load(path).select("image.*")
+    kept and marked. Folders below are read too."""
+    image = spark.read.format("image").option("recursiveFileLookup", "true").load(path).select("image.*")
     return image.select(F.col("origin").alias("path"), "width", "height", F.col("nChannels").alias("channels"), "data", (F.col("width") > 0).alias("readable"))
 
 
@@ -62,25 +64,91 @@ def with_png(frames: DataFrame) -> DataFrame:
     return frames.mapInPandas(run, "frame_id long, width int, height int, png binary")
 
 
-def write_png_files(frames: DataFrame, folder: str) -> DataFrame:
-    """One PNG file a frame below ``folder`` (a URI all executors share); (frame_id, file, bytes)."""
-    ship(frames.sparkSession)
+def write_png_files(frames: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """One PNG file a frame below ``folder`` (a URI all executors share), all or none; (frame_id, file, bytes) of what is there."""
+    named = with_png(frames).select(F.format_string("frame-%05d.png", "frame_id").alias("file"), F.col("png").alias("content"))
+    blobs.write_blobs(named, folder, mode)
+    there = blobs.read_blobs(frames.sparkSession, folder)
+    return there.select(F.regexp_extract("file", r"frame-(\d+)\.png\z", 1).cast("long").alias("frame_id"), "file", F.col("length").alias("bytes"))
+
+
+def unpng(data: bytes) -> tuple[int, int, np.ndarray]:
+    """(width, height, pixels of 3 bytes) of an 8-bit PNG without interlace; a ValueError says what is wrong with other data."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG signature")
+    at, packed, head = 8, [], None
+    while at + 12 <= len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + n]
+        if len(body) < n or struct.unpack(">I", data[at + 8 + n : at + 12 + n].ljust(4, b"\0"))[0] != zlib.crc32(kind + body):
+            raise ValueError(f"part {kind.decode('latin-1')} is cut or damaged")
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            packed.append(body)
+        elif kind == b"IEND":
+            break
+        at += 12 + n
+    else:
+        raise ValueError("the file ends early")
+    if head is None or head[2] != 8 or head[3] not in CHANNELS or head[6]:
+        raise ValueError("only 8-bit PNGs without interlace are read")
+    w, h, step = head[0], head[1], CHANNELS[head[3]]
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    if lines.size != h * (w * step + 1):
+        raise ValueError("pixels are missing")
+    lines = lines.reshape(h, w * step + 1)
+    out = np.zeros((h, w * step), np.uint8)
+    for y in range(h):
+        unfilter(int(lines[y, 0]), lines[y, 1:], out[y - 1] if y else np.zeros(w * step, np.uint8), out[y], step)
+    px = out.reshape(h, w, step)
+    return w, h, np.ascontiguousarray(px[:, :, :3] if step > 2 else np.repeat(px[:, :, :1], 3, 2))
+
+
+#: Bytes a pixel by PNG colour type.
+CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+def unfilter(kind: int, line: np.ndarray, above: np.ndarray, to: np.ndarray, step: int) -> None:
+    """Undo a PNG line's filter: none, left, above, their mean, or the one of three neighbours nearest to left + above - corner."""
+    if kind == 0:
+        to[:] = line
+    elif kind == 1:
+        to[:] = np.cumsum(line.reshape(-1, step), 0, dtype=np.uint8).ravel()
+    elif kind == 2:
+        to[:] = line + above
+    elif kind in (3, 4):
+        for k in range(len(line)):
+            left = int(to[k - step]) if k >= step else 0
+            up, corner = int(above[k]), int(above[k - step]) if k >= step else 0
+            guess = (left + up) // 2 if kind == 3 else min((left, up, corner), key=lambda v: abs(left + up - corner - v))
+            to[k] = (int(line[k]) + guess) & 255
+    else:
+        raise ValueError(f"filter {kind} is unknown")
+
+
+def png_frames(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with width, height and rgb instead of the PNG in ``content``."""
+    ship(files.sparkSession)
+    others = [f for f in files.schema.fields if f.name != content]
+    kept = StructType([*others, StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("rgb", BinaryType())])
 
     def run(batches):
-        from pyarrow import fs as pafs
-
-        fs, root = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(root, recursive=True)
         for b in batches:
-            done = []
-            for i, data in zip(b["frame_id"], b["png"]):
-                name = f"frame-{i:05d}.png"
-                with fs.open_output_stream(f"{root}/{name}") as out:
-                    out.write(data)
-                done.append((i, name, len(data)))
-            yield pd.DataFrame(done, columns=["frame_id", "file", "bytes"])
-
-    return with_png(frames).mapInPandas(run, "frame_id long, file string, bytes long")
+            found = [unpng(bytes(d)) for d in b.pop(content)]
+            b["width"], b["height"] = [w for w, _, _ in found], [h for _, h, _ in found]
+            b["rgb"] = [px.tobytes() for _, _, px in found]
+            yield b
+
+    return files.mapInPandas(run, kept)
+
+
+def rgb_pixels(frames: DataFrame, *keys: str) -> DataFrame:
+    """(keys, y, x, r, g, b) of frames (keys, width, height, rgb)."""
+    dots = F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1))
+    byte = lambda k: F.conv(F.hex(F.expr(f"substring(rgb, p * 3 + {k}, 1)")), 16, 10).cast("int")
+    p = frames.select(*keys, "width", "rgb", dots.alias("p"))
+    return p.select(*keys, F.expr("cast(p div width as int)").alias("y"), F.expr("cast(p % width as int)").alias("x"), byte(1).alias("r"), byte(2).alias("g"), byte(3).alias("b"))
 
 
 def write_chunks(routed_png: DataFrame, path: str) -> None:
