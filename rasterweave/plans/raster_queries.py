@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from rasterweave.operators import clahe as clahe_op
 from rasterweave.operators import connect, lineart, point, stencil, tiling
 from rasterweave.plans import model
-from rasterweave.sources import blobs, images
-from rasterweave.sources.session import scratch
+from rasterweave.sources import avi, blobs, images
+from rasterweave.sources.session import scratch, written
 from rasterweave.sources.rasters import G8, M64, RGB8, gray8, mosaic64, rgb8
 
 QUERIES, ORACLES = {}, {}
@@ -512,3 +512,20 @@ def png_source(spark, sf_dir):
     images.write_png_files(images.frames_of(art), folder)
     files = blobs.read_blobs(spark, folder).select(F.regexp_extract("file", r"frame-(\d+)\.png\z", 1).cast("long").alias("frame_id"), "content")
     return images.rgb_pixels(images.png_frames(files), "frame_id")
+
+
+#: Frames to a chunk file and chunk files to a video, in the order of their frames.
+PER_CHUNK, PER_VIDEO = 12, 5
+PLACED = f"pl AS (SELECT frame_id, frame_id // {PER_CHUNK * PER_VIDEO} AS video, row_number() OVER (PARTITION BY frame_id // {PER_CHUNK * PER_VIDEO} ORDER BY frame_id) - 1 AS place FROM (SELECT DISTINCT frame_id FROM rgb8))"
+
+
+@query(f"WITH {RGB8}, {PLACED} SELECT CAST(video AS BIGINT) AS video, place, y, x, r, g, b FROM rgb8 JOIN pl USING (frame_id)")
+def avi_join(spark, sf_dir):
+    """Frames encoded to chunk files, these joined to videos without decoding, and the videos' frames read back by seeking."""
+    png = images.with_png(images.frames_of(rgb8(spark, sf_dir)))
+    chunked = png.select(F.expr(f"frame_id div {PER_CHUNK * PER_VIDEO}").alias("video"), F.expr(f"frame_id div {PER_CHUNK}").alias("chunk"), F.col("frame_id").alias("within"), "width", "height", "png")
+    files = written(avi.mux_chunks(chunked, ["video", "chunk"], 12.0), "chunk-files")
+    folder = scratch(spark, "videos")
+    avi.write_joined(avi.join_chunks(files, "video", ["chunk"]), "video", ["chunk"], folder).write.format("noop").mode("overwrite").save()
+    frames = avi.read_frames(spark, folder).select(F.regexp_extract("file", r"\A(\d+)", 1).cast("long").alias("video"), "place", "content")
+    return images.rgb_pixels(images.png_frames(frames), "video", "place")
