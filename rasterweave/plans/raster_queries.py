@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from rasterweave.operators import clahe as clahe_op
 from rasterweave.operators import connect, lineart, point, stencil, tiling
 from rasterweave.plans import model
-from rasterweave.sources import avi, blobs, images
+from rasterweave.functions import text
+from rasterweave.sources import avi, blobs, images, loading
 from rasterweave.sources.session import scratch, written
-from rasterweave.sources.rasters import G8, M64, RGB8, gray8, mosaic64, rgb8
+from rasterweave.sources.rasters import G8, M64, RGB8, gray8, mosaic64, rgb8, table
+from rasterweave.streaming import failures
 
 QUERIES, ORACLES = {}, {}
 W3, W5 = stencil.gaussian_weights(1, 1.0), stencil.gaussian_weights(2, 1.1)
@@ -529,3 +531,59 @@ def avi_join(spark, sf_dir):
     avi.write_joined(avi.join_chunks(files, "video", ["chunk"]), "video", ["chunk"], folder).write.format("noop").mode("overwrite").save()
     frames = avi.read_frames(spark, folder).select(F.regexp_extract("file", r"\A(\d+)", 1).cast("long").alias("video"), "place", "content")
     return images.rgb_pixels(images.png_frames(frames), "video", "place")
+
+
+#: By the first pixel's red: a frame's file is not written, empty, or cut in half.
+MISSING, EMPTY, CUT = 60, 100, 140
+FIRST = "fp AS (SELECT frame_id, r AS red FROM rgb8 WHERE y = 0 AND x = 0)"
+
+
+def _files(spark, sf_dir):
+    """(file, content, red): a PNG file a frame, damaged as above."""
+    px = rgb8(spark, sf_dir)
+    png = images.with_png(images.frames_of(px)).join(px.where("y = 0 and x = 0").select("frame_id", F.col("r").alias("red")), "frame_id")
+    content = F.when(F.col("red") < EMPTY, F.unhex(F.lit(""))).when(F.col("red") < CUT, F.expr("substring(png, 1, cast(length(png) div 2 as int))")).otherwise(F.col("png"))
+    return png.select("frame_id", F.format_string("frame-%05d.png", "frame_id").alias("file"), content.alias("content"), "red")
+
+
+@query(f"WITH {RGB8}, {FIRST} SELECT 'frame-' || lpad(CAST(frame_id AS VARCHAR), 5, '0') || '.png' AS file, red >= {CUT} AS loaded, "
+       f"CASE WHEN red < {MISSING} THEN 'missing' WHEN red < {EMPTY} THEN 'empty' WHEN red < {CUT} THEN 'damaged' END AS reason, red >= {CUT} AND red > 180 AS has_audio, CASE WHEN red >= {CUT} THEN red / 10.0::DOUBLE ELSE 30.0 END AS fps FROM fp")
+def source_fallback(spark, sf_dir):
+    """Sources that are missing, empty or damaged are rows like others: played without audio at the configured rate."""
+    files = written(_files(spark, sf_dir), "source-files")
+    folder = scratch(spark, "sources")
+    blobs.write_blobs(files.where(f"red >= {MISSING}"), folder)
+    wanted = files.select("file", (F.col("red") / 10.0).alias("fps"), (F.col("red") > 180).alias("has_audio"))
+    return loading.load(wanted, blobs.read_blobs(spark, folder))
+
+
+@query(f"WITH {RGB8}, {FIRST}, bad AS (SELECT frame_id FROM fp WHERE red < {CUT}) SELECT frame_id, red < {CUT} AS failed, red < {CUT} AND frame_id = (SELECT min(frame_id) FROM bad) AS raised, CASE WHEN red >= {CUT} THEN total END AS total "
+       "FROM fp JOIN (SELECT frame_id, CAST(sum(r + g + b) AS BIGINT) AS total FROM rgb8 GROUP BY 1) USING (frame_id)")
+def frame_failures(spark, sf_dir):
+    """Every frame is attempted; those that fail are reported and the first of them is raised after the batch."""
+    out = scratch(spark, "outcomes")
+    step = lambda row: {"total": int(images.unpng(bytes(row["content"]))[2].sum())}
+    raised = None
+    try:
+        failures.settle(failures.attempted(_files(spark, sf_dir), step, "total long"), out)
+    except failures.FrameError as e:
+        raised = e.index
+    failed = F.col("error").isNotNull()
+    return spark.read.parquet(out).select("frame_id", failed.alias("failed"), (failed & F.col("frame_id").eqNullSafe(F.lit(raised).cast("long"))).alias("raised"), "total")
+
+
+PAGE_FILE = "lpad(CAST(page_id AS VARCHAR), 7, '0') || CASE WHEN ends_with(regexp_extract(url, '^[^?#]*'), '.html') THEN '.PNG' WHEN regexp_matches(regexp_extract(url, '^[^?#]*'), '[0-9]$') THEN '.mp4' ELSE '.txt' END"
+
+
+@query(f"""WITH f AS (SELECT {PAGE_FILE} AS file, 8 + octet_length(encode(coalesce(html, ''))) AS length, CASE WHEN contains(url, '/en/') THEN 'image' WHEN contains(url, '/fr/') THEN 'video' END AS marked FROM pages),
+n AS (SELECT *, CASE right(file, 4) WHEN '.PNG' THEN 'image/png' WHEN '.mp4' THEN 'video/mp4' END AS mime, CASE right(file, 4) WHEN '.PNG' THEN 'image' WHEN '.mp4' THEN 'video' END AS named FROM f)
+SELECT file, CAST(length AS BIGINT) AS length, mime, named, marked, coalesce(marked, named) AS kind, file = (SELECT min(file) FROM f) AS first FROM n""")
+def media_scan(spark, sf_dir):
+    """A folder of files listed: their kind by name and by content, and the first."""
+    mark = F.when(F.col("url").contains("/en/"), "89504E470D0A1A0A").when(F.col("url").contains("/fr/"), "0000002066747970").otherwise("3C212D2D2D2D3E0A")
+    mime = text.mime_of(F.col("url"))
+    extension = F.when(mime == "image/png", ".PNG").when(mime == "video/mp4", ".mp4").otherwise(".txt")
+    files = table(spark, sf_dir, "pages").select(F.concat(F.lpad(F.col("page_id").cast("string"), 7, "0"), extension).alias("file"), F.concat(F.unhex(mark), F.encode(F.coalesce("html", F.lit("")), "utf-8")).alias("content"))
+    folder = scratch(spark, "media")
+    blobs.write_blobs(files, folder)
+    return loading.scan(spark, folder)
