@@ -77,7 +77,21 @@ def colorize(px: DataFrame, background: tuple, ink: tuple, edge: Column, color_e
 
 
 def resample(px: DataFrame, scale: float, columns: tuple = ("v",)) -> DataFrame:
-    """Mean of the source pixels that fall into each target pixel, scale <= 1."""
-    to = lambda c: F.floor(F.col(c) * scale).cast("int").alias(c)
-    mean = lambda c: F.expr(f"cast((2 * sum({c}) + count({c})) div (2 * count({c})) as int)").alias(c)
-    return px.groupBy("frame_id", to("y"), to("x")).agg(*[mean(c) for c in columns])
+    """Frames at ``scale`` <= 1: each target pixel is the mean of the source area under it, so the frame's mean is kept.
+
+    Sides are rounded, at least 1. In units of 1 / (source side * target side) all edges are whole numbers: a source
+    pixel lies under at most two targets a side, its overlaps are exact weights, and values are rounded once."""
+    out = px
+    targets = []
+    for c, n in (("y", "_h"), ("x", "_w")):
+        out = out.withColumn(n, (F.max(c).over(frame()) + 1).cast("long")).withColumn(f"_t{n[1]}", F.greatest(F.lit(1), F.floor(F.col(n) * scale + 0.5)).cast("long"))
+        t, m = F.col(f"_t{n[1]}"), F.col(n)
+        first = F.expr(f"{c} * _t{n[1]} div {n}")
+        under = lambda k: F.struct(k.cast("int").alias("at"), (F.least((F.col(c) + 1) * t, (k + 1) * m) - F.greatest(F.col(c) * t, k * m)).alias("part"))  # noqa: B023, E731
+        targets.append(F.filter(F.array(under(first), under(first + 1)), lambda o: o["part"] > 0))
+    keep = ["frame_id", "_h", "_w", *columns]
+    out = out.select(*keep, targets[0].alias("_y"), targets[1].alias("_x")).select(*keep, F.explode("_y").alias("_y"), "_x").select(*keep, "_y", F.explode("_x").alias("_x"))
+    weight = F.col("_y.part") * F.col("_x.part")
+    sums = [F.sum(F.col(c) * weight).alias(c) for c in columns]
+    g = out.groupBy("frame_id", F.col("_y.at").alias("y"), F.col("_x.at").alias("x")).agg(F.first(F.col("_h") * F.col("_w")).alias("_n"), *sums)
+    return g.select("frame_id", "y", "x", *[F.expr(f"cast((2 * {c} + _n) div (2 * _n) as int)").alias(c) for c in columns])

@@ -401,6 +401,14 @@ def resample_half(spark, sf_dir):
     return point.resample(mosaic64(spark, sf_dir), 0.5)
 
 
+#: 64 pixels to 48: in units of 1 / (64 * 48) a source pixel is 48 wide, a target 64.
+@query(f"""WITH {M64}, o AS (SELECT s, t, least((s + 1) * 48, (t + 1) * 64) - greatest(s * 48, t * 64) AS part FROM (SELECT unnest(range(64)) AS s) CROSS JOIN (SELECT unnest(range(48)) AS t))
+SELECT frame_id, CAST(a.t AS INT) AS y, CAST(b.t AS INT) AS x, CAST((2 * sum(v * a.part * b.part) + 4096) // 8192 AS INT) AS v FROM m64 JOIN o a ON a.s = y AND a.part > 0 JOIN o b ON b.s = x AND b.part > 0 GROUP BY frame_id, a.t, b.t""")
+def resample_default(spark, sf_dir):
+    """The default scale, where targets lie across source pixels."""
+    return point.resample(mosaic64(spark, sf_dir), 0.75)
+
+
 def gamma_sql(c):
     return f"CAST(CASE WHEN mean < 80 THEN floor(pow({c} / 255.0::DOUBLE, 1 / greatest(1.5, least(3.0, 1.0 + (80 - mean) / 40))) * 255 + 0.5) ELSE {c} END AS INT)"
 

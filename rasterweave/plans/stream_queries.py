@@ -11,7 +11,7 @@ from rasterweave.plans import model
 from rasterweave.sources import images
 from rasterweave.sources.rasters import CLOCK, DIMS, DURATION, FPS, frame_clock, media_dims, table
 from rasterweave.sources.session import scratch, ship
-from rasterweave.streaming import chunks, segments
+from rasterweave.streaming import chunks, preview, segments
 
 QUERIES, ORACLES = {}, {}
 SEGMENTS, CHUNK = 4, 60
@@ -400,6 +400,18 @@ def stream_segment_order(spark, sf_dir):
     return spark.read.schema(segments.OUT).parquet(out + "/rows")
 
 
+@query(f"WITH {ARRIVED} SELECT seg, max(i) AS i, arg_max(value, i) AS value FROM arrived GROUP BY seg")
+def stream_preview(spark, sf_dir):
+    """Structured Streaming: each segment shows its newest frame, though frames arrive in any order."""
+    arrived = _arrived(spark, sf_dir).select("seg", "i", "value")
+    out = scratch(spark, "stream-preview")
+    arrived.repartition(6, F.xxhash64("i")).write.parquet(out + "/in")
+    source = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 2).parquet(out + "/in")
+    sink = source.writeStream.foreachBatch(preview.keep_newest(out + "/shown")).option("checkpointLocation", out + "/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return preview.shown(spark, out + "/shown").select("seg", "i", "value")
+
+
 @query(f"WITH {ROUTED}, t AS (SELECT seg, chunk, i, least({DURATION - 0.001}::DOUBLE, (i // 3) / {FPS}::DOUBLE) AS t FROM routed), p AS (SELECT *, lag(t) OVER (PARTITION BY seg, chunk ORDER BY i) AS before FROM t) "
        "SELECT i, t, before IS NOT NULL AND abs(t - before) < 0.001 AS skipped FROM p")
 def seek_plan(spark, sf_dir):
