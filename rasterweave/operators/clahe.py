@@ -15,19 +15,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def clahe(px: DataFrame, clip: Column | float, grid: int = 8, c: str = "v") -> DataFrame:
-    """``px`` with plane ``c`` equalised; ``clip`` is a number or a column, one value a frame."""
-    others = [o for o in px.columns if o not in ("frame_id", "y", "x", c)]
-    frame = Window.partitionBy("frame_id")
-    p = px.withColumn("_clip", clip if isinstance(clip, Column) else F.lit(float(clip)))
+def placed(p: DataFrame, grid: int) -> DataFrame:
+    """From sides _h and _w: tile sides _t, last tiles in use _u, and a pixel's cell _g, the
+    tile whose centre is before it, with its distance _r from there."""
     for side, n in (("y", "_h"), ("x", "_w")):
-        p = p.withColumn(n, F.max(side).over(frame) + 1).withColumn(f"_t{side}", F.expr(f"cast(({n} + {grid - 1}) div {grid} as int)"))
+        p = p.withColumn(f"_t{side}", F.expr(f"cast(({n} + {grid - 1}) div {grid} as int)"))
         p = p.withColumn(f"_u{side}", F.expr(f"cast(({n} + _t{side} - 1) div _t{side} - 1 as int)"))  # last tile in use
         # twice the distance to tile centres keeps the weights whole
         p = p.withColumn(f"_g{side}", F.expr(f"cast(floor((2 * {side} + 1 - _t{side}) / (2 * _t{side})) as int)"))
         p = p.withColumn(f"_r{side}", F.expr(f"2 * {side} + 1 - _t{side} - 2 * _t{side} * _g{side}"))
+    return p
+
+
+def share(side: str, d: int) -> str:
+    """Weight of the nearer (0) or farther (1) tile of a side."""
+    return f"_r{side}" if d else f"(2 * _t{side} - _r{side})"
+
+
+def clahe(px: DataFrame, clip: Column | float, grid: int = 8, c: str = "v") -> DataFrame:
+    """``px`` with plane ``c`` equalised; ``clip`` is a number or a column, one value a frame."""
+    others = [o for o in px.columns if o not in ("frame_id", "y", "x", c)]
+    frame = Window.partitionBy("frame_id")
+    p = px.withColumn("_clip", clip if isinstance(clip, Column) else F.lit(float(clip)))
+    p = placed(p.withColumn("_h", F.max("y").over(frame) + 1).withColumn("_w", F.max("x").over(frame) + 1), grid)
     place = lambda side, d: F.expr(f"greatest(0, least(_u{side}, _g{side} + {d}))").alias(f"t{side}")
-    share = lambda side, d: f"_r{side}" if d else f"(2 * _t{side} - _r{side})"
     own = F.struct(F.expr("cast(y div _ty as int)").alias("ty"), F.expr("cast(x div _tx as int)").alias("tx"), F.lit(0).cast("long").alias("w"), F.lit(1).alias("n"))
     corners = [F.struct(place("y", dy), place("x", dx), F.expr(f"cast({share('y', dy)} * {share('x', dx)} as long)").alias("w"), F.lit(0).alias("n")) for dy in (0, 1) for dx in (0, 1)]
     rows = p.select("*", F.inline(F.array(own, *corners)))
@@ -43,3 +54,31 @@ def clahe(px: DataFrame, clip: Column | float, grid: int = 8, c: str = "v") -> D
     rows = rows.withColumn("_to", F.col("w") * to)
     out = rows.groupBy("frame_id", "y", "x").agg(F.sum("_to").alias("_s"), F.first(F.col("_ty").cast("long") * F.col("_tx") * 4).alias("_whole"), *[F.first(o).alias(o) for o in others])
     return out.select("frame_id", "y", "x", *others, F.expr("cast((2 * _s + _whole) div (2 * _whole) as int)").alias(c))
+
+
+def by_cells(px: DataFrame, clip: Column | float, grid: int = 8, c: str = "v") -> DataFrame:
+    """As ``clahe``, for frames that lie in many tasks; ``px`` has their sides as _h and _w.
+
+    Histograms are counts by frame, tile and value, at most grid^2 * 256 rows a frame, and each tile's map is one
+    array. Pixels between the same four tile centres are a cell; they join its four maps by one key."""
+    others = [o for o in px.columns if o not in ("frame_id", "y", "x", c, "_h", "_w")]
+    p = placed(px.withColumn("_clip", clip if isinstance(clip, Column) else F.lit(float(clip))), grid)
+    tile = [F.expr(f"cast({side} div _t{side} as int)").alias(f"t{side}") for side in "yx"]
+    counts = p.groupBy("frame_id", *tile, c).agg(F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("_clip", "_uy", "_ux")])
+    maps = counts.groupBy("frame_id", "ty", "tx").agg(
+        F.sum("n").alias("area"), *[F.first(k).alias(k) for k in ("_clip", "_uy", "_ux")], F.map_from_entries(F.collect_list(F.struct(c, "n"))).alias("h")
+    )
+    maps = maps.withColumn("most", F.greatest(F.lit(1), F.floor(F.col("area") * F.col("_clip") / 256)).cast("long"))
+    maps = maps.withColumn("n", F.expr("transform(sequence(0, 255), i -> coalesce(h[i], 0L))"))
+    maps = maps.withColumn("cut", F.expr("aggregate(n, 0L, (s, k) -> s + greatest(0L, k - most))")).withColumn("kept", F.expr("transform(n, k -> least(k, most))"))
+    run = "aggregate(slice(kept, 1, i + 1), 0L, (s, k) -> s + k) + (i + 1) * (cut div 256) + least(i + 1, cut % 256)"
+    maps = maps.withColumn("map", F.expr(f"transform(sequence(0, 255), i -> (2 * ({run}) * 255 + area) div (2 * area))"))
+    # a tile is the near one of its own cell and the far one of the cell before; at the edges cells have it twice
+    cells = lambda t, u: F.filter(F.array(*[F.when(ok, F.struct(at.alias("at"), F.lit(d).alias("d"))) for ok, at, d in ((F.lit(True), F.col(t), 0), (F.lit(True), F.col(t) - 1, 1), (F.col(t) == 0, F.col(t) - 1, 0), (F.col(t) == F.col(u), F.col(t), 1))]), lambda k: k.isNotNull())
+    maps = maps.select("frame_id", "map", F.explode(cells("ty", "_uy")).alias("a"), cells("tx", "_ux").alias("b")).select("frame_id", "map", "a", F.explode("b").alias("b"))
+    corners = [(dy, dx) for dy in (0, 1) for dx in (0, 1)]
+    four = [F.max(F.when((F.col("a.d") == dy) & (F.col("b.d") == dx), F.col("map"))).alias(f"_m{dy}{dx}") for dy, dx in corners]
+    maps = maps.groupBy("frame_id", F.col("a.at").alias("_gy"), F.col("b.at").alias("_gx")).agg(*four)
+    total = " + ".join(f"cast({share('y', dy)} * {share('x', dx)} as long) * element_at(_m{dy}{dx}, {c} + 1)" for dy, dx in corners)
+    out = p.join(maps, ["frame_id", "_gy", "_gx"]).withColumn("_s", F.expr(total)).withColumn("_whole", F.expr("cast(_ty as long) * _tx * 4"))
+    return out.select("frame_id", "y", "x", *others, F.expr("cast((2 * _s + _whole) div (2 * _whole) as int)").alias(c))

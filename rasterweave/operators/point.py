@@ -46,14 +46,18 @@ def gamma_lift(px: DataFrame, c: str = "v", mean: str = "mean") -> DataFrame:
     return px.withColumn(c, F.when(F.col(mean) < 80, lifted).otherwise(F.col(c)))
 
 
+def stretched(c: str, lo: str, hi: str, std: str | None) -> Column:
+    """lo..hi to 0..255 where std is below 45 (everywhere without ``std``) and lo differs from hi."""
+    out = F.expr(f"cast((2 * ({c} - {lo}) * 255 + ({hi} - {lo})) div (2 * ({hi} - {lo})) as int)")
+    when = F.col(hi) > F.col(lo)
+    return F.when(when & (F.col(std) < 45) if std else when, out).otherwise(F.col(c))
+
+
 def stretch(px: DataFrame, c: str = "v", std: str | None = "std") -> DataFrame:
     """Min-max to 0..255 for frames with a deviation below 45 (all without ``std``);
     constant frames stay."""
-    lo, hi = F.min(c).over(frame()), F.max(c).over(frame())
-    px = px.withColumn("_lo", lo).withColumn("_hi", hi)
-    out = F.expr(f"cast((2 * ({c} - _lo) * 255 + (_hi - _lo)) div (2 * (_hi - _lo)) as int)")
-    when = F.col("_hi") > F.col("_lo")
-    return px.withColumn(c, F.when(when & (F.col(std) < 45) if std else when, out).otherwise(F.col(c))).drop("_lo", "_hi")
+    px = px.withColumn("_lo", F.min(c).over(frame())).withColumn("_hi", F.max(c).over(frame()))
+    return px.withColumn(c, stretched(c, "_lo", "_hi", std)).drop("_lo", "_hi")
 
 
 def rgb_literal(c: tuple) -> Column:

@@ -488,6 +488,12 @@ _art("custom", model.Settings(preset=model.preset("custom", diameter=5), custom=
 _art("plain", model.Settings(preset=model.preset("custom", background=(250, 250, 240), ink=(20, 20, 60)), custom=True, bilateral=False, clean_speckles=False, auto_normalize=False, merge_double_edge=False, line_weight=1, color_edges=True, color_low=30, color_high=90))
 
 
+@query(lineart_sql(model.Settings(preset=model.preset("blueprint"))))
+def tiled_lineart(spark, sf_dir):
+    """A render on tiles of 4 x 4 with halos: statistics and histograms first, lines joined across tiles."""
+    return lineart.line_art(rgb8(spark, sf_dir), model.Settings(preset=model.preset("blueprint")), tile=4)
+
+
 def flagship(spark, sf_dir):
     """Sobel edges of the gray rasters, one-hop hysteresis, coloured by a preset."""
     p = model.preset("manga")
