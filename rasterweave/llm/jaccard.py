@@ -7,7 +7,9 @@ l-prefixes) share at least l. Each document picks its own l: rare shingles are c
 = 1; where a prefix holds frequent shingles, a longer prefix that asks for more
 shared ones costs less than the candidates it avoids. A pair is a candidate when
 its prefixes share at least the smaller l of the two, and candidates are verified on
-the shingles themselves.
+the shingles themselves. Of two documents the smaller shares as many within its index prefix, the first
+n - ceil(2 * threshold / (1 + threshold) * n) + l shingles, so a shingle that is in no document's index prefix
+is nobody's candidate and goes: that is where what all pages of a template have in common ends.
 
 Frequent shingles come last in the order. Documents of equal word sequences are joined once, by their smallest id.
 Components need no more links than join them: each prefix shingle first links its
@@ -30,14 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialise, prepare, release, sized_join, tidy
 
-SLICE = 1_000_000
+#: Characters whose shingles a worker has in hand at a time.
+SLICE = 250_000
 #: Shingles gathered in a task before their counts are handed on. Counts below 3 of a
 #: chunk are not, and at most FREQUENT shingles (16 bytes each) are told apart: both change
 #: the order of shingles and the choice of l, so the cost, never a link.
 CHUNK = 2_000_000
 FREQUENT = 400_000
-#: The largest l that is tried; a longer one could only save candidates.
-LONGEST_L = 8
 #: A prefix shingle of more documents is dealt to as many tasks as this goes into it.
 SPLIT = 10_000
 #: Shingles of at most FEW documents count their pairs in a join, the others in blocks of BLOCK documents;
@@ -143,7 +144,7 @@ def _scan(k: int):
 
 
 def prefixes_of(batches, k: int, percent: int, sent):
-    """For each slice of texts (ids, prefix shingles, sizes and l as meta, document counts) of those with shingles."""
+    """For each slice of texts (ids, prefix shingles, sizes and l as meta, document counts, index prefix lengths) of those with shingles."""
     release()
     keys, counts = sent.value
     for batch in batches:
@@ -162,18 +163,20 @@ def prefixes_of(batches, k: int, percent: int, sent):
                 if n:
                     order = np.argsort(df, kind="stable")
                     length, l = choose(df[order], n, -(-percent * n // 100))
-                    out.append((i, s[order[:length]], n * LONG + l, df[order[:length]]))
+                    own = n - -(-2 * percent * n // (100 + percent)) + l
+                    out.append((i, s[order[:length]], n * LONG + l, df[order[:length]], min(own, length)))
             if out:
                 yield list(zip(*out))
 
 
 def _prefixes(k: int, percent: int, sent):
-    """One row a shingle: (token, doc_id, meta, parts)."""
+    """One row a shingle: (token, doc_id, meta, parts, own), own in the index prefix."""
 
     def run(batches):
-        for ids, tokens, metas, dfs in prefixes_of(batches, k, percent, sent):
+        for ids, tokens, metas, dfs, own in prefixes_of(batches, k, percent, sent):
             size = [len(t) for t in tokens]
-            yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc_id": np.repeat(ids, size), "meta": np.repeat(metas, size), "parts": (1 + np.concatenate(dfs) // SPLIT).astype(np.int32)})
+            inside = np.concatenate([np.arange(n) < m for n, m in zip(size, own)])
+            yield pd.DataFrame({"token": np.concatenate(tokens).view(np.int64), "doc_id": np.repeat(ids, size), "meta": np.repeat(metas, size), "parts": (1 + np.concatenate(dfs) // SPLIT).astype(np.int32), "own": inside})
 
     return run
 
@@ -182,7 +185,7 @@ def _packed_prefixes(k: int, percent: int, sent):
     """One row a document: (doc_id, meta, tokens)."""
 
     def run(batches):
-        for ids, tokens, metas, _ in prefixes_of(batches, k, percent, sent):
+        for ids, tokens, metas, _, _ in prefixes_of(batches, k, percent, sent):
             yield pd.DataFrame({"doc_id": ids, "meta": metas, "tokens": [t.tobytes() for t in tokens]})
 
     return run
@@ -193,7 +196,7 @@ def choose(df: np.ndarray, n: int, need: int) -> tuple[int, int]:
     the global order: entries probed, each taken to meet one document more than is known, as
     rare shingles are not counted; when l shared shingles are asked for at most a share 1 / l of
     those meetings is a candidate, which costs a comparison of n shingles."""
-    base, l = n - need, np.arange(1, min(LONGEST_L, need) + 1)
+    base, l = n - need, np.arange(1, need + 1)
     met = np.cumsum(df[: base + len(l)] + 1)[base:]
     best = int((met * (1 + n / (64 * l))).argmin()) + 1
     return base + best, best
@@ -279,17 +282,18 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
     single = sized_join(d.where("doc_id is not null and text is not null"), gone, "doc_id", "left_anti")
 
     sent = spark.sparkContext.broadcast(frequent(scan))
-    posts = single.mapInPandas(tidy(_prefixes(k, percent, sent)), "token long, doc_id long, meta long, parts int")
+    posts = single.mapInPandas(tidy(_prefixes(k, percent, sent)), "token long, doc_id long, meta long, parts int, own boolean")
     posts = posts.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id"), "parts")).otherwise(0).cast("int"))
     share = Window.partitionBy("token", "part")
-    posts = posts.select("*", F.min(F.struct("doc_id", "meta")).over(share).alias("low"), F.max("doc_id").over(share).alias("top"))
-    posts = posts.where("low.doc_id <> top or parts > 1").select("token", "doc_id", "meta", "parts", "part", F.col("low.doc_id").alias("hub"), F.col("low.meta").alias("hub_meta"))
+    posts = posts.select("*", F.min(F.struct("doc_id", "meta")).over(share).alias("low"), F.max("doc_id").over(share).alias("top"), F.max("own").over(share).alias("asked"))
+    posts = posts.where("low.doc_id <> top and asked or parts > 1").select("token", "doc_id", "meta", "parts", "part", "asked", F.col("low.doc_id").alias("hub"), F.col("low.meta").alias("hub_meta"))
     posts = materialise(posts, "prefixes")
     # parts of one shingle are joined by their hubs, few rows
-    hubs = materialise(posts.where("parts > 1 and doc_id = hub").groupBy("token").agg(F.min(F.struct("doc_id", "meta")).alias("root")), "hot-shingles")
+    hubs = posts.where("parts > 1 and doc_id = hub").groupBy("token").agg(F.min(F.struct("doc_id", "meta")).alias("root"), F.max("asked").alias("wanted"))
+    hubs = materialise(hubs.where("wanted").drop("wanted"), "hot-shingles")
     hot = sized_join(posts.where("parts > 1"), hubs, "token", "inner")
 
-    star = posts.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"), F.col("hub_meta").alias("um"), F.col("meta").alias("vm"))
+    star = posts.where("parts = 1").select("doc_id", "meta", "hub", "hub_meta").unionByName(hot.select("doc_id", "meta", "hub", "hub_meta")).where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"), F.col("hub_meta").alias("um"), F.col("meta").alias("vm"))
     roots = hot.where("doc_id = hub and doc_id <> root.doc_id").select(F.col("root.doc_id").alias("u"), F.col("doc_id").alias("v"), F.col("root.meta").alias("um"), F.col("meta").alias("vm"))
     links = candidates(star.unionByName(roots), percent)
     links = materialise(verified(materialise(links, "pairs"), single, k, percent), "links")
@@ -425,15 +429,19 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, at most FREQUENT, sorted, with their counts."""
-    totals = materialise(scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")), "counts")
-    sizes = totals.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()  # at most 10,000 rows
-    held, least = 0, 1 << 60
-    for r in sizes:
-        if held + r["count"] > FREQUENT:
+    """The most frequent shingles, about FREQUENT, sorted, with their counts: whole steps of an eighth of a doubling
+    from the top, and of the step that is too large for all of it as many as are missing, by hash."""
+    totals = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n"))
+    totals = materialise(totals.withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "counts")
+    held, wanted = 0, F.lit(False)
+    for r in totals.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 8 rows a doubling
+        share = min(1.0, (FREQUENT - held) / r["count"])
+        inside = F.col("step") == r["step"]
+        wanted = wanted | (inside if share == 1 else inside & (F.pmod(F.xxhash64("a"), F.lit(1 << 20)) < int(share * (1 << 20))))
+        held += r["count"]
+        if held >= FREQUENT:
             break
-        held, least = held + r["count"], r["n"]
-    got = totals.where(F.col("n") >= least).toPandas() if held else pd.DataFrame({"a": [], "n": []})
+    got = totals.where(wanted).select("a", "n").toPandas()
     keys = got["a"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     return keys[order], got["n"].to_numpy(np.int64)[order]

@@ -129,6 +129,59 @@ def test_prefix_choice_is_complete():
         assert len(pre[0][0] & pre[1][0]) >= min(pre[0][1], pre[1][1])
 
 
+def test_index_prefixes_are_complete():
+    """Two sets over the threshold share the smaller l within the smaller one's index prefix and the other's prefix."""
+    rng = np.random.default_rng(8)
+    for _ in range(600):
+        x = np.arange(int(rng.integers(1, 60)))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.08], rng.integers(100, 140, int(rng.integers(0, 5)))]))
+        if not len(y) or 100 * len(np.intersect1d(x, y)) < 85 * len(np.union1d(x, y)):
+            continue
+        order, found = rng.permutation(140), []
+        for s in (x, y):
+            s, n = s[np.argsort(order[s])], len(s)
+            size, ell = jaccard.choose(rng.integers(0, 50, n), n, -(-85 * n // 100))
+            found.append((n, s[:size], s[: n - -(-170 * n // 185) + ell], ell))
+        (_, _, own, a), (_, pre, _, b) = sorted(found, key=lambda f: f[0])
+        assert len(np.intersect1d(own, pre)) >= min(a, b)
+
+
+def written_rows(monkeypatch, *names):
+    """Rows of the tables of these names, as the join writes them."""
+    rows, before = {}, jaccard.materialise
+
+    def count(df, name):
+        out = before(df, name)
+        if name in names:
+            rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", count)
+    return rows
+
+
+def test_pages_of_a_template_do_not_meet(spark, monkeypatch):
+    """22 words in common and 3 of each page's own: Jaccard 0.76 for all pairs, so no link, and what meets does not grow with the square."""
+    rows = written_rows(monkeypatch, "block-members", "block-candidates", "prefixes")
+    common = " ".join(f"c{i}" for i in range(22))
+    for m in (700, 1400):
+        docs = [(i, f"{common} a{i} b{i} c{i}") for i in range(m)]
+        got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+        assert got.where("doc_id <> component_id").count() == 0
+        assert rows["block-members"] == rows["block-candidates"] == 0 and rows["prefixes"] == 0
+
+
+def test_more_frequent_shingles_than_are_held(spark, monkeypatch):
+    """Beyond the bound the most frequent ones are held, not none."""
+    monkeypatch.setattr(jaccard, "FREQUENT", 3)
+    scan = spark.createDataFrame([(1, i, n) for i, n in enumerate([20_000, 20_000, 20_100, 20_050, 20_001, 7, 3])], "kind int, a long, b long")
+    keys, counts = jaccard.frequent(scan)
+    assert 1 <= len(keys) <= 5 and (counts >= 20_000).all() and (np.sort(keys) == keys).all()
+    monkeypatch.setattr(jaccard, "FREQUENT", 6)
+    assert sorted(jaccard.frequent(scan)[1].tolist())[0] in (3, 7) and len(jaccard.frequent(scan)[0]) >= 5
+    assert len(jaccard.frequent(scan.where("false"))[0]) == 0
+
+
 def shingles5(text):
     import re
 
