@@ -42,7 +42,7 @@ HIDDEN = frozenset("noscript template svg select option button object canvas".sp
 #: An element that the start of a key's element closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: How training pages place their article and its surroundings.
-LAYOUTS = ("article", "main", "div", "table", "nested", "sections")
+LAYOUTS = ("article", "main", "div", "table", "nested", "sections", "blog", "plain", "bare")
 #: Deeper elements are borne but not named in paths.
 DEEPEST = 512
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -286,8 +286,8 @@ def _hash(word: str) -> int:
 
 
 def path_features(path: tuple[str, ...]) -> list[int]:
-    """Ancestors' tags and attribute words, and the two elements nearest the text."""
-    found = {"path:" + w for p in path for w in p.split(" ")}
+    """Ancestors' tags and attribute words, and the two elements nearest the text; text outside of all elements is marked."""
+    found = {"path:" + w for p in path for w in p.split(" ")} or {"outside"}
     found |= {"leaf:" + w for p in path[-1:] for w in p.split(" ")}
     found |= {"up:" + w for p in path[-2:-1] for w in p.split(" ")}
     return sorted({_hash(f) for f in found})
@@ -318,7 +318,7 @@ class BlockModel:
         self._texts: dict[tuple, np.ndarray] = {}
 
     @classmethod
-    def fit(cls, pages: int = 600, seed: int = 17, layouts: tuple = LAYOUTS) -> BlockModel:
+    def fit(cls, pages: int = 1000, seed: int = 17, layouts: tuple = LAYOUTS) -> BlockModel:
         features, owners, labels = [], [], []
         for html, marks in training_pages(pages, seed, layouts):
             blocks = blocks_of(html)
@@ -435,18 +435,33 @@ def training_pages(pages: int, seed: int, layouts: tuple = LAYOUTS) -> Iterator[
             return f"<form{attribute('form', 0.5)}><p>{prose(2, 12)}</p><input name=q><button>{prose(1, 2, False)}</button></form>", 1
         if kind == "share":
             return f"<div{attribute('share', 1)}>" + prose(1, 6, False) + "</div>", 1
-        n = int(rng.integers(1, 5))
+        n, title = int(rng.integers(1, 5)), pick(["h2", "h3", "h3", "h4"])
+        if rng.random() < 0.4:  # a list of remarks, some with answers inside
+            items, count = "", 0
+            for _ in range(n):
+                by = f"<div{attribute('comments', 0.5)}>{prose(1, 5, False)}</div>" if rng.random() < 0.4 else ""
+                below = f"<ul{attribute('comments', 0.4)}><li><p>{prose(2, 30)}</p></li></ul>" if rng.random() < 0.25 else ""
+                items += f"<li{attribute('comments', 0.5)}>{by}<p>{prose(1, 60)}</p>{below}</li>"
+                count += 1 + bool(by) + bool(below)
+            kind = pick(["ol", "ul"])
+            outer = pick(["div", "div", "section"])
+            return f"<{outer}{attribute('comments', 1)}><{title}>{prose(1, 5, False)}</{title}><{kind}{attribute('comments', 0.5)}>{items}</{kind}></{outer}>", count + 1
         inner = "".join(f'<div class="{pick(["comment", "reply", "comment-body"])}"><p>{prose(3, 60)}</p></div>' for _ in range(n))
         tag = pick(["section", "div", "ol"])
-        return f"<{tag}{attribute('comments', 1)}><h3>{prose(1, 4, False)}</h3>{inner}</{tag}>", n + 1
+        return f"<{tag}{attribute('comments', 1)}><{title}>{prose(1, 4, False)}</{title}>{inner}</{tag}>", n + 1
 
     def article():
         """Main text, some of it interrupted by other parts."""
         html, marks = [], []
         if rng.random() < 0.9:
-            html.append(f"<h1>{prose(2, 14, False)}</h1>")
+            title = f"<h1>{prose(2, 14, False)}</h1>"
+            html.append(title if rng.random() < 0.85 else f"<header{attribute('main', 0.8)}>{title}</header>")
             marks.append(1)
+        inside = rng.random() < 0.25  # its paragraphs are in sections of their own
+        html.append("<section>" * inside)
         for _ in range(int(rng.integers(1, 14))):
+            if inside and rng.random() < 0.2:
+                html.append(f"</section><section{attribute('main', 0.2)}>")
             what = rng.random()
             if what < 0.62:
                 html.append(f"<p>{prose(1, 90)}" + pick(["</p>", "</p>", "</p>", ""]))
@@ -473,12 +488,21 @@ def training_pages(pages: int, seed: int, layouts: tuple = LAYOUTS) -> Iterator[
                 marks += [0] * n
                 html.append(f"<p>{prose(1, 30)}</p>")
                 marks.append(1)
+        html.append("</section>" * inside)
+        if rng.random() < 0.2:
+            html.append(f"<footer{attribute('share', 0.6)}>{prose(1, 8, False)}</footer>")
+            marks.append(0)
         if rng.random() < 0.25:
             inner, n = part("comments")
             html.append(inner)
             marks += [0] * n
         return "".join(html), marks
 
+    def text():
+        """Main text without elements of its own, in lines."""
+        n = int(rng.integers(1, 6))
+        return "<br>".join(prose(1, 90) for _ in range(n)), [1] * n
+
     def others(kinds):
         html, marks = [], []
         for kind, often in kinds:
@@ -489,12 +513,25 @@ def training_pages(pages: int, seed: int, layouts: tuple = LAYOUTS) -> Iterator[
         return "".join(html), marks
 
     for _ in range(pages):
+        layout = pick(layouts)
+        if layout in ("plain", "bare"):  # no element says what is what
+            body, marks = article() if layout == "plain" else text()
+            if rng.random() < 0.3:
+                inner, n = part("footer")
+                body, marks = body + inner, marks + [0] * n
+            if rng.random() < 0.3:
+                inner, n = part("nav")
+                body, marks = inner + body, [0] * n + marks
+            head = pick(["", f"<html><head><title>{prose(2, 9, False)}</title></head>", "<!DOCTYPE html>"])
+            yield (head + "<body>" + body + pick(["</body></html>", ""]) if layout == "plain" or rng.random() < 0.5 else body), marks
+            continue
         before, marks = others((("notice", 0.3), ("header", 0.4), ("nav", 0.8), ("form", 0.2), ("ad", 0.5), ("aside", 0.2)))
         inner, own = article()
         after, rest = others((("share", 0.3), ("comments", 0.4), ("aside", 0.4), ("ad", 0.3), ("form", 0.2), ("footer", 0.9), ("notice", 0.2)))
         marks = marks + own + rest
-        layout = pick(layouts)
-        if layout == "article":
+        if layout == "blog":
+            body = f'<div id="page">{before}<main id="primary"><article class="post hentry {pick(["", "type-post", "status-publish"])}"><div class="entry-content">{inner}</div></article></main>{after}</div>'
+        elif layout == "article":
             body = f"{before}<article{attribute('main', 0.3)}>{inner}</article>{after}"
         elif layout == "main":
             body = f"{before}<main{attribute('main', 0.3)}><div{attribute('main', 0.7)}>{inner}</div></main>{after}"

@@ -84,14 +84,33 @@ def test_query_equals_the_articles_of_the_known_layout(spark, sf_dir):
 
 def test_layouts_that_training_left_out():
     """Blocks of a layout that no training page had."""
-    for out in ("article", "table", "nested"):
-        model = html.BlockModel.fit(pages=250, layouts=tuple(k for k in html.LAYOUTS if k != out))
+    for out in html.LAYOUTS:
+        model = html.BlockModel.fit(pages=350, layouts=tuple(k for k in html.LAYOUTS if k != out))
         hit = said = real = 0
-        for page, marks in html.training_pages(60, 77, (out,)):
+        for page, marks in html.training_pages(80, 77, (out,)):
             blocks = html.blocks_of(page)
             labels = html.crf.viterbi(model.scores(blocks), model.transitions)
             hit, said, real = hit + int((labels & np.array(marks)).sum()), said + int(labels.sum()), real + sum(marks)
-        assert 2 * hit / (said + real) > 0.9, out
+        # text outside of all elements is unlike anything in the other layouts
+        assert 2 * hit / (said + real) > (0.7 if out == "bare" else 0.9), out
+
+
+PAGES = {
+    "<html><body><h1>Big title</h1><p>One two three four.</p><p>Second one, here.</p><p>Last of it all.</p></body></html>": "Big title One two three four. Second one, here. Last of it all.",
+    "<html><body><h1>T</h1>" + "".join(f"<p>Paragraph {i} has some words.</p>" for i in range(5)) + "</body></html>": "T " + " ".join(f"Paragraph {i} has some words." for i in range(5)),
+    "Just plain text": "Just plain text",
+    "Some longer text, with a stop.<br>And a second line of it.": "Some longer text, with a stop. And a second line of it.",
+    """<html><body class="single"><div id="page"><header id="masthead"><p>My site</p><nav class="main-navigation"><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul></nav></header>
+    <main id="primary"><article class="hentry post"><header class="entry-header"><h1>Rivers of the north</h1></header><div class="entry-content"><p>The first paragraph, about rivers.</p><p>The second one goes on.</p></div>
+    <footer class="entry-footer">Tagged rivers</footer></article><div id="comments"><h2>2 thoughts</h2><ol><li><p>Nice post.</p></li><li><p>I agree.</p></li></ol></div></main>
+    <aside id="secondary"><h3>Recent</h3><ul><li><a href=/>x</a></li></ul></aside><footer id="colophon">Powered by x</footer></div></body></html>""": "Rivers of the north The first paragraph, about rivers. The second one goes on.",
+    "<body><div id=wrapper><nav><ul><li><a href=/>a</a><li><a href=/>b</a></ul></nav><section><h1>Title</h1><p>Some words here, ok.</p><p>Others there.</p></section><footer>&copy; us</footer></div></body>": "Title Some words here, ok. Others there.",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_pages_of_other_shapes(model, page):
+    assert model.main_text(page) == PAGES[page]
 
 
 def test_training_labels_match_blocks_and_model_finds_main_text(model):
