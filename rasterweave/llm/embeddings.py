@@ -21,6 +21,8 @@ from .common import connected_components, materialise, prepare, sized_join
 
 #: Rows of a block: a list's members and its probing queries meet in blocks.
 BLOCK = 2048
+#: Share of planted partners at the threshold that the probes have to find.
+PLANTED = 0.995
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -107,13 +109,16 @@ def local_forest(q: np.ndarray, b: np.ndarray, linked: np.ndarray) -> list[tuple
 def enough_probes(distinct: DataFrame, normal, sent, asked: np.ndarray, ids: np.ndarray, threshold: float, probes: int, recall: float) -> int:
     """The fewest probes, ``probes`` at least, that find the share ``recall`` of the
     links that the vectors ``asked`` have in the whole table, over all these links and in
-    the mean over these vectors. Without such links it is ``probes``."""
+    the mean over these vectors, and the share PLANTED of partners planted for them at just ``threshold``, so that
+    there always is a figure and one for the links that are hardest to find."""
     lists = len(sent.value.centres)
     steps = [min(probes, lists)]
     while steps[-1] < lists:
         steps.append(min(lists, steps[-1] + max(1, steps[-1] // 3)))
     if len(steps) == 1:
         return steps[0]
+    reached = planted_steps(asked, sent.value.centres, threshold, steps)
+    first = int(np.argmax(reached >= min(PLANTED, reached[-1])))
     queries = distinct.sparkSession.sparkContext.broadcast((asked, ids))
 
     def step_of(d, of):
@@ -150,9 +155,32 @@ def enough_probes(distinct: DataFrame, normal, sent, asked: np.ndarray, ids: np.
         links[r["at"], r["step"]] = r["n"]
     links = links[links.sum(1) > 0]
     if not len(links):
-        return steps[0]
+        return steps[first]
     share = np.minimum(links.sum(0).cumsum() / links.sum(), (links.cumsum(1) / links.sum(1, keepdims=True)).mean(0))
-    return steps[int(np.argmax(share >= min(recall, share[-1])))]
+    return steps[max(first, int(np.argmax(share >= min(recall, share[-1]))))]
+
+
+def planted_steps(asked: np.ndarray, centres: np.ndarray, threshold: float, steps: list[int], seed: int = 29) -> np.ndarray:
+    """For each number of probes the share of found pairs, of vectors and partners turned away from
+    them in a random direction until their cosine is ``threshold``. Found is a pair if either probes the other's list."""
+    turn = np.random.default_rng(seed).normal(size=asked.shape)
+    turn -= (turn * asked).sum(1, keepdims=True) * asked
+    norm = np.sqrt((turn**2).sum(1, keepdims=True))
+    some = norm[:, 0] > 1e-9  # vectors of one dimension have no other direction
+    if not some.any():
+        return np.ones(len(steps))
+    x = asked[some]
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * turn[some] / norm[some]
+    ranks = []
+    for a, b in ((x, y), (y, x)):  # how many lists are nearer to a than b's own
+        own = nearest(b, centres)
+        rank = []
+        for at in range(0, len(a), 1024):
+            d = (centres**2).sum(1)[None] - 2 * a[at : at + 1024] @ centres.T
+            rank.append((d < np.take_along_axis(d, own[at : at + 1024, None], 1)).sum(1))
+        ranks.append(np.concatenate(rank))
+    best = np.minimum(*ranks)
+    return np.array([(best < k).mean() for k in steps])
 
 
 def as_bytes(rows) -> list[bytes]:
