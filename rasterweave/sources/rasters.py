@@ -52,18 +52,23 @@ def mosaic64(spark, sf_dir: str) -> DataFrame:
     return p.select("frame_id", y.alias("y"), x.alias("x"), fixed_scale(F.col("e")).alias("v"))
 
 
+#: Events without a time are counted in runs of this many ids.
+UNTIMED = 4096
+
+
 def frame_clock(spark, sf_dir: str) -> DataFrame:
     """(i, event_id, ts, value): events numbered in time order from 0.
 
     Ranks are counted within each minute and added to the minutes before, so no task holds
-    all events; events without a time come last.
+    all events; events without a time come last, by their ids, and are counted by runs of ids.
     """
     e = table(spark, sf_dir, "events").select("event_id", "ts", "value").withColumn("minute", F.date_trunc("minute", "ts"))
-    minutes = e.groupBy("minute").count()
-    before = Window.orderBy(F.asc_nulls_last("minute")).rowsBetween(Window.unboundedPreceding, -1)  # one row a minute
-    before = minutes.select(F.col("minute").alias("_minute"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("minute").orderBy(F.asc_nulls_last("ts"), "event_id"))
-    joined = e.withColumn("rank", rank).join(before, F.col("minute").eqNullSafe(F.col("_minute")))
+    e = e.withColumn("run", F.when(F.col("ts").isNull(), F.expr(f"event_id div {UNTIMED}")).otherwise(0))
+    minutes = e.groupBy("minute", "run").count()
+    before = Window.orderBy(F.asc_nulls_last("minute"), "run").rowsBetween(Window.unboundedPreceding, -1)  # one row a minute or run
+    before = minutes.select(F.col("minute").alias("_minute"), F.col("run").alias("_run"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("minute", "run").orderBy(F.asc_nulls_last("ts"), "event_id"))
+    joined = e.withColumn("rank", rank).join(before, F.col("minute").eqNullSafe(F.col("_minute")) & F.col("run").eqNullSafe(F.col("_run")))
     return joined.select((F.col("base") + F.col("rank") - 1).alias("i"), "event_id", "ts", "value")
 
 

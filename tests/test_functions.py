@@ -131,9 +131,13 @@ def test_repeated_frames_do_not_complete_a_chunk(spark):
     assert got == sorted(map(tuple, chunks.completed(df).collect())) == [(0, 1, 1)]
 
 
-def test_clock_keeps_events_without_a_time(spark, tmp_path):
+@pytest.mark.parametrize("run", [4096, 16])
+def test_clock_keeps_events_without_a_time(spark, tmp_path, monkeypatch, run):
+    from rasterweave.sources import rasters
     from rasterweave.sources.rasters import frame_clock
 
+    monkeypatch.setattr(rasters, "UNTIMED", run)
+
     rows = [(i, None if i % 10 == 0 else f"2024-01-0{1 + i % 3} 00:00:{i:02d}", float(i)) for i in range(50)]
     df = spark.createDataFrame(rows, "event_id long, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
     df.write.parquet(f"file://{tmp_path}/events.parquet")
