@@ -157,7 +157,8 @@ def write_token_files(docs: DataFrame, folder: str, doc_id: str = "doc_id", text
     prepare(docs.sparkSession)
     make_folder(docs.sparkSession, folder)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    d = d.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id, or of none, are dealt by how their texts begin
+    d = d.withColumn("_begin", F.left("text", F.lit(64))).repartitionByRange("doc_id", "_begin").sortWithinPartitions("doc_id", "text").drop("_begin")
     return materialise(d.mapInPandas(_writer(folder, end_id, tokenizer, file_tokens), "file string, n_docs long, n_tokens long"), "manifest")
 
 

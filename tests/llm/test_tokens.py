@@ -80,6 +80,25 @@ def test_token_files_round_trip(spark):
     assert got == want
 
 
+def test_rows_of_one_id_are_dealt_to_several_tasks(spark):
+    """A third of all rows has no id, another third one id: neither is one task, and the order holds."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{(i * 7919) % 1009} text {i} " + "w " * (i % 50)) for i in range(900)]
+    folder = scratch(spark, "hot-ids")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = dac.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), folder)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert manifest.count() >= 4 and max(r.n_docs for r in manifest.collect()) < 400
+    got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in dac.read_token_files(spark, folder, manifest).orderBy("start").collect()]
+    at = 0
+    for (doc_id, text), row in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode())), got, strict=True):
+        ids = plain(text) + b"\0\0\0\0"
+        assert row == (doc_id, at, len(ids) // 4, zlib.crc32(ids))
+        at += len(ids) // 4
+
+
 def test_empty_token_files(spark):
     folder = scratch(spark, "test-tokens")
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").where("false")
