@@ -60,6 +60,10 @@ def cuts(buf: np.ndarray, odd: np.ndarray | None) -> np.ndarray:
     return out
 
 
+#: Characters encoded at a time.
+ENCODED = 250_000
+
+
 class TextEncoder:
     """Whole texts -> ids, with the tokenizers library.
 
@@ -70,7 +74,7 @@ class TextEncoder:
     with an added token's string go to the library whole.
     """
 
-    def __init__(self, path: str | None = None, slots: int = 1 << 21):
+    def __init__(self, path: str | None = None, slots: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -202,9 +206,9 @@ class TextEncoder:
         return self.encode_all([text], 0)[0][:-1].tobytes()
 
     def batches(self, texts, end_id: int):
-        """``encode_all`` of about a million characters at a time: (first text, ids, lengths)."""
+        """``encode_all`` of about ENCODED characters at a time: (first text, ids, lengths)."""
         at = 0
-        for some in slices(texts):
+        for some in slices(texts, ENCODED):
             yield at, *self.encode_all(some, end_id)
             at += len(some)
 
