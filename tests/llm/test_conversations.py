@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import pytest
 
 from rasterweave.llm import conversations as conv
@@ -134,6 +135,23 @@ def test_repair_equals_brute_force(spark, parts, most_rows, most_chars):
     assert any(w[6] == "" for w in want.values())
 
 
+def test_query_equals_sql_and_brute_force(spark, sf_dir):
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    want = expected(con.sql("select conv_id, turn, role, text from conversations").fetchall())
+    got = conv.op11_conversation_repair(spark, sf_dir)
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+    assert {r[0]: r[1:] for r in con.sql(conv.OP11_SQL).fetchall()} == want and con.sql(conv.OP11_SQL).columns == got.columns
+
+
+def test_sql_equals_brute_force_on_odd_rows(tmp_path):
+    rows = [r for r in some_turns() if r[0] != 7]  # all but the long one
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert {r[0]: r[1:] for r in con.sql(conv.OP11_SQL).fetchall()} == expected(rows)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert conv.repair(conv.damaged(df)).count() == 0
