@@ -217,11 +217,10 @@ def ordered_concat(spark, sf_dir):
        f"FROM routed LEFT JOIN a ON TRUE WHERE i / {FPS}::DOUBLE < coalesce(audio_s, i + 1)")
 def final_manifest(spark, sf_dir):
     """One ordered manifest of all segments' chunks' frames; with audio, the shorter of the two ends it."""
-    audio = table(spark, sf_dir, "lineitem").agg((F.avg("l_quantity").cast("double") * 10).alias("audio_s")).first().audio_s
-    r = _routed(spark, sf_dir)
-    if audio is not None:
-        r = r.where(F.col("i") / F.lit(FPS) < F.lit(audio))
-    return r.select(F.col("i").alias("place"), sch.chunk_path(F.col("seg"), F.col("chunk"), F.col("within")).alias("path"), F.lit(audio is not None).alias("has_audio"))
+    audio = table(spark, sf_dir, "lineitem").agg((F.avg("l_quantity").cast("double") * 10).alias("audio_s")).withColumn("_all", F.lit(1))
+    r = _routed(spark, sf_dir).withColumn("_all", F.lit(1)).join(F.broadcast(audio), "_all", "left")  # one row
+    r = r.where(F.col("i") / F.lit(FPS) < F.coalesce("audio_s", F.col("i") + 1))
+    return r.select(F.col("i").alias("place"), sch.chunk_path(F.col("seg"), F.col("chunk"), F.col("within")).alias("path"), F.col("audio_s").isNotNull().alias("has_audio"))
 
 
 @query(f"""WITH {CLOCK}, s AS (SELECT user_id, event_id, ts, value FROM events), probe AS (SELECT user_id, ts, event_id FROM events WHERE event_id % 10 = 0)
