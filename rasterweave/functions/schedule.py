@@ -18,6 +18,19 @@ def preview_time(duration) -> Column:
     return F.least(F.greatest(duration * 0.2, F.lit(0.0)), F.greatest(F.lit(0.0), duration - 0.05))
 
 
+def epoch_micros(df, c: str) -> Column:
+    """Microseconds since 1970 of a time column, whatever the session's time zone."""
+    if dict(df.dtypes)[c] == "timestamp_ntz":
+        since = F.expr(f"cast({c} - timestamp_ntz'1970-01-01 00:00:00' as interval second)")
+        return (since.cast("decimal(24,6)") * 1_000_000).cast("long")
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def nearest_millis(micros: Column) -> Column:
+    """Half a millisecond goes away from zero."""
+    return F.round(micros.cast("decimal(20,0)") / 1000, 0).cast("long")
+
+
 def segment_length(total, segments) -> Column:
     return F.ceil(total / segments).cast("long")
 

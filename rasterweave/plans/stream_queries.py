@@ -343,7 +343,8 @@ def settings_key(spark, sf_dir):
 @query("SELECT event_id, 'job-' || epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS job_id FROM events")
 def job_id(spark, sf_dir):
     """A job is named after the millisecond it starts in."""
-    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("job-"), F.unix_millis(F.col("ts").cast("timestamp")).cast("string")).alias("job_id"))
+    e = table(spark, sf_dir, "events")
+    return e.withColumn("us", sch.epoch_micros(e, "ts")).select("event_id", F.concat(F.lit("job-"), F.expr("us div 1000").cast("string")).alias("job_id"))
 
 
 CHUNKS = (
@@ -422,8 +423,11 @@ def seek_plan(spark, sf_dir):
 
 @query("SELECT user_id, CAST(floor((max(epoch_ms(ts)) - min(epoch_ms(ts))) / 1000 + 0.5) AS BIGINT) AS elapsed_s FROM events GROUP BY user_id")
 def elapsed_seconds(spark, sf_dir):
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.floor((F.max(ms) - F.min(ms)) / 1000 + 0.5).cast("long").alias("elapsed_s"))
+    """Between a user's first and last event, each to the nearest millisecond."""
+    e = table(spark, sf_dir, "events")
+    us = sch.epoch_micros(e, "ts")
+    ms = sch.nearest_millis(F.max(us)) - sch.nearest_millis(F.min(us))
+    return e.groupBy("user_id").agg(F.floor(ms / 1000 + 0.5).cast("long").alias("elapsed_s"))
 
 
 SITE = "regexp_extract(url, '://([^/?#]*)', 1)"
