@@ -32,6 +32,18 @@ def share(side: str, d: int) -> str:
     return f"_r{side}" if d else f"(2 * _t{side} - _r{side})"
 
 
+def mapped(rows: DataFrame, c: str) -> DataFrame:
+    """Adds _to, what the map of a row's tile (ty, tx) makes of ``c``; n is how many pixels a row counts, 0 if it only asks."""
+    tile = Window.partitionBy("frame_id", "ty", "tx")
+    level = Window.partitionBy("frame_id", "ty", "tx", c)
+    rows = rows.withColumn("_area", F.sum("n").over(tile)).withColumn("_here", F.sum("n").over(level))
+    rows = rows.withColumn("_first", (F.row_number().over(level.orderBy(F.desc("n"))) == 1).cast("int"))
+    rows = rows.withColumn("_most", F.greatest(F.lit(1), F.floor(F.col("_area") * F.col("_clip") / 256)))
+    rows = rows.withColumn("_cut", F.sum(F.col("_first") * F.greatest(F.lit(0), F.col("_here") - F.col("_most"))).over(tile))
+    rows = rows.withColumn("_run", F.sum(F.col("_first") * F.least("_here", "_most")).over(tile.orderBy(c)))
+    return rows.withColumn("_to", F.expr(f"(2 * (_run + ({c} + 1) * (_cut div 256) + least({c} + 1, _cut % 256)) * 255 + _area) div (2 * _area)"))
+
+
 def clahe(px: DataFrame, clip: Column | float, grid: int = 8, c: str = "v") -> DataFrame:
     """``px`` with plane ``c`` equalised; ``clip`` is a number or a column, one value a frame."""
     others = [o for o in px.columns if o not in ("frame_id", "y", "x", c)]
@@ -43,15 +55,8 @@ def clahe(px: DataFrame, clip: Column | float, grid: int = 8, c: str = "v") -> D
     corners = [F.struct(place("y", dy), place("x", dx), F.expr(f"cast({share('y', dy)} * {share('x', dx)} as long)").alias("w"), F.lit(0).alias("n")) for dy in (0, 1) for dx in (0, 1)]
     rows = p.select("*", F.inline(F.array(own, *corners)))
 
-    tile = Window.partitionBy("frame_id", "ty", "tx")
-    level = Window.partitionBy("frame_id", "ty", "tx", c)
-    rows = rows.withColumn("_area", F.sum("n").over(tile)).withColumn("_here", F.sum("n").over(level))
-    rows = rows.withColumn("_first", (F.row_number().over(level.orderBy(F.desc("n"))) == 1).cast("int"))
-    rows = rows.withColumn("_most", F.greatest(F.lit(1), F.floor(F.col("_area") * F.col("_clip") / 256)))
-    rows = rows.withColumn("_cut", F.sum(F.col("_first") * F.greatest(F.lit(0), F.col("_here") - F.col("_most"))).over(tile))
-    rows = rows.withColumn("_run", F.sum(F.col("_first") * F.least("_here", "_most")).over(tile.orderBy(c)))
-    to = F.expr(f"(2 * (_run + ({c} + 1) * (_cut div 256) + least({c} + 1, _cut % 256)) * 255 + _area) div (2 * _area)")
-    rows = rows.withColumn("_to", F.col("w") * to)
+    rows = mapped(rows, c)
+    rows = rows.withColumn("_to", F.col("w") * F.col("_to"))
     out = rows.groupBy("frame_id", "y", "x").agg(F.sum("_to").alias("_s"), F.first(F.col("_ty").cast("long") * F.col("_tx") * 4).alias("_whole"), *[F.first(o).alias(o) for o in others])
     return out.select("frame_id", "y", "x", *others, F.expr("cast((2 * _s + _whole) div (2 * _whole) as int)").alias(c))
 
@@ -59,26 +64,19 @@ def clahe(px: DataFrame, clip: Column | float, grid: int = 8, c: str = "v") -> D
 def by_cells(px: DataFrame, clip: Column | float, grid: int = 8, c: str = "v") -> DataFrame:
     """As ``clahe``, for frames that lie in many tasks; ``px`` has their sides as _h and _w.
 
-    Histograms are counts by frame, tile and value, at most grid^2 * 256 rows a frame, and each tile's map is one
-    array. Pixels between the same four tile centres are a cell; they join its four maps by one key."""
+    Pixels between the same four tile centres are a cell. What is counted and asked for is a cell's values, not its pixels: at most
+    256 rows from each quarter of a cell, however large the frame, and no more rows than pixels, however small.
+    Pixels join their cell's value by one key."""
     others = [o for o in px.columns if o not in ("frame_id", "y", "x", c, "_h", "_w")]
     p = placed(px.withColumn("_clip", clip if isinstance(clip, Column) else F.lit(float(clip))), grid)
-    tile = [F.expr(f"cast({side} div _t{side} as int)").alias(f"t{side}") for side in "yx"]
-    counts = p.groupBy("frame_id", *tile, c).agg(F.count("*").alias("n"), *[F.first(k).alias(k) for k in ("_clip", "_uy", "_ux")])
-    maps = counts.groupBy("frame_id", "ty", "tx").agg(
-        F.sum("n").alias("area"), *[F.first(k).alias(k) for k in ("_clip", "_uy", "_ux")], F.map_from_entries(F.collect_list(F.struct(c, "n"))).alias("h")
-    )
-    maps = maps.withColumn("most", F.greatest(F.lit(1), F.floor(F.col("area") * F.col("_clip") / 256)).cast("long"))
-    maps = maps.withColumn("n", F.expr("transform(sequence(0, 255), i -> coalesce(h[i], 0L))"))
-    maps = maps.withColumn("cut", F.expr("aggregate(n, 0L, (s, k) -> s + greatest(0L, k - most))")).withColumn("kept", F.expr("transform(n, k -> least(k, most))"))
-    run = "aggregate(slice(kept, 1, i + 1), 0L, (s, k) -> s + k) + (i + 1) * (cut div 256) + least(i + 1, cut % 256)"
-    maps = maps.withColumn("map", F.expr(f"transform(sequence(0, 255), i -> (2 * ({run}) * 255 + area) div (2 * area))"))
-    # a tile is the near one of its own cell and the far one of the cell before; at the edges cells have it twice
-    cells = lambda t, u: F.filter(F.array(*[F.when(ok, F.struct(at.alias("at"), F.lit(d).alias("d"))) for ok, at, d in ((F.lit(True), F.col(t), 0), (F.lit(True), F.col(t) - 1, 1), (F.col(t) == 0, F.col(t) - 1, 0), (F.col(t) == F.col(u), F.col(t), 1))]), lambda k: k.isNotNull())
-    maps = maps.select("frame_id", "map", F.explode(cells("ty", "_uy")).alias("a"), cells("tx", "_ux").alias("b")).select("frame_id", "map", "a", F.explode("b").alias("b"))
+    own = [F.expr(f"cast({side} div _t{side} as int)").alias(f"_o{side}") for side in "yx"]
+    values = p.groupBy("frame_id", "_gy", "_gx", *own, c).agg(F.count("*").alias("_n"), *[F.first(k).alias(k) for k in ("_clip", "_uy", "_ux")])
+    place = lambda side, d: F.expr(f"greatest(0, least(_u{side}, _g{side} + {d}))").alias(f"t{side}")
     corners = [(dy, dx) for dy in (0, 1) for dx in (0, 1)]
-    four = [F.max(F.when((F.col("a.d") == dy) & (F.col("b.d") == dx), F.col("map"))).alias(f"_m{dy}{dx}") for dy, dx in corners]
-    maps = maps.groupBy("frame_id", F.col("a.at").alias("_gy"), F.col("b.at").alias("_gx")).agg(*four)
-    total = " + ".join(f"cast({share('y', dy)} * {share('x', dx)} as long) * element_at(_m{dy}{dx}, {c} + 1)" for dy, dx in corners)
-    out = p.join(maps, ["frame_id", "_gy", "_gx"]).withColumn("_s", F.expr(total)).withColumn("_whole", F.expr("cast(_ty as long) * _tx * 4"))
+    counts = F.struct(F.col("_oy").alias("ty"), F.col("_ox").alias("tx"), F.col("_n").alias("n"), F.lit(-1).alias("_at"))
+    asks = [F.struct(place("y", dy), place("x", dx), F.lit(0).cast("long").alias("n"), F.lit(2 * dy + dx).alias("_at")) for dy, dx in corners]
+    rows = mapped(values.select("frame_id", "_gy", "_gx", c, "_clip", F.inline(F.array(counts, *asks))), c).where("_at >= 0")
+    maps = rows.groupBy("frame_id", "_gy", "_gx", c).agg(*[F.max(F.when(F.col("_at") == 2 * dy + dx, F.col("_to"))).alias(f"_m{dy}{dx}") for dy, dx in corners])
+    total = " + ".join(f"cast({share('y', dy)} * {share('x', dx)} as long) * _m{dy}{dx}" for dy, dx in corners)
+    out = p.join(maps, ["frame_id", "_gy", "_gx", c]).withColumn("_s", F.expr(total)).withColumn("_whole", F.expr("cast(_ty as long) * _tx * 4"))
     return out.select("frame_id", "y", "x", *others, F.expr("cast((2 * _s + _whole) div (2 * _whole) as int)").alias(c))

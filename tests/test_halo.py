@@ -65,3 +65,16 @@ def test_a_1080p_frame_is_many_tasks(spark):
     whole = frames.line_art(np.repeat(np.where(np.arange(w) % 240 < 120, 220, 40)[None, :, None], 60, 0).repeat(3, 2).astype(np.uint8), s)
     assert set(columns) == set(np.flatnonzero((whole[30] == 0).all(1)).tolist())
     assert out.rdd.getNumPartitions() > 1
+
+
+def test_clahe_by_cells_makes_no_table_of_all_levels(spark):
+    """Small tiles cost what their pixels do, not 256 levels each, let alone the square of that."""
+    rng = np.random.default_rng(4)
+    like = [rng.integers(0, 256, (8, 8)) for _ in range(5)]
+    px = spark.createDataFrame([(k, y, x, int(a[y, x])) for k, a in enumerate(like) for y in range(8) for x in range(8)], "frame_id long, y int, x int, v int")
+    out = tiling.Tiles(4).clahe(px, 4.0)
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = [np.full_like(a, -1) for a in like]
+    for r in out.collect():
+        got[r.frame_id][r.y, r.x] = r.v
+    assert all((frames.clahe(a, 4.0) == b).all() for a, b in zip(like, got))
