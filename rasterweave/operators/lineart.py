@@ -31,14 +31,15 @@ def states(px: DataFrame, source: str, low: int, high: int, out: str) -> DataFra
     return px.withColumn(out, stencil.threshold(F.col("nms"), low * low, high * high)).drop("gx", "gy", "_mag", "_dir", "nms")
 
 
-def line_art(px: DataFrame, s: Settings, tile: int | None = None) -> DataFrame:
+def line_art(px: DataFrame, s: Settings, tile: int | None = None, pixels: int | None = None) -> DataFrame:
     """(frame_id, y, x, r, g, b) -> the same, rendered. Optional stages are chosen when the plan is made.
 
     Without ``tile`` a frame is one task: one exchange on frame_id serves all stages up to the edges, one more follows
     each step of connectivity. With it frames are cut into tiles of that side, with a halo as wide as the radii of
     the stages before the next fact about the whole frame; results are the same. Frames of any sizes may be mixed.
+    With the number of ``pixels``, tasks are as many as keep their size.
     """
-    on = Tiles(tile) if tile else Frames()
+    on = Tiles(tile, pixels) if tile else Frames()
     colour, normal = s.custom and s.color_edges, s.auto_normalize or not s.custom
     d, p = s.derived(), s.preset
     keep = ["frame_id", "y", "x", *(RGB if colour else ())]
@@ -57,7 +58,7 @@ def line_art(px: DataFrame, s: Settings, tile: int | None = None) -> DataFrame:
         return stencil.median(px, medians)
 
     px = px.select("frame_id", "y", "x", *RGB)
-    px = (px if tile else stencil.by_frame(px)).withColumn("raw", point.luma())
+    px = (px if tile else stencil.by_frame(px, pixels)).withColumn("raw", point.luma())
     px = on.local(px, len(sigmas) * (p.diameter // 2) + 2 * blurs + medians, smoothed)
     if normal:
         raw = F.col("raw").cast("long")
@@ -86,10 +87,10 @@ def line_art(px: DataFrame, s: Settings, tile: int | None = None) -> DataFrame:
                 px = point.gamma_lift(px, c, "_mean")
         keep.append("cm")
     px = connect.connect(px.select(*keep, "m"), planes, tile or connect.TILE)
-    px = on.local(px if tile else stencil.by_frame(px), 2, stencil.close)
+    px = on.local(px if tile else stencil.by_frame(px, pixels), 2, stencil.close)
     if s.custom and s.clean_speckles:
         px = connect.connect(px, {"m": connect.without_specks(MIN_AREA[s.clean_intensity])}, tile or connect.TILE)
-        px = px if tile else stencil.by_frame(px)
+        px = px if tile else stencil.by_frame(px, pixels)
     merged = max(1, min(5, s.merge_intensity or 2)) if s.custom and s.merge_double_edge else 0
 
     def drawn(px):

@@ -24,9 +24,16 @@ def columns():
     return Window.partitionBy("frame_id", "x").orderBy("y")
 
 
-def by_frame(px: DataFrame) -> DataFrame:
-    """The one exchange that a chain of stencils needs."""
-    return px.repartition("frame_id")
+#: Pixels of a task. Adaptive planning would join partitions by their compressed bytes, and stages
+#: turn a pixel into many rows, so a task's memory would grow with the table.
+TASK = 65536
+
+
+def by_frame(px: DataFrame, pixels: int | None = None) -> DataFrame:
+    """The one exchange that a chain of stencils needs; with the number of ``pixels``, tasks are as many as keep their size."""
+    if pixels is None:
+        return px.repartition("frame_id")
+    return px.repartition(max(px.sparkSession.sparkContext.defaultParallelism, -(-pixels // TASK)), "frame_id")
 
 
 def shifted(c: str, k: int, w) -> Column:

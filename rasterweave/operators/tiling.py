@@ -7,7 +7,7 @@ up to at most the halo give the same values inside the tile as on the whole fram
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterweave.operators import clahe
+from rasterweave.operators import clahe, stencil
 from rasterweave.sources.session import written
 
 
@@ -58,11 +58,15 @@ class Tiles(Frames):
     """On tiles of ``size`` with a halo as wide as the radii of the stages between two
     facts of the whole frame add up to. Facts are aggregated first and joined to the tiles; what is read for both is written."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, pixels: int | None = None):
+        self.size, self.pixels = size, pixels
 
     def local(self, px: DataFrame, radius: int, stage) -> DataFrame:
-        return whole(stage(cut(px, self.size, radius).repartition("frame_id")), self.size) if radius else stage(px)
+        if not radius:
+            return stage(px)
+        wide = self.size + 2 * radius
+        pixels = None if self.pixels is None else self.pixels * wide**2 // self.size**2
+        return whole(stage(stencil.by_frame(cut(px, self.size, radius), pixels)), self.size)
 
     def facts(self, px: DataFrame, **aggregates) -> DataFrame:
         px = written(px, "stage")

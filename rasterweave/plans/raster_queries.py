@@ -10,7 +10,7 @@ from rasterweave.plans import model
 from rasterweave.functions import text
 from rasterweave.sources import avi, blobs, images, loading
 from rasterweave.sources.session import scratch, written
-from rasterweave.sources.rasters import G8, M64, RGB8, gray8, mosaic64, rgb8, table
+from rasterweave.sources.rasters import G8, M64, RGB8, gray8, mosaic64, pixels, rgb8, table
 from rasterweave.streaming import failures
 
 QUERIES, ORACLES = {}, {}
@@ -90,15 +90,15 @@ def mask(px, level=150):
 
 
 def g8(spark, sf_dir):
-    return stencil.by_frame(gray8(spark, sf_dir))
+    return stencil.by_frame(gray8(spark, sf_dir), pixels(spark, sf_dir))
 
 
 def c8(spark, sf_dir):
-    return stencil.by_frame(rgb8(spark, sf_dir))
+    return stencil.by_frame(rgb8(spark, sf_dir), pixels(spark, sf_dir, 3))
 
 
 def m64(spark, sf_dir):
-    return stencil.by_frame(mosaic64(spark, sf_dir))
+    return stencil.by_frame(mosaic64(spark, sf_dir), pixels(spark, sf_dir))
 
 
 def pick(px, *columns):
@@ -474,9 +474,13 @@ def lineart_sql(s):
     return f"WITH RECURSIVE {', '.join(ctes)} SELECT frame_id, y, x, {', '.join(planes)} {joined}"
 
 
+def _rendered(spark, sf_dir, settings, tile=None):
+    return lineart.line_art(rgb8(spark, sf_dir), settings, tile, pixels(spark, sf_dir, 3))
+
+
 def _art(name, settings):
     def art(spark, sf_dir):
-        return lineart.line_art(rgb8(spark, sf_dir), settings)
+        return _rendered(spark, sf_dir, settings)
 
     art.__name__ = f"lineart_{name}"
     query(lineart_sql(settings))(art)
@@ -491,7 +495,7 @@ _art("plain", model.Settings(preset=model.preset("custom", background=(250, 250,
 @query(lineart_sql(model.Settings(preset=model.preset("blueprint"))))
 def tiled_lineart(spark, sf_dir):
     """A render on tiles of 4 x 4 with halos: statistics and histograms first, lines joined across tiles."""
-    return lineart.line_art(rgb8(spark, sf_dir), model.Settings(preset=model.preset("blueprint")), tile=4)
+    return _rendered(spark, sf_dir, model.Settings(preset=model.preset("blueprint")), 4)
 
 
 def flagship(spark, sf_dir):
@@ -506,13 +510,13 @@ def flagship(spark, sf_dir):
 def tiled_median(spark, sf_dir):
     """A stencil on 16 x 16 tiles with a halo equals the one on whole frames."""
     px = tiling.tiled(mosaic64(spark, sf_dir), 16, 1, 64, 64)
-    return pick(tiling.untiled(stencil.median(stencil.by_frame(px)), 16), "v")
+    return pick(tiling.untiled(stencil.median(stencil.by_frame(px, 2 * pixels(spark, sf_dir))), 16), "v")
 
 
 @query(lineart_sql(model.Settings()))
 def png_sink(spark, sf_dir):
     """Renders written as PNG files, one a frame, and read back with Spark's image source."""
-    art = lineart.line_art(rgb8(spark, sf_dir), model.Settings())
+    art = _rendered(spark, sf_dir, model.Settings())
     folder = scratch(spark, "png-files")
     images.write_png_files(images.frames_of(art), folder)
     read = images.read_images(spark, folder).where("readable")
@@ -523,7 +527,7 @@ def png_sink(spark, sf_dir):
 @query(lineart_sql(model.Settings(preset=model.preset("studio"))))
 def png_source(spark, sf_dir):
     """Renders written by tasks that commit together, and read back by the file source and our own decoder."""
-    art = lineart.line_art(rgb8(spark, sf_dir), model.Settings(preset=model.preset("studio")))
+    art = _rendered(spark, sf_dir, model.Settings(preset=model.preset("studio")))
     folder = scratch(spark, "png-blobs")
     images.write_png_files(images.frames_of(art), folder)
     files = blobs.read_blobs(spark, folder).select(F.regexp_extract("file", r"frame-(\d+)\.png\z", 1).cast("long").alias("frame_id"), "content")

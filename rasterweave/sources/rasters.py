@@ -20,6 +20,11 @@ def _values(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(embedding, e -> cast(e as double))").alias("e"))
 
 
+def pixels(spark, sf_dir: str, vectors: int = 1) -> int:
+    """How many pixels the rasters have at most, where a pixel takes a number of each of ``vectors``; from the files' metadata."""
+    return 64 * table(spark, sf_dir, "embeddings").count() // vectors
+
+
 def fixed_scale(e):
     """-0.6..0.6 to 0..255."""
     return F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e + 0.6) / 1.2 * 255 + 0.5))).cast("int")
