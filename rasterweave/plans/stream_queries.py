@@ -354,10 +354,10 @@ CHUNKS = (
 
 @query(CHUNKS)
 def chunk_sink(spark, sf_dir):
-    """Frames written as a table partitioned by segment and chunk, and read back by partition."""
+    """Frames written as a table partitioned by segment and run of chunks, and read back by partition."""
     path = scratch(spark, "chunk-table")
     rows = _routed(spark, sf_dir).select("seg", "chunk", "within", F.encode(F.col("i").cast("string"), "utf-8").alias("png"))
-    images.write_chunks(rows.repartition("seg", "chunk"), path)
+    images.write_chunks(rows, path)
     back = spark.read.parquet(path)
     return back.groupBy(F.col("seg").cast("long").alias("seg"), F.col("chunk").cast("long").alias("chunk")).agg(F.count("*").alias("frames"), F.min("path").alias("first_path"))
 

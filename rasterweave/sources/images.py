@@ -151,6 +151,12 @@ def rgb_pixels(frames: DataFrame, *keys: str) -> DataFrame:
     return p.select(*keys, F.expr("cast(p div width as int)").alias("y"), F.expr("cast(p % width as int)").alias("x"), byte(1).alias("r"), byte(2).alias("g"), byte(3).alias("b"))
 
 
+#: Chunks to a folder of a chunk table.
+CHUNK_RUN = 256
+
+
 def write_chunks(routed_png: DataFrame, path: str) -> None:
-    """Encoded frames as a table partitioned by segment and chunk."""
-    routed_png.withColumn("path", schedule.chunk_path(F.col("seg"), F.col("chunk"), F.col("within"))).write.partitionBy("seg", "chunk").parquet(path)
+    """Encoded frames as a table partitioned by segment and run of chunks, its files sorted by chunk. A folder a chunk would be one
+    for every 60 frames; a run of ``CHUNK_RUN`` is a folder and a task, and readers of a chunk skip row groups by its number."""
+    named = routed_png.withColumn("path", schedule.chunk_path(F.col("seg"), F.col("chunk"), F.col("within"))).withColumn("run", F.expr(f"chunk div {CHUNK_RUN}"))
+    named.repartition("seg", "run").sortWithinPartitions("seg", "run", "chunk", "within").write.partitionBy("seg", "run").parquet(path)

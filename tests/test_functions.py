@@ -98,6 +98,16 @@ def test_chunk_table_is_partitioned(spark):
     assert back.where("seg = 1 and chunk = 0 and within = 3").first().path == "seg1/c0/frame-00003.png"
 
 
+def test_chunk_table_has_a_folder_for_many_chunks(spark):
+    n = 60 * 600
+    df = schedule.route(spark.range(n).withColumnRenamed("id", "i"), F.lit(n), F.lit(2), F.lit(60)).withColumn("png", F.encode(F.lit("x"), "utf-8"))
+    path = scratch(spark, "chunks")
+    images.write_chunks(df, path)
+    back = spark.read.parquet(path)
+    assert len(back.inputFiles()) == 4  # 300 chunks a segment
+    assert back.groupBy("seg", "chunk").count().where("count = 60").count() == 600
+
+
 def test_observed_progress(spark):
     from rasterweave.streaming import progress
 
