@@ -1,7 +1,7 @@
 """Chunks of a segment in their order, whatever order their frames arrive in.
 
-State is kept by segment: what has arrived of its open chunks, a reorder buffer of complete chunks whose
-turn has not come, and whose turn it is. A chunk leaves when it is complete and all before it have left.
+State is kept by segment: what has arrived of its open chunks, complete ones whose turn has not come among them, and whose
+turn it is. A chunk leaves when it is complete and all before it have left.
 When the watermark passes the segment's end a timer hands on what remains, incomplete chunks too and still in order, and
 clears the segment's state. Input ends with one row of time ``END``, which takes the watermark past all segments.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ OUT = "seg long, place long, chunk long, frames long, complete boolean"
 #: Routed frames with the time of the frame, and of the last frame of its segment.
 ROUTED = "seg long, chunk long, within long, expected long, t timestamp, ends timestamp"
 END = "9000-01-01 00:00:00"
+#: Chunks to an entry of state.
+PAGE = 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,59 +36,79 @@ def in_order(routed: DataFrame) -> DataFrame:
 
 
 class SegmentOrder(StatefulProcessor):
+    """Open chunks are kept in pages of ``PAGE``: one entry of state has the page's marks as rows of bits, and what each chunk
+    expects, so that a batch costs an access a page it touches, and rows are marked by array operations."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.marks = handle.getMapState("marks", "chunk long", "seen binary, expected long")
-        self.waiting = handle.getListState("waiting", "chunk long, frames long")
+        self.marks = handle.getMapState("marks", "page long", "seen binary, expected binary")
         self.turn = handle.getValueState("turn", "chunk long, place long")
 
+    def page(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a page's chunks: their marks, a byte for 8 frames, and how many frames they expect, 0 if none is here."""
+        if not self.marks.containsKey((k,)):
+            return np.zeros((PAGE, 0), np.uint8), np.zeros(PAGE, np.int64)
+        seen, expected = self.marks.getValue((k,))
+        return np.frombuffer(seen, np.uint8).reshape(PAGE, -1).copy(), np.frombuffer(expected, np.int64).copy()
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         (seg,) = key
         chunk, place = self.turn.get() if self.turn.exists() else (0, 0)
-        seen: dict[int, list] = {}
+        pages: dict[int, tuple] = {}
         for batch in rows:
             if not self.turn.exists():
                 self.turn.update((chunk, place))
                 self.handle.registerTimer(int(batch["ends"].max().timestamp() * 1000))
-            for c, own in batch[batch["chunk"] >= chunk].groupby("chunk"):
-                marks = seen.setdefault(int(c), [0, 0])
-                for w in own["within"].unique().tolist():
-                    marks[0] |= 1 << w
-                marks[1] = max(marks[1], int(own["expected"].max()))
-        ready = {c: n for c, n in self.waiting.get()} if self.waiting.exists() else {}
-        before = len(ready)
-        for c, (marks, expected) in seen.items():
-            if c in ready:  # a repeat of a chunk that waits
-                continue
-            if self.marks.containsKey((c,)):
-                old = self.marks.getValue((c,))
-                marks, expected = marks | int.from_bytes(old[0], "little"), max(expected, old[1])
-            if marks.bit_count() >= expected:
-                ready[c] = marks.bit_count()
-                if self.marks.containsKey((c,)):
-                    self.marks.removeKey((c,))
-            else:
-                self.marks.updateValue((c,), (marks.to_bytes(-(-marks.bit_length() // 8), "little"), expected))
-        out = []
-        while chunk in ready:
-            out.append((seg, place, chunk, ready.pop(chunk), True))
-            chunk, place = chunk + 1, place + 1
+            c, within, expected = (batch[n].to_numpy(np.int64) for n in ("chunk", "within", "expected"))
+            here = c >= chunk  # what has left is over
+            c, within, expected = c[here], within[here], expected[here]
+            for k in np.unique(c // PAGE).tolist():
+                own = c // PAGE == k
+                seen, most = pages[k] if k in pages else self.page(k)
+                wide = int(within[own].max()) // 8 + 1
+                if wide > seen.shape[1]:
+                    seen = np.pad(seen, ((0, 0), (0, wide - seen.shape[1])))
+                np.bitwise_or.at(seen, (c[own] % PAGE, within[own] // 8), np.left_shift(1, within[own] % 8).astype(np.uint8))
+                np.maximum.at(most, c[own] % PAGE, expected[own])
+                pages[k] = seen, most
+        out, k = [], chunk // PAGE
+        while True:  # pages that have their turn, as long as they are complete to their end
+            seen, most = pages[k] if k in pages else self.page(k)
+            frames = np.bitwise_count(seen).sum(1, dtype=np.int64)
+            ready = (most > 0) & (frames >= most)
+            end = chunk % PAGE
+            end += int(np.argmin(np.append(ready[end:], False)))
+            own = np.arange(chunk % PAGE, end)
+            if len(own):
+                out.append(pd.DataFrame({"seg": seg, "place": place + np.arange(len(own)), "chunk": k * PAGE + own, "frames": frames[own], "complete": True}))
+                seen[own], most[own] = 0, 0
+                pages[k] = seen, most
+                chunk, place = k * PAGE + end, place + len(own)
+            if end < PAGE:
+                break
+            k += 1
+        for k, (seen, most) in pages.items():
+            if most.any():
+                self.marks.updateValue((k,), (seen.tobytes(), most.tobytes()))
+            elif self.marks.containsKey((k,)):
+                self.marks.removeKey((k,))
         if out:
             self.turn.update((chunk, place))
-        if out or len(ready) != before:
-            self.waiting.put(sorted(ready.items())) if ready else self.waiting.clear()
-        yield self.rows(out)
+        yield from out or [self.rows([])]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The segment is over: what remains leaves in order, and nothing is kept."""
         (seg,) = key
         _, place = self.turn.get() if self.turn.exists() else (0, 0)
-        left = [(c, n, True) for c, n in (self.waiting.get() if self.waiting.exists() else [])]
-        if self.marks.exists():
-            left += [(k[0], int.from_bytes(v[0], "little").bit_count(), False) for k, v in self.marks.iterator()]
-        for state in (self.marks, self.waiting, self.turn):
+        for k in sorted(k for (k,) in self.marks.keys()) if self.marks.exists() else []:
+            seen, most = self.page(k)
+            own = np.flatnonzero(most)
+            frames = np.bitwise_count(seen[own]).sum(1, dtype=np.int64)
+            yield pd.DataFrame({"seg": seg, "place": place + np.arange(len(own)), "chunk": k * PAGE + own, "frames": frames, "complete": frames >= most[own]})
+            place += len(own)
+        for state in (self.marks, self.turn):
             state.clear()
-        yield self.rows([(seg, place + k, *row) for k, row in enumerate(sorted(left))])
+        yield self.rows([])
 
     def close(self) -> None:
         pass

@@ -66,3 +66,59 @@ def test_no_frames(spark):
     segments.end_row(spark).write.parquet(src)
     assert run(spark, src, out)[1] == []
     assert segments.in_order(spark.createDataFrame([], segments.ROUTED)).count() == 0
+
+
+def test_state_is_read_by_pages_of_chunks():
+    """A batch of many open chunks costs an access or two a page, not some a chunk; all of it as the batch form has it."""
+    import pandas as pd
+
+    n = 60 * 3 * segments.PAGE
+    rng = np.random.default_rng(3)
+    i = rng.permutation(np.setdiff1d(np.arange(n), [0, 60 * 7 + 3]))  # the first chunk stays open, so all wait
+    rows = pd.DataFrame({"seg": 0, "chunk": i // 60, "within": i % 60, "expected": 60, "ends": pd.Timestamp(2030, 1, 1)})
+
+    class Map(dict):
+        calls = 0
+
+        def containsKey(self, k):
+            Map.calls += 1
+            return k in self
+
+        def getValue(self, k):
+            Map.calls += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            Map.calls += 1
+            self[k] = v
+
+        removeKey, exists = dict.pop, dict.__len__
+
+    class Value:
+        held = None
+        exists, get = (lambda self: self.held is not None), (lambda self: self.held)
+
+        def update(self, v):
+            self.held = v
+
+        def clear(self):
+            self.held = None
+
+    class Waiting(list):  # what one state a chunk had besides
+        exists, get, put = list.__len__, list.copy, list.extend
+
+    class Handle:
+        getMapState, getValueState, getListState = (lambda self, *a: Map()), (lambda self, *a: Value()), (lambda self, *a: Waiting())
+
+        def registerTimer(self, t):
+            pass
+
+    order = segments.SegmentOrder()
+    order.init(Handle())
+    for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+        got = pd.concat(order.handleInputRows((0,), iter(part[k : k + 10000] for k in range(0, len(part), 10000)), None))
+        assert got.empty
+    assert Map.calls < 40
+    got = pd.concat(order.handleExpiredTimer((0,), None, None))
+    assert got["chunk"].tolist() == got["place"].tolist() == list(range(3 * segments.PAGE))
+    assert (got["complete"] == ~got["chunk"].isin([0, 7])).all() and got["frames"].sum() == n - 2
