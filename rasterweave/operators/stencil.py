@@ -26,7 +26,7 @@ def columns():
 
 #: Pixels of a task. Adaptive planning would join partitions by their compressed bytes, and stages
 #: turn a pixel into many rows, so a task's memory would grow with the table.
-TASK = 65536
+TASK = 32768
 
 
 def by_frame(px: DataFrame, pixels: int | None = None) -> DataFrame:
